@@ -138,7 +138,7 @@ class Vocabulary:
             self.memo.clear()
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
@@ -171,40 +171,49 @@ def load(spark: SparkSession, path: str, pattern: str) -> Shared:
     return Shared(spark.sparkContext.broadcast((data, pattern, Vocabulary(data, pattern).hash)))
 
 
-def _map(df: DataFrame, column: str, kind: T.DataType, source: str, one) -> DataFrame:
-    """``df`` with ``column`` added, or put in the place of one of that name, by a function from Arrow array to Arrow array."""
-    keep = [f for f in df.schema if f.name != column]
-    names = [f.name for f in keep] + [column]
+def _map(df: DataFrame, source: str, columns: list[T.StructField], one) -> DataFrame:
+    """``df`` with ``columns`` added, or put in the place of those of their names, by a function from Arrow array to Arrow arrays."""
+    new = {c.name for c in columns}
+    keep = [f for f in df.schema if f.name not in new]
+    schema = T.StructType([*keep, *columns])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], one(b.columns[-1])], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *one(b.columns[-1])], names=names)
 
-    return df.select(*(F.col(f"`{f.name}`") for f in keep), F.expr(source).alias("__in")).mapInArrow(run, T.StructType([*keep, T.StructField(column, kind)]))
+    return df.select(*(F.col(f"`{f.name}`") for f in keep), F.expr(source).alias("__in")).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of its text as ``array<int>``; special tokens are ordinary text."""
+def encode(df: DataFrame, shared: Shared, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of its text as ``array<int>``; special tokens are ordinary text.
+
+    ``decoded`` names a column for what the ids decode to, made in the same pass.
+    """
     text_batches(df.sparkSession)
 
-    def one(texts: pa.Array) -> pa.Array:
+    def one(texts: pa.Array) -> list[pa.Array]:
         v = _tables(shared)
         packed = [v.encode(t.decode("utf-8", "replace")) for t in texts.to_pylist()]
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+        out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))]
+        if decoded:
+            out.append(pa.array([v.decode(array("i", x)) for x in packed], type=pa.binary()))
+        return out
 
-    return _map(df, ids, T.ArrayType(T.IntegerType()), f"coalesce(cast(`{text}` as binary), X'')", one)
+    columns = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return _map(df, f"coalesce(cast(`{text}` as binary), X'')", columns, one)
 
 
 def decode(df: DataFrame, shared: Shared, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its ids stand for; null ids give empty bytes."""
     text_batches(df.sparkSession)
 
-    def one(lists: pa.Array) -> pa.Array:
+    def one(lists: pa.Array) -> list[pa.Array]:
         v = _tables(shared)
-        return pa.array([v.decode(x) for x in lists.to_pylist()], type=pa.binary())
+        return [pa.array([v.decode(x) for x in lists.to_pylist()], type=pa.binary())]
 
-    return _map(df, out, T.BinaryType(), f"coalesce(`{ids}`, cast(array() as array<int>))", one)
+    return _map(df, f"coalesce(`{ids}`, cast(array() as array<int>))", [T.StructField(out, T.BinaryType())], one)
 
 
 def digests(ids: str = "ids", decoded: str = "decoded") -> list:
@@ -219,5 +228,5 @@ def digests(ids: str = "ids", decoded: str = "decoded") -> list:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """documents -> doc_id and the digests of the ids and of what they decode to."""
     shared = load(docs.sparkSession, path, pattern)
-    out = decode(encode(docs.select("doc_id", "text"), shared).drop("text"), shared)
+    out = encode(docs.select("doc_id", "text"), shared, decoded="decoded")
     return out.select("doc_id", *digests())
