@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, mixing, quality, simhash, suffixes
+from plumbline.llm import bpe, langid, mixing, quality, simhash, suffixes, toxicity
 from plumbline.llm.common import read
 
 
@@ -29,5 +29,13 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes)}
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity)}
 ORACLES: dict[str, str] = {}
