@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, langid, mixing, quality, simhash, suffixes, toxicity
+from plumbline.llm import bpe, langid, licenses, mixing, ordermin, quality, simhash, suffixes, toxicity, warc
 from plumbline.llm.common import read
 
 
@@ -37,5 +37,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity)}
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def op9_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity, op1_licenses, op4_warc, op9_ordermin)}
 ORACLES: dict[str, str] = {}
