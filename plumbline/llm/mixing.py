@@ -134,7 +134,7 @@ def apply(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED)
     n_chars, where there is one, is counted anew.
     """
     cut = plan(docs.select("doc_id", "source", "text"), block, cap, seed).select("doc_id", "size", "taken", "passes", "begin", "blocks", "full", "part", "turn").filter("taken > 0")
-    out = docs.join(cut, "doc_id")
+    out = docs.join(cut.hint("merge"), "doc_id")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     at = lambda j: F.col("begin") + j
     chosen = F.filter(pieces, lambda _, j: at(j) % block < words_in(F.floor(at(j) / block), block))

@@ -241,4 +241,4 @@ def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     """One document of each group of near-duplicates, the one of the least doc_id; rows of null doc_id stay."""
     found = group(docs.select("doc_id", "text"), shingle, radius_of(similarity, 64 * words), words, BANDS)
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # ids grow with the corpus: never broadcast

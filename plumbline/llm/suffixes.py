@@ -121,7 +121,7 @@ def spans(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = W
     marked = rows.join(_least(rows, "stretch", "suffix-stretches"), F.col("stretch") == F.col("__key"), "left")
     marked = materialize(marked.select("doc_id", "first", "last", F.when(F.col("of") < F.col("doc_id"), F.col("of")).alias("of")), "suffix-marked")
     left = marked.filter("of is null").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open"))
-    texts = docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).join(left, "doc_id").select("doc_id", "t", "open")
+    texts = docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).join(left.hint("merge"), "doc_id").select("doc_id", "t", "open")
     each = materialize(_windows(texts, words), "suffix-windows")
     found = each.join(_least(each, "key", "suffix-firsts"), F.col("key") == F.col("__key"))
     covered = found.filter("again or of < doc_id").select("doc_id", F.col("at").alias("start"), (F.col("at") + words).alias("stop"), "of")
@@ -145,7 +145,7 @@ def remove(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int =
     found = materialize(spans(docs, words, kmer, window), "suffix-spans")
     found = found.groupBy("doc_id").agg(F.first("spans").alias("spans"))
     keep = [f.name for f in docs.schema]
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(found.withColumnRenamed("doc_id", "__id").hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     place = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
