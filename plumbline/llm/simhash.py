@@ -10,9 +10,10 @@ collapse to one representative (least doc_id) before anything is compared. Repre
 
 In a bucket, fingerprints lie vertically: plane j holds bit j of 64 fingerprints a machine word. Comparing a row of queries
 against them is one XOR a plane; carry-save counters of a few words add the differing bits of 64 pairs at once, and queries
-whose pairs all exceed the radius are abandoned. A bucket sends out a star of links per group, not all its pairs. Buckets
-of many *different* fingerprints are cut into chunks, and each pair of chunks is a unit of work of its own: exact, and
-spread over tasks. Components of the links are found by stars in ``graph``.
+whose pairs all exceed the radius are abandoned. A bucket sends out a star of links per group, not all its pairs. In a
+bucket of many *different* fingerprints, rows are linked to a few pivots first; only pairs with a row that the pivots leave
+outside their main class are compared further, in chunks: exact, spread over tasks, and not quadratic in a group of copies.
+Components of the links are found by stars in ``graph``.
 
 Texts: null is the empty text; texts without words have fingerprint zero, linked like any other; fewer words than a shingle
 takes make one shingle of all of them. Rows of null doc_id take part but are never a representative; if nothing else
@@ -26,6 +27,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,8 +37,8 @@ from plumbline.llm.common import BASE, as_bytes, materialize, mix, text_batches
 from plumbline.llm.graph import components
 
 SEED = 42
-#: Rows of a chunk, the most chunks a bucket is cut into while chunks stay under MOST rows, and rows compared at once.
-CHUNK, CHUNKS, MOST, WINDOW = 128, 32, 4096, 512
+#: Rows of a bucket compared with each other outright, pivots and rows a chunk of larger ones, and rows compared at once.
+CHUNK, PIVOTS, MOST_ROWS, WINDOW = 128, 8, 512, 512
 BANDS = 10
 
 
@@ -197,6 +199,75 @@ def _block_keys(radius: int):
     return run
 
 
+_PIVOTED = "key long, rep long, fp binary, n long, mask int, pivots array<long>"
+
+
+def _to_pivots(radius: int):
+    """Rows of large buckets -> which of the bucket's pivots they lie within the radius of, as a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, rep, fp, n, pivots = (c.to_pylist() for c in b.columns)
+            mask = np.zeros(len(key), dtype=np.int32)
+            own = np.frombuffer(b"".join(fp), dtype=np.uint8).reshape(len(fp), -1) if fp else np.zeros((0, 8), dtype=np.uint8)
+            for i in range(PIVOTS):
+                at = [j for j, p in enumerate(pivots) if p[i] is not None]
+                if at:
+                    other = np.frombuffer(b"".join(pivots[j][i]["fp"] for j in at), dtype=np.uint8).reshape(len(at), -1)
+                    mask[at] |= (np.bitwise_count(own[at] ^ other).sum(axis=1) <= radius).astype(np.int32) << i
+            ids = [[None if p is None else p["rep"] for p in x] for x in pivots]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64()))], names=["key", "rep", "fp", "n", "mask", "pivots"])
+
+    return run
+
+
+def main_pivots(seen: list[tuple[int, int]]) -> int:
+    """(mask, rows) of a bucket -> the pivots, as a mask, of the class that most rows belong to.
+
+    Pivots are of one class where a row lies near both, directly or by a chain.
+    """
+    classes = [1 << i for i in range(PIVOTS)]
+    for _ in range(PIVOTS):
+        for mask, _n in seen:
+            joined = sum({c for c in classes if c & mask}) if mask else 0
+            classes = [joined if c & mask else c for c in classes]
+    return max(sorted(set(classes)), key=lambda c: sum(n for mask, n in seen if mask & c))
+
+
+def _large(keyed: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
+    """Links of large buckets, without comparing all their pairs.
+
+    Rows near a pivot are linked to it. Those that reach the main class of pivots are connected already, so only pairs with
+    a row outside it are compared, chunk by chunk; the result is that of all pairs.
+    """
+    rows = materialize(keyed.join(buckets, F.col("key") == F.col("__key")).drop("__key"), "simhash-large")
+    part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
+    pivots = rows.groupBy("key").agg(*(F.min_by(F.struct("rep", "fp"), F.when(part == i, F.col("rep"))).alias(f"p{i}") for i in range(PIVOTS)))
+    have = [F.when(F.expr(f"pmod(xxhash64(p{i}.rep), {PIVOTS}) = {i}"), F.col(f"p{i}")) for i in range(PIVOTS)]
+    pivots = materialize(pivots.select(F.col("key").alias("__key"), F.array(*have).alias("pivots")), "simhash-pivots")
+    marked = rows.join(pivots, F.col("key") == F.col("__key")).select("key", "rep", "fp", "n", "pivots")
+    marked = materialize(marked.mapInArrow(_to_pivots(radius), _PIVOTED), "simhash-marked")
+    near = marked.select(F.col("rep").alias("a"), F.explode(F.filter(F.transform("pivots", lambda p, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, p)), lambda p: p.isNotNull())).alias("b"))
+
+    @F.pandas_udf("int")
+    def main(seen: pd.Series) -> pd.Series:
+        return pd.Series([main_pivots([(r["mask"], r["c"]) for r in x]) for x in seen], dtype="int32")
+
+    masks = marked.groupBy("key", "mask").agg(F.count("*").alias("c")).groupBy("key").agg(F.collect_list(F.struct("mask", "c")).alias("seen"))  # 2^PIVOTS masks a key at most
+    masks = masks.select(F.col("key").alias("__key"), main("seen").alias("main"), "seen")
+    outside = F.aggregate("seen", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["mask"].bitwiseAND(F.col("main")) == 0, x["c"]).otherwise(0))
+    masks = materialize(masks.withColumn("outside", outside).drop("seen").filter("outside > 0"), "simhash-masks")
+    left = marked.join(masks, F.col("key") == F.col("__key")).withColumn("rest", F.col("mask").bitwiseAND(F.col("main")) == 0)
+    parts = lambda c: F.ceil(F.col(c) / MOST_ROWS).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.transform(to(parts("outside")), lambda i: F.struct(i.alias("i"), spot(parts("n")).alias("j")))
+    as_rest = F.when(F.col("rest"), F.transform(to(parts("n")), lambda j: F.struct(spot(parts("outside")).alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    unit = left.select("key", "rep", "fp", F.explode(F.array_union(as_member, as_rest)).alias("u")).select("key", "u.i", "u.j", "rep", "fp")
+    units = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius), "a long, b long")
+    return near.union(units)
+
+
 def links(reps: DataFrame, radius: int, by_bands: bool) -> DataFrame:
     """(rep, fp, bands) of distinct fingerprints -> links (a, b) that connect what lies within the radius."""
     reps = reps.filter("rep is not null")
@@ -205,14 +276,10 @@ def links(reps: DataFrame, radius: int, by_bands: bool) -> DataFrame:
     else:
         keyed = reps.select("rep", "fp").mapInArrow(_block_keys(radius), "key long, rep long, fp binary")
     keyed = materialize(keyed, "simhash-keys")
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-buckets")
-    met = keyed.join(shared.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"))
-    chunks = F.greatest(F.least(F.ceil(F.col("n") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("n") / MOST)).cast("int")
-    met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    met = met.select("key", "rep", "fp", "own", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp")
-    units = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return units.mapInArrow(_compare(radius), "a long, b long")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "__key"), "simhash-buckets")
+    small = keyed.join(shared.filter(F.col("n") <= CHUNK), F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp")
+    units = small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius), "a long, b long")
+    return units.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius))
 
 
 def group(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, n_bands: int = 0) -> DataFrame:
