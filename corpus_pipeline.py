@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
     shared = bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), shared).drop("text"), shared)
+    out = bpe.encode(docs.select("doc_id", "source", "text"), shared, decoded="decoded")
     return out.select("doc_id", "source", *bpe.digests(), "ids")
 
 
