@@ -40,7 +40,7 @@ def list_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     return files.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*extensions)).select("path", "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _gbk(content: pd.Series) -> pd.Series:
     def one(x: bytes | None) -> str | None:
         try:
