@@ -163,21 +163,28 @@ def stars(ids: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def window(ids: list, fps: list) -> pa.RecordBatch:
-            found = list(stars(np.array(ids, dtype=np.int64), near(np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(ids), -1), radius))) if len(ids) > 1 else []
+        def window(ids: list, fps: list, units: list) -> pa.RecordBatch:
+            found = []
+            if len(ids) > 1:
+                linked, of = near(np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(ids), -1), radius), np.array(units)
+                linked &= of[:, None] == of[None, :]  # what else fell into the window decides nothing
+                found = list(stars(np.array(ids, dtype=np.int64), linked))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        ids, fps, unit, begin = [], [], None, 0
+        ids, fps, units, unit = [], [], [], None
         for b in batches:
             for key, i, j, rep, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != unit:  # a window ends between units, so that a unit is never cut
-                    unit, begin = (key, i, j), len(ids)
-                    if begin >= WINDOW:
-                        yield window(ids, fps)
-                        ids, fps = [], []
+                    unit = (key, i, j)
+                    if len(ids) >= WINDOW:
+                        yield window(ids, fps, units)
+                        ids, fps, units = [], [], []
+                    units.append(units[-1] + 1 if units else 0)
+                else:
+                    units.append(units[-1])
                 ids.append(rep)
                 fps.append(fp)
-        yield window(ids, fps)
+        yield window(ids, fps, units)
 
     return run
 
