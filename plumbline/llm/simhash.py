@@ -40,6 +40,8 @@ SEED = 42
 #: Rows of a bucket compared with each other outright, pivots and rows a chunk of larger ones, and rows compared at once.
 CHUNK, PIVOTS, MOST_ROWS, WINDOW = 128, 8, 512, 512
 BANDS = 10
+#: Additions that a lane of one byte holds.
+LANE = 255
 
 
 def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
@@ -56,19 +58,26 @@ def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
-    """Majority bits, most significant first; beyond 64 bits each further word counts remixed hashes."""
-    if not len(hashes):
+    """Majority bits, most significant first; beyond 64 bits each further word counts remixed hashes.
+
+    Bits are counted eight to a machine word: a byte lane takes at most 255 additions before it is emptied.
+    """
+    n = len(hashes)
+    if not n:
         return bytes(8 * words)
-    out = []
+    count = np.zeros((words, 8, 8), dtype=np.int64)  # word, byte, bit
+    salts = np.arange(words, dtype=np.uint64)[:, None]
     with np.errstate(over="ignore"):
-        for w in range(words):
-            h = mix(hashes + np.uint64(w) * BASE) if w else hashes
-            count = np.zeros(64, dtype=np.int64)
-            for a in range(0, len(h), 1 << 15):
-                bits = np.unpackbits(h[a : a + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                count += bits.sum(axis=0, dtype=np.uint32)
-            out.append(np.packbits(2 * count > len(h)).tobytes())
-    return b"".join(out)
+        for a in range(0, n, LANE * 16):
+            part = hashes[a : a + LANE * 16]
+            h = np.zeros((words, -(-len(part) // LANE) * LANE), dtype=np.uint64)
+            h[:, : len(part)] = part
+            if words > 1:
+                h[1:, : len(part)] = mix(part[None, :] + salts[1:] * BASE)
+            lanes = (h[None] >> np.arange(8, dtype=np.uint64)[:, None, None]) & np.uint64(0x0101010101010101)
+            lanes = lanes.reshape(8, words, -1, LANE).sum(axis=3, dtype=np.uint64)
+            count += lanes.astype("<u8").view(np.uint8).reshape(8, words, -1, 8).sum(axis=2, dtype=np.int64).transpose(1, 2, 0)
+    return np.packbits((2 * count > n).reshape(words, 64)[:, ::-1], axis=1).tobytes()
 
 
 _MULTIPLIERS = mix(np.arange(1, 2 * 64 + 1, dtype=np.uint64)) | np.uint64(1)
