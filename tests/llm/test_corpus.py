@@ -151,6 +151,30 @@ def test_simhash_keeps_one_of_a_group(docs):
     assert 29 in kept and not kept & {30, 33, 36, 39} and set(range(29)) <= kept
 
 
+@pytest.mark.parametrize(("chunk", "rows"), [(128, 512), (2, 3)])
+def test_near_duplicates_are_those_of_similarity(spark, monkeypatch, chunk, rows):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "MOST_ROWS", rows)
+    rng = random.Random(5)
+    texts = []
+    for changes in (1, 2, 3, 30, 40):  # of 300 words: similarity over 0.9 for the first three, under 0.5 for the others
+        base = [rng.choice(WORDS) for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            w = list(base)
+            for i in rng.sample(range(300), changes):
+                w[i] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    like = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    assert not any(0.65 < x < 0.8 for row in like for x in row)
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if like[i][j] >= 0.8) for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in simhash.keep(df).select("doc_id").collect()} == {i for i, r in enumerate(root) if i == r}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10] + [(100, 100), (7, 3), (3, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
