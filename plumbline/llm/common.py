@@ -6,8 +6,10 @@ Words are runs of characters other than the six ASCII white-space characters, ``
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def apart(*own: str) -> Callable:
+    """For operators that return the columns of their input: columns other than ``own`` pass under names of no meaning."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **params) -> DataFrame:
+            hidden = docs.toDF(*(c if c in own else f"__extra{i}" for i, c in enumerate(docs.columns)))
+            return operator(hidden, *args, **params).toDF(*docs.columns)
+
+        return run
+
+    return wrap
+
+
 def as_bytes(text: str = "text"):
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

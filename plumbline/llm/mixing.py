@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import WORD, materialize
+from plumbline.llm.common import WORD, apart, materialize
 
 BLOCK, CAP, SEED = 32, 3, 7
 SHARD_DOCS, MAX_SHARDS = 256, 4096
@@ -127,11 +127,12 @@ def report(docs: DataFrame) -> DataFrame:
     return plan(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@apart("doc_id", "text", "source", "n_chars")
 def apply(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each document once for every whole pass, and once more with the words of its selected blocks.
 
-    Words keep the white space after them. Rows are found again by doc_id, so doc_id must be distinct and not null here;
-    n_chars, where there is one, is counted anew.
+    Words keep the white space after them. Rows are found again by doc_id, so doc_id must be distinct here, and rows of null doc_id
+    are left out; n_chars, where there is one, is counted anew.
     """
     cut = plan(docs.select("doc_id", "source", "text"), block, cap, seed).select("doc_id", "size", "taken", "passes", "begin", "blocks", "full", "part", "turn").filter("taken > 0")
     out = docs.join(cut.hint("merge"), "doc_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import SPACE, as_bytes, materialize, text_batches, word_hashes
+from plumbline.llm.common import SPACE, apart, as_bytes, materialize, text_batches, word_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOL = np.zeros(256, dtype=np.int64)
@@ -150,8 +150,9 @@ def judge(docs: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) ->
     return joined.withColumn("kept", ~F.col("base_failed") & fits).drop("__lang", "__source", *(f"__max_{k}" for k in RATES))
 
 
+@apart("doc_id", "text", "lang", "source")
 def keep(docs: DataFrame, **params) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns, whatever names these have."""
     return judge(docs, **params).filter("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

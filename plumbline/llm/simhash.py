@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASE, as_bytes, materialize, mix, text_batches
+from plumbline.llm.common import BASE, apart, as_bytes, materialize, mix, text_batches
 from plumbline.llm.graph import components
 
 SEED = 42
@@ -323,6 +323,7 @@ def report(docs: DataFrame) -> DataFrame:
     return group(docs.select("doc_id", "text")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@apart("doc_id", "text")
 def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16) -> DataFrame:
     """One document of each group of near-duplicates, the one of the least doc_id; rows of null doc_id stay.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, materialize, rolling, text_batches, word_hashes
+from plumbline.llm.common import apart, as_bytes, materialize, rolling, text_batches, word_hashes
 
 WORDS, KMER, WINDOW = 50, 8, 24
 
@@ -140,6 +140,7 @@ def cut(data: bytes, parts: list[dict]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+@apart("doc_id", "text", "n_chars")
 def remove(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
     """``docs`` without repeated passages; documents of which no word is left go. n_chars, where there is one, is counted anew."""
     found = materialize(spans(docs, words, kmer, window), "suffix-spans")

@@ -277,3 +277,38 @@ def test_pipeline(spark, docs):
         assert docs.columns == before.columns, name
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns) and out.count() > 0
+
+
+CLASHES = "a b c g h i j k m n p t v w at fp id key rep row ids size hash kept line lines node part score seat shard span spans start stop stream block bands bucket component component_id decoded edited fingerprint held_out lang_pred n_tokens n_words pivots position predicted quota source_size taken target text_bytes weight word words __key __rep __a __fp".split()
+
+
+def test_columns_of_clashing_names_change_nothing(spark, docs):
+    wide = docs.select("*", *(F.lit(7).alias(c) for c in CLASHES)).cache()
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    reports = {
+        "quality": quality.report, "mixing": mixing.report, "simhash": simhash.report, "suffixes": suffixes.report, "langid": langid.report,
+        "ordermin": ordermin.report, "licenses": licenses.report, "toxicity": lambda d: toxicity.report(d, labels),
+        "bpe": lambda d: bpe.round_trip(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    }
+    for name, report in reports.items():
+        assert sorted(map(str, report(wide).collect())) == sorted(map(str, report(docs).collect())), name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, stage(spark, docs, "").collect())), name
+        assert out.filter(" or ".join(f"`{c}` <> 7" for c in CLASHES)).count() == 0, name
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(90))
+    other = " ".join(rng.choice(WORDS) for _ in range(90))
+    df = spark.createDataFrame([(1, long, "en", "s", 0), (1, long, "en", "s", 0), (None, long, None, None, None), (2, other, "en", "s", 0), (3, long, "en", "s", 0), (None, None, None, None, None)], SCHEMA)
+    kept = sorted(str(r["doc_id"]) for r in simhash.keep(df).collect())
+    assert kept == ["1", "1", "2", "None", "None"]
+    cut = {str(r["doc_id"]) for r in suffixes.remove(df).collect()}
+    assert cut == {"1", "2", "None"}  # nothing of row 3 is left
+    for report in (quality.report, mixing.report, simhash.report, ordermin.report, langid.report, licenses.report):
+        assert report(df).count() == 6
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.report(df, labels).count() == 6
