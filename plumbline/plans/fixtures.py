@@ -56,8 +56,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts, cut to 200 characters, one of unknown words and a blank one."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    """Benchmark texts, one of unknown words and a blank one."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
     return b.union(spark.createDataFrame([(1_000_001, "qqzzqq xxyyxx"), (1_000_002, "  \n ")], "query_id long, query string"))
 
 
