@@ -13,7 +13,7 @@
 
 A document is taken at most ``cap`` times its size and a source meets its target to within a block (and what the cap cuts
 off in its smallest shards). Null text has size 0; an empty table gives an empty result; repeated rows are documents of
-their own; reruns agree, as every order is by hash and columns. The shuffles carry ids and sizes, never texts. A source may
+their own, null ids included; reruns agree, as every order is by hash and columns. The shuffles carry ids and sizes, never texts. A source may
 hold any share of the rows: all per-row work is by (source, shard), with ``SHARD_DOCS`` documents a shard on average until
 there are ``MAX_SHARDS`` shards; per source there are only sums and, per shard, one row.
 """
@@ -88,13 +88,14 @@ def place_of(i: Column, blocks: Column, turn: Column) -> Column:
     return F.pmod(i * PRIME + turn, blocks)
 
 
-def plan(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED, row: tuple[str, ...] = ()) -> DataFrame:
     """Quotas applied to documents: doc_id, source, size, source_size, target, taken and how the stream is cut.
 
     passes, begin, blocks, turn, full and part say which words: each word ``passes`` times, then the words of the blocks
-    whose turn is before ``full``, and the first ``part`` words of the block whose turn is ``full``.
+    whose turn is before ``full``, and the first ``part`` words of the block whose turn is ``full``. ``row`` names columns of
+    ``docs`` that pass through.
     """
-    sized = materialize(docs.select("doc_id", "source", size().alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", "source", *row, size().alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
     shards = max(1, min(MAX_SHARDS, sized.count() // SHARD_DOCS))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
     streams = materialize(sized.groupBy("source", "shard").agg(F.sum("size").alias("stream")), "mix-streams")
@@ -107,13 +108,13 @@ def plan(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED)
     parts = parts.withColumn("__w", words).withColumn("passes", F.coalesce(F.expr("try_divide(__w - __w % nullif(stream, 0), stream)").cast("long"), F.lit(0).cast("long")))
     rest = F.col("__w") - F.col("passes") * F.col("stream")
     parts = parts.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "source_size", "target", "passes", F.floor(F.col("stream") / block).alias("blocks"), F.floor(rest / block).alias("full"), (rest % block).alias("part"), F.abs(F.xxhash64("source", "shard", F.lit(seed)) % PRIME).alias("turn"))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "mark")
     placed = sized.withColumn("begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     out = placed.join(parts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard"))).drop("__source", "__shard")
     begin, end = F.col("begin"), F.col("begin") + F.col("size")
     covered = lambda i: F.greatest(F.lit(0).cast("long"), F.least(end, i * block + words_in(i, block)) - F.greatest(begin, i * block))
     extra = F.when((F.col("size") > 0) & ((F.col("full") > 0) | (F.col("part") > 0)), _taken_blocks(F.floor(begin / block), F.floor((end - 1) / block), covered)).otherwise(0)
-    return out.withColumn("taken", F.col("passes") * F.col("size") + extra).drop("shard")
+    return out.withColumn("taken", F.col("passes") * F.col("size") + extra).drop("shard", "mark")
 
 
 def words_in(i: Column, block: int) -> Column:
@@ -131,11 +132,12 @@ def report(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each document once for every whole pass, and once more with the words of its selected blocks.
 
-    Words keep the white space after them. Rows are found again by doc_id, so doc_id must be distinct here, and rows of null doc_id
-    are left out; n_chars, where there is one, is counted anew.
+    Words keep the white space after them. Rows are found again by a number that the written table gives each, so null and
+    repeated doc_ids are rows like any other; n_chars, where there is one, is counted anew.
     """
-    cut = plan(docs.select("doc_id", "source", "text"), block, cap, seed).select("doc_id", "size", "taken", "passes", "begin", "blocks", "full", "part", "turn").filter("taken > 0")
-    out = docs.join(cut.hint("merge"), "doc_id")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    cut = plan(rows.select("doc_id", "source", "text", "__row"), block, cap, seed, ("__row",)).select("__row", "size", "taken", "passes", "begin", "blocks", "full", "part", "turn").filter("taken > 0")
+    out = rows.join(cut.hint("merge"), "__row")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     at = lambda j: F.col("begin") + j
     chosen = F.filter(pieces, lambda _, j: at(j) % block < words_in(F.floor(at(j) / block), block))
