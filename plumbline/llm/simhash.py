@@ -6,7 +6,9 @@ collapse to one representative (least doc_id) before anything is compared. Repre
 * ``blocks``: the fingerprint is cut into radius + 2 blocks; two fingerprints within the radius agree in two blocks at
   least, so a bucket for each pair of blocks finds every link (exact);
 * ``bands``: buckets are bands of two minimum hashes of the shingles; a pair of Jaccard similarity 0.8 shares one of ten
-  bands with probability 0.99996. This serves radii at which blocks would be too short to tell anything apart.
+  bands with probability 0.99996. This serves radii at which blocks would be too short to tell anything apart. Here the
+  fingerprint only picks pairs: a pair within the radius is a link if the exact Jaccard similarity of its sets of shingles
+  says so, and what collapses beforehand are equal sets.
 
 In a bucket, fingerprints lie vertically: plane j holds bit j of 64 fingerprints a machine word. Comparing a row of queries
 against them is one XOR a plane; carry-save counters of a few words add the differing bits of 64 pairs at once, and queries
@@ -17,11 +19,13 @@ Components of the links are found by stars in ``graph``.
 
 Texts: null is the empty text; texts without words have fingerprint zero, linked like any other; fewer words than a shingle
 takes make one shingle of all of them. Rows of null doc_id take part but are never a representative; if nothing else
-shares their fingerprint their component is null. Repeated rows fall together as copies do.
+shares their fingerprint their component is null. Repeated rows fall together as copies do. ``keep`` goes by a number that the
+written table gives each row instead, so null and repeated ids are documents like any other there.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -42,6 +46,8 @@ CHUNK, PIVOTS, MOST_ROWS, WINDOW = 128, 8, 512, 512
 BANDS = 10
 #: Additions that a lane of one byte holds.
 LANE = 255
+#: Bytes of shingle sets that a window holds before it ends.
+HELD = 64 << 20
 
 
 def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
@@ -92,20 +98,72 @@ def bands(hashes: np.ndarray, n: int = BANDS) -> list[int]:
         return mix(low[::2] * BASE + low[1::2] + np.arange(n, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, n_bands: int = 0) -> DataFrame:
-    """documents -> (doc_id, fp binary, bands array<long>)."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """documents -> (doc_id, fp binary)."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps = [fingerprint(shingle_hashes(t, shingle)) for t in b.columns[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(fps, type=pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def set_keys(rows: DataFrame, shingle: int) -> DataFrame:
+    """(__row, text) -> (row, same binary, bands array<long>): ``same`` is a digest of the set of shingles."""
+    text_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, keys = [], []
             for t in b.columns[1].to_pylist():
-                h = shingle_hashes(t, shingle)
-                fps.append(fingerprint(h, words))
-                keys.append(bands(h, n_bands) if n_bands else [])
-            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(fps, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+                grams = np.unique(shingle_hashes(t, shingle))
+                same.append(xxhash.xxh128_digest(grams.tobytes(), SEED))
+                keys.append(bands(grams))
+            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(same, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))], names=["row", "same", "bands"])
+
+    return rows.select("__row", as_bytes().alias("t")).mapInArrow(run, "row long, same binary, bands array<long>")
+
+
+def sets(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(__row, text) -> (__rep, fp binary, grams binary): the sorted distinct shingle hashes and the fingerprint of that set."""
+    text_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.unique(shingle_hashes(t, shingle)) for t in b.columns[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([fingerprint(g, words) for g in grams], type=pa.binary()), pa.array([g.tobytes() for g in grams], type=pa.binary())], names=["__rep", "fp", "grams"])
+
+    return rows.select("__row", as_bytes().alias("t")).mapInArrow(run, "__rep long, fp binary, grams binary")
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have that Jaccard similarity or more."""
+    m, n = len(a) // 8, len(b) // 8
+    if min(m, n) < similarity * max(m, n) - 1e-9 * max(m, n):
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
+    return both / (m + n - both) >= similarity
 
-    return docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).mapInArrow(run, "doc_id long, fp binary, bands array<long>")
+
+def confirmed(linked: np.ndarray, grams: list[bytes], similarity: float) -> np.ndarray:
+    """Of the linked pairs, those of that similarity, without the pairs that others connect already."""
+    root, out = list(range(len(grams))), np.zeros_like(linked)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(grams)):
+        for j in np.flatnonzero(linked[i, :i]).tolist():
+            x, y = find(i), find(j)
+            if x != y and alike(grams[i], grams[j], similarity):
+                root[x] = y
+                out[i, j] = out[j, i] = True
+    return out
 
 
 def near(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -170,30 +228,34 @@ def stars(ids: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from ((int(m), int(low)) for m in members if m != low)
 
 
-def _compare(radius: int):
+def _compare(radius: int, similarity: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def window(ids: list, fps: list, units: list) -> pa.RecordBatch:
+        def window(ids: list, fps: list, units: list, grams: list) -> pa.RecordBatch:
             found = []
             if len(ids) > 1:
                 linked, of = near(np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(ids), -1), radius), np.array(units)
                 linked &= of[:, None] == of[None, :]  # what else fell into the window decides nothing
+                if similarity is not None:
+                    linked = confirmed(linked, grams, similarity)
                 found = list(stars(np.array(ids, dtype=np.int64), linked))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        ids, fps, units, unit = [], [], [], None
+        ids, fps, units, grams, unit, held = [], [], [], [], None, 0
         for b in batches:
-            for key, i, j, rep, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, i, j, rep, fp, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != unit:  # a window ends between units, so that a unit is never cut
                     unit = (key, i, j)
-                    if len(ids) >= WINDOW:
-                        yield window(ids, fps, units)
-                        ids, fps, units = [], [], []
+                    if len(ids) >= WINDOW or held >= HELD:
+                        yield window(ids, fps, units, grams)
+                        ids, fps, units, grams, held = [], [], [], [], 0
                     units.append(units[-1] + 1 if units else 0)
                 else:
                     units.append(units[-1])
                 ids.append(rep)
                 fps.append(fp)
-        yield window(ids, fps, units)
+                grams += rest
+                held += sum(map(len, rest))
+        yield window(ids, fps, units, grams)
 
     return run
 
@@ -215,24 +277,24 @@ def _block_keys(radius: int):
     return run
 
 
-_PIVOTED = "key long, rep long, fp binary, n long, mask int, pivots array<long>"
-
-
-def _to_pivots(radius: int):
-    """Rows of large buckets -> which of the bucket's pivots they lie within the radius of, as a mask."""
+def _to_pivots(radius: int, similarity: float | None = None):
+    """Rows of large buckets -> which of the bucket's pivots they are linked to, as a mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, rep, fp, n, pivots = (c.to_pylist() for c in b.columns)
+            key, _rep, fp, _n, pivots, *grams = (c.to_pylist() for c in b.columns)
             mask = np.zeros(len(key), dtype=np.int32)
             own = np.frombuffer(b"".join(fp), dtype=np.uint8).reshape(len(fp), -1) if fp else np.zeros((0, 8), dtype=np.uint8)
             for i in range(PIVOTS):
                 at = [j for j, p in enumerate(pivots) if p[i] is not None]
                 if at:
                     other = np.frombuffer(b"".join(pivots[j][i]["fp"] for j in at), dtype=np.uint8).reshape(len(at), -1)
-                    mask[at] |= (np.bitwise_count(own[at] ^ other).sum(axis=1) <= radius).astype(np.int32) << i
+                    close = np.bitwise_count(own[at] ^ other).sum(axis=1) <= radius
+                    if similarity is not None:
+                        close &= np.array([c and alike(grams[0][j], pivots[j][i]["grams"], similarity) for c, j in zip(close, at, strict=True)])
+                    mask[at] |= close.astype(np.int32) << i
             ids = [[None if p is None else p["rep"] for p in x] for x in pivots]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64()))], names=["key", "rep", "fp", "n", "mask", "pivots"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64())), *b.columns[5:]], names=["key", "rep", "fp", "n", "mask", "pivots", *(["grams"] if grams else [])])
 
     return run
 
@@ -250,19 +312,21 @@ def main_pivots(seen: list[tuple[int, int]]) -> int:
     return max(sorted(set(classes)), key=lambda c: sum(n for mask, n in seen if mask & c))
 
 
-def _large(keyed: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
+def _large(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     """Links of large buckets, without comparing all their pairs.
 
     Rows near a pivot are linked to it. Those that reach the main class of pivots are connected already, so only pairs with
     a row outside it are compared, chunk by chunk; the result is that of all pairs.
     """
+    own = [] if similarity is None else ["grams"]
     rows = materialize(keyed.join(buckets, F.col("key") == F.col("__key")).drop("__key"), "simhash-large")
     part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
-    pivots = rows.groupBy("key").agg(*(F.min_by(F.struct("rep", "fp"), F.when(part == i, F.col("rep"))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = rows.groupBy("key").agg(*(F.min_by(F.struct("rep", "fp", *own), F.when(part == i, F.col("rep"))).alias(f"p{i}") for i in range(PIVOTS)))
     have = [F.when(F.expr(f"pmod(xxhash64(p{i}.rep), {PIVOTS}) = {i}"), F.col(f"p{i}")) for i in range(PIVOTS)]
     pivots = materialize(pivots.select(F.col("key").alias("__key"), F.array(*have).alias("pivots")), "simhash-pivots")
-    marked = rows.join(pivots, F.col("key") == F.col("__key")).select("key", "rep", "fp", "n", "pivots")
-    marked = materialize(marked.mapInArrow(_to_pivots(radius), _PIVOTED), "simhash-marked")
+    marked = rows.join(pivots, F.col("key") == F.col("__key")).select("key", "rep", "fp", "n", "pivots", *own)
+    pivoted = "key long, rep long, fp binary, n long, mask int, pivots array<long>" + "".join(f", {c} binary" for c in own)
+    marked = materialize(marked.mapInArrow(_to_pivots(radius, similarity), pivoted), "simhash-marked")
     near = marked.select(F.col("rep").alias("a"), F.explode(F.filter(F.transform("pivots", lambda p, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, p)), lambda p: p.isNotNull())).alias("b"))
 
     @F.pandas_udf("int")
@@ -279,43 +343,75 @@ def _large(keyed: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
     to = lambda n: F.sequence(F.lit(0), n - 1)
     as_member = F.transform(to(parts("outside")), lambda i: F.struct(i.alias("i"), spot(parts("n")).alias("j")))
     as_rest = F.when(F.col("rest"), F.transform(to(parts("n")), lambda j: F.struct(spot(parts("outside")).alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    unit = left.select("key", "rep", "fp", F.explode(F.array_union(as_member, as_rest)).alias("u")).select("key", "u.i", "u.j", "rep", "fp")
-    units = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius), "a long, b long")
+    unit = left.select("key", "rep", "fp", *own, F.explode(F.array_union(as_member, as_rest)).alias("u")).select("key", "u.i", "u.j", "rep", "fp", *own)
+    units = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius, similarity), "a long, b long")
     return near.union(units)
 
 
-def links(reps: DataFrame, radius: int, by_bands: bool) -> DataFrame:
-    """(rep, fp, bands) of distinct fingerprints -> links (a, b) that connect what lies within the radius."""
+def _linked(keyed: DataFrame, shared: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(key, rep, fp[, grams]) and the buckets (__key, n) -> links (a, b)."""
+    own = [] if similarity is None else ["grams"]
+    small = keyed.join(shared.filter(F.col("n") <= CHUNK), F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp", *own)
+    units = small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, similarity), "a long, b long")
+    return units.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius, similarity))
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """Keys that several rows have, as (__key, n)."""
+    return materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "__key"), "simhash-buckets")
+
+
+def links(reps: DataFrame, radius: int) -> DataFrame:
+    """(rep, fp) of distinct fingerprints -> links (a, b) that connect what lies within the radius."""
     reps = reps.filter("rep is not null")
-    if by_bands:
-        keyed = reps.select(F.explode("bands").alias("key"), "rep")
-    else:
-        keyed = reps.select("rep", "fp").mapInArrow(_block_keys(radius), "key long, rep long, fp binary")
-    keyed = materialize(keyed, "simhash-keys")
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "__key"), "simhash-buckets")
-    if by_bands:  # wide fingerprints: only rows that share a key take theirs along
-        met = materialize(keyed.join(shared.select("__key"), F.col("key") == F.col("__key"), "left_semi"), "simhash-met")
-        keyed = materialize(met.join(reps.select(F.col("rep").alias("__rep"), "fp").hint("merge"), F.col("rep") == F.col("__rep")).drop("__rep"), "simhash-candidates")
-    small = keyed.join(shared.filter(F.col("n") <= CHUNK), F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp")
-    units = small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius), "a long, b long")
-    return units.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius))
-
-
-def group(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, n_bands: int = 0) -> DataFrame:
-    """documents -> (doc_id, fp, component_id); n_bands > 0 asks for buckets by bands."""
-    fps = materialize(fingerprints(docs, shingle, words, n_bands), "simhash-fps")
-    first = [F.min_by("bands", "doc_id").alias("bands")] if n_bands else []
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), *first), "simhash-reps")
-    found = materialize(components(links(reps, radius, n_bands > 0)), "simhash-components")
+    keyed = materialize(reps.select("rep", "fp").mapInArrow(_block_keys(radius), "key long, rep long, fp binary"), "simhash-keys")
+    return _linked(keyed, _buckets(keyed), radius)
+
+
+def set_links(rows: DataFrame, reps: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
+    """(__row, text) and (rep, bands) of distinct sets -> links (a, b) that connect what has that similarity."""
+    keyed = materialize(reps.select(F.explode("bands").alias("key"), "rep"), "simhash-keys")
+    shared = _buckets(keyed)
+    # only rows that share a key take their fingerprint and set along
+    met = materialize(keyed.join(shared.select("__key"), F.col("key") == F.col("__key"), "left_semi"), "simhash-met")
+    some = rows.join(met.select("rep").distinct().hint("merge"), F.col("__row") == F.col("rep"), "left_semi")
+    own = materialize(sets(some, shingle, words), "simhash-sets")
+    keyed = materialize(met.join(own.hint("merge"), F.col("rep") == F.col("__rep")).drop("__rep"), "simhash-candidates")
+    return _linked(keyed, shared, radius_of(similarity, 64 * words), similarity)
+
+
+def group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """documents -> (doc_id, fp, component_id)."""
+    fps = materialize(fingerprints(docs, shingle), "simhash-fps")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    found = materialize(components(links(reps, radius)), "simhash-components")
     label = reps.select(F.col("fp").alias("__fp"), "rep").join(found, F.col("rep") == F.col("node"), "left")
     label = materialize(label.select("__fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels")
     return fps.select("doc_id", "fp").join(label, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
+@functools.cache
+def bit_differs(similarity: float, most: int = 64) -> float:
+    """The greatest chance that two sets of that similarity or more differ in a fingerprint's bit.
+
+    Large sets reach acos(2s / (1 + s)) / pi; in small ones the strict majority makes ties, so up to ``most`` common shingles
+    the chance is taken outright.
+    """
+    heads = [[math.comb(n, k) / 2**n for k in range(n + 1)] for n in range(most + 1)]
+    out = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for s in range(1, most + 1):
+        extra = int(s / similarity + 1e-9) - s
+        for a, b in ((a, b) for b in range(extra + 1) for a in range(min(b, extra - b) + 1) if a + b):
+            one = lambda n, x: sum(heads[n][k] for k in range(n + 1) if 2 * (x + k) > s + n)
+            p = ((heads[s][x], one(a, x), one(b, x)) for x in range(s + 1))
+            out = max(out, sum(w * (y * (1 - z) + z * (1 - y)) for w, y, z in p))
+    return out
+
+
 def radius_of(similarity: float, bits: int) -> int:
-    """Bits in which two sets of that Jaccard similarity differ, two standard deviations included."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    """Bits in which two sets of that Jaccard similarity or more differ at most, six standard deviations included."""
+    p = bit_differs(similarity)
+    return int(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -325,10 +421,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 @apart("doc_id", "text")
 def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the least doc_id; rows of null doc_id stay.
+    """One row of each group of near-duplicates, repeated rows and null ids included: that of the least doc_id, null last.
 
-    1024 bits tell a similarity of 0.8 from 0.7, which 64 or 256 do not: radius_of allows for two standard deviations.
+    Fingerprints of 1024 bits pick the pairs; links are those of the exact similarity.
     """
-    found = group(docs.select("doc_id", "text"), shingle, radius_of(similarity, 64 * words), words, BANDS)
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # ids grow with the corpus: never broadcast
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    keys = materialize(set_keys(rows, shingle), "simhash-same")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"), F.col("__row").alias("row"))
+    keys = keys.join(rows.select("__row", order.alias("first")).hint("merge"), F.col("row") == F.col("__row"))
+    reps = materialize(keys.groupBy("same").agg(F.min("first").alias("first"), F.first("bands").alias("bands")).select("first", "bands", F.col("first.row").alias("rep")), "simhash-reps")
+    found = materialize(components(set_links(rows.select("__row", "text"), reps, shingle, similarity, words)), "simhash-components")
+    label = reps.select("first", "rep").join(found.hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
+    stay = materialize(label.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay")), "simhash-stay")
+    return rows.join(stay.hint("merge"), F.col("__row") == F.col("__stay"), "left_semi").select(*docs.columns)  # rows grow with the corpus: never broadcast

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,3 +30,13 @@ def test_mix_takes_what_the_plan_says_of_null_and_repeated_ids(spark):
         got = {r[by]: r["n"] for r in mixed.groupBy(by).agg(F.sum("n").alias("n")).collect()}
         assert got == {k: n for k, n in want.items() if n}, by
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.apply(docs.repartition(5)).withColumn("n", mixing.size()).collect()))
+
+
+def test_one_survivor_of_a_group_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(words(rng, 90)) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "changed"])
+    rows = [(2, b), (1, a), (1, a), (None, a), (3, a), (None, near), (None, c), (None, c), (4, d), (None, None), (None, None), (5, " "), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c), (4, d), (5, " ")], key=str)
