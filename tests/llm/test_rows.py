@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import mixing, simhash
@@ -40,3 +41,28 @@ def test_one_survivor_of_a_group_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
     kept = [(r["doc_id"], r["text"]) for r in simhash.keep(docs).collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c), (4, d), (5, " ")], key=str)
+
+
+@pytest.mark.parametrize(("chunk", "rows"), [(128, 512), (2, 3)])
+def test_links_are_those_of_exact_similarity(spark, monkeypatch, chunk, rows):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "MOST_ROWS", rows)
+    rng, texts = random.Random(6), []
+    for _ in range(150):  # 6 to 30 words and some longer; words cut off the end or changed there
+        base = words(rng, rng.choice([*range(8, 31), 120, 200]))
+        texts.append(base)
+        n = max(1, round(len(base) * rng.uniform(0.1, 0.3)))
+        texts.append(base[:-n])
+        m = max(1, round(len(base) * rng.uniform(0.08, 0.15)))
+        texts.append(base[:-m] + words(rng, m))
+    texts.append(texts[0] + texts[0][-5:] * 40)  # a passage over and over
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} for w in texts]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    assert sum(0.75 <= x < 0.8 for x in like.values()) >= 10 and sum(0.8 <= x <= 0.85 for x in like.values()) >= 10
+    root = list(range(len(texts)))
+    for _ in range(5):
+        for (i, j), x in like.items():
+            if x >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in simhash.keep(docs).select("doc_id").collect()} == {i for i, r in enumerate(root) if i == r}
