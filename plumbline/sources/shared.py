@@ -11,9 +11,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    """spark.checkpoint.dir. Where it is unset a local session takes a temporary folder; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own[0]
@@ -24,3 +27,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more. Only for tables that ``materialize`` returned."""
+    for df in tables:
+        spark = df.sparkSession
+        base = shared_dir(spark).partition(":")[2] or shared_dir(spark)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if base.lstrip("/") not in folder:
+                raise ValueError(f"{folder} is not a materialised table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
