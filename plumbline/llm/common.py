@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, materialised tables and text batches.
+"""What the corpus operators share: words, text batches and hidden columns; tables in the shared folder by ``sources.shared``.
 
 Words are runs of characters other than the six ASCII white-space characters, ``[^\\x20\\x09-\\x0D]+``; that is what
 ``bytes.split()`` returns on UTF-8, so the operators split bytes and never decode a text only to find its words.
@@ -7,14 +7,14 @@ Words are runs of characters other than the six ASCII white-space characters, ``
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import discard, materialize  # noqa: F401
+
 #: ASCII white space, as ``bytes.split()`` takes it.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,27 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, prunes columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
     """Bound the Arrow batches that carry whole texts to Python workers, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,23 +1,32 @@
 """Passages that repeat across documents, found with a sparse suffix array over content-selected positions.
 
-A passage is ``words`` consecutive words or more that an earlier document (smaller doc_id), or an earlier place of the same
-document, has too. The first occurrence stays, later ones are spans to remove.
+A passage is ``words`` consecutive words or more that an earlier document, or an earlier place of the same document, has
+too. The first occurrence stays, later ones are spans to remove.
 
 1. Retained suffixes: a position is kept where the hash of its next ``kmer`` words is the least (leftmost) in some window
-   of ``window`` positions. The choice depends on content alone, so equal passages have the same minimiser, within their
-   first ``window`` words; from there they share words - window + 1 words at least.
-2. Suffixes are ordered by the rank of that prefix (its hash: equal prefixes are neighbours, which is all that matching
-   needs), and suffixes without an equal neighbour go. They are the bulk of a clean corpus.
-3. Whole stretches between retained positions are compared next: a stretch equal to that of an earlier document is
-   settled, however many copies there are. What is left is extended to the left and right word by word, by comparing each
-   passage-long window that the stretch holds with those of its neighbours. Covered words merge into maximal spans.
-
-All matching is by key: least doc_id per key is combined before the shuffle, and joined back from written tables, so that
-adaptive execution can split a key that holds a third of all rows. Keys are 64-bit hashes of word hashes.
-
-Texts: null and texts of fewer than ``words`` words have no spans and are no source of any; words are compared byte by
-byte, the white space between them is not; rows of null doc_id are left alone; repeated rows of one doc_id do not count as
-repeats of each other; other columns pass through.
+   of ``window`` positions. The choice depends on content alone, so a passage of ``words`` words has the same retained
+   position wherever it stands, among its first ``window`` words. Suffixes whose first words - window + 1 words nothing else
+   has cannot match and go (by a hash, as a filter only); they are the bulk of a clean corpus.
+2. A retained suffix stands for the stretch of words that its passages cover. Equal stretches (128-bit XXH3 of their bytes;
+   10^12 of them give a false equal with probability 10^-15) are settled at once, however many copies there are: all but
+   the first are repeats, and the first alone goes on.
+3. The suffixes left are sorted by their words, over ranges of the whole table, and each is compared with its neighbours
+   word by word. The common prefixes of neighbours say which suffixes agree in their first d words: a run of neighbours
+   without a shorter common prefix between them. Inside such runs they are then sorted by the words to their left, read
+   backwards, and compared in the same way, which extends the matches to the left. Two suffixes have a passage in common
+   that begins j words before them if they are in one run to the left for j words and in one to the right for words - j.
+4. The first document of each such pair of runs stays, the passages of the others are covered, and overlapping passages
+   merge into spans of full length.
+
+Sort keys end with document and position, so a run of any size is cut into ranges anywhere; what a range needs of the one
+before it is the number of its last run at each depth, worked out from the first and last row of every range (two rows a
+range reach the driver). The first of a group is combined before the shuffle and joined back from written tables, so that
+adaptive execution can split a group that holds a third of all rows.
+
+Documents are ordered by doc_id, null last, then by a hash of their text; the order decides what is earlier, so ties do not
+occur but for repeated rows of equal doc_id and text, which are one document: they are no repeats of each other, and all are
+cut alike. Null texts and texts of fewer than ``words`` words have no spans and are the source of none. White space between
+words is not compared. An empty table gives an empty result; a long text is read whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,12 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import apart, as_bytes, materialize, rolling, text_batches, word_hashes
+from plumbline.llm.common import apart, as_bytes, discard, materialize, rolling, text_batches, word_hashes
 
 WORDS, KMER, WINDOW = 50, 8, 24
+#: Place of null doc_ids in the order.
+LAST = (1 << 63) - 1
+#: More words than any common prefix, where a neighbour is not known yet.
+UNKNOWN = 1 << 20
+#: Longer rows are compared pair by pair, not as a padded matrix.
+WIDE = 4096
 
 
 def minimisers(hashes: np.ndarray, kmer: int, window: int) -> np.ndarray:
@@ -45,44 +61,197 @@ def minimisers(hashes: np.ndarray, kmer: int, window: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stretches(hashes: np.ndarray, words: int, kmer: int, window: int) -> tuple[np.ndarray, ...]:
-    """(first, last, prefix key, stretch key) of the retained suffixes: passages that begin at first..last have it as minimiser."""
+def retained(hashes: np.ndarray, words: int, kmer: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last): retained positions; the passages that begin at first..last have theirs there."""
     n = len(hashes)
     if n < words:
-        return (np.zeros(0, dtype=np.int64),) * 4
+        return (np.zeros(0, dtype=np.int64),) * 3
     at, first = np.unique(minimisers(hashes, kmer, window)[: n - words + 1], return_index=True)
-    last = np.append(first[1:], n - words + 1) - 1
-    prefix = rolling(hashes, at, at + words - window + 1)
-    return first, last, prefix.view(np.int64), rolling(hashes, first, last + words).view(np.int64)
+    return at, first, np.append(first[1:], n - words + 1) - 1
+
+
+def normal(data: bytes) -> tuple[bytes, list[int]]:
+    """A text with one blank after each word, and where its words begin; the last entry is the end."""
+    parts = data.split()
+    return b" ".join(parts) + b" ", np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1))).tolist()
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """key, mark: what tells documents apart and orders them; t: the text's bytes."""
+    return docs.select(*_names(), as_bytes().alias("t"))
+
+
+def _names() -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("mark")
 
 
 def _suffixes(docs: DataFrame, words: int, kmer: int, window: int) -> DataFrame:
+    """Retained suffixes with a hash of their first words and a key of their stretch."""
+
+    def one(t: bytes) -> tuple:
+        h = word_hashes(t)[0]
+        at, first, last = retained(h, words, kmer, window)
+        if not len(at):
+            return at, first, last, at, []
+        text, begins = normal(t)
+        key = xxhash.xxh3_128_digest
+        stretch = [key(text[begins[a] : begins[b + words]]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return at, first, last, rolling(h, at, at + words - window + 1).view(np.int64), stretch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [stretches(word_hashes(t)[0], words, kmer, window) for t in b.columns[1].to_pylist()]
-            ids = np.repeat(b.columns[0].to_numpy(zero_copy_only=False), [len(x[0]) for x in got])
-            first, last, prefix, stretch = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=np.int64),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(prefix), pa.array(stretch)], names=["doc_id", "first", "last", "prefix", "stretch"])
+            got = [one(t) for t in b.columns[2].to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(got)), [len(x[0]) for x in got]))
+            whole = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, dtype=np.int64) for i in range(4)]
+            cols = [b.columns[0].take(of), b.columns[1].take(of), *(pa.array(x.astype(np.int32)) for x in whole[:3]), pa.array(whole[3].astype(np.int64)), pa.array([s for x in got for s in x[4]], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "mark", "at", "first", "last", "prefix", "stretch"])
+
+    return _named(docs).mapInArrow(run, "key long, mark long, at int, first int, last int, prefix long, stretch binary")
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), as_bytes().alias("t"))
-    return rows.mapInArrow(run, "doc_id long, first int, last int, prefix long, stretch long")
 
+def _spelt(rows: DataFrame, words: int) -> DataFrame:
+    """(key, mark, t, parts) -> a row a suffix: its words in its stretch, to the right in order and to the left backwards."""
 
-def _windows(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, t, open: windows to extend over) -> (key, doc_id, at, again), a row a window; again: earlier in the text too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, mark, t, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text, begins = normal(t)
+                right = [text[begins[p["at"]] : begins[p["last"] + words]] for p in parts]
+                left = [b"".join(w + b" " for w in reversed(text[begins[p["first"]] : begins[p["at"]]].split())) for p in parts]
+                number = lambda f: pa.array([f(p) for p in parts], type=pa.int32())
+                cols = [pa.array([key] * len(parts), type=pa.int64()), pa.array([mark] * len(parts), type=pa.int64()), number(lambda p: p["at"]), number(lambda p: p["at"] - p["last"]), number(lambda p: p["at"] - p["first"]), pa.array(right, type=pa.binary()), pa.array(left, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "mark", "at", "low", "high", "right", "left"])
+
+    return rows.mapInArrow(run, "key long, mark long, at int, low int, high int, right binary, left binary")
+
+
+def shared_words(rows: list[bytes]) -> np.ndarray:
+    """Words that each row but the first has in common with the one before it, from the start; a blank ends each word."""
+    if len(rows) < 2:
+        return np.zeros(0, dtype=np.int64)
+    width = max(1, *map(len, rows))
+    if width > WIDE:
+        return np.array([_shared(a, b) for a, b in zip(rows, rows[1:], strict=False)], dtype=np.int64)
+    m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), dtype=np.uint8).reshape(len(rows), width)
+    differ = m[1:] != m[:-1]
+    upto = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return ((m[1:] == 32) & (np.arange(width)[None, :] < upto[:, None])).sum(axis=1)
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a[:n], dtype=np.uint8) != np.frombuffer(b[:n], dtype=np.uint8)
+    return a.count(b" ", 0, int(differ.argmax()) if differ.any() else n)
+
+
+def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[str]):
+    """A pass over the sorted rows of a range: what each shares with its neighbours.
+
+    ``ids``: for each depth, the row of the range where the run begins that agrees in so many words; ``most``: the most
+    words shared with the row before or after; ``edge``: the words themselves, for the first and last row of a range.
+    """
+    depth = np.array(depths)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, same, begins, done = None, None, None, 0
+
+        def made(rows: pa.RecordBatch, shared: np.ndarray, ids: np.ndarray, base: int, after: np.ndarray, closed: bool) -> pa.RecordBatch:
+            n = rows.num_rows
+            at = base + np.arange(n)
+            edge = [w if at[i] == 0 or closed and i == n - 1 else None for i, w in enumerate(rows.column(by).to_pylist())]
+            offsets = pa.array(np.arange(0, n * len(depths) + 1, len(depths), dtype=np.int32))
+            cols = [rows.column(c) for c in keep]
+            cols += [pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(ids.T.astype(np.int64).ravel())), pa.array(np.maximum(shared, after).astype(np.int32)), pa.array(edge, type=pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "ids", "most", "edge"])
+
         for b in batches:
-            for doc, t, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = word_hashes(t)[0]
-                at = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts]))
-                at = at[at + words <= len(h)]
-                keys = rolling(h, at, at + words)
-                again = np.ones(len(keys), dtype=bool)
-                again[np.unique(keys, return_index=True)[1]] = False
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(again)], names=["key", "doc_id", "at", "again"])
+            if not b.num_rows:
+                continue
+            rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            common = shared_words(rows.column(by).to_pylist())
+            if run_column:
+                of = rows.column(run_column).to_numpy()
+                common = np.where(of[1:] == of[:-1], common, -1)
+            shared = np.concatenate(([UNKNOWN if held is None else same], common))
+            at = done + np.arange(rows.num_rows)
+            starts = np.where(shared[None, :] < depth, at[None, :], 0)
+            starts[:, 0] = 0 if held is None else begins
+            ids = np.maximum.accumulate(starts, axis=1)
+            yield made(rows.slice(0, rows.num_rows - 1), shared[:-1], ids[:, :-1], done, shared[1:], False)
+            held, same, begins, done = rows.slice(rows.num_rows - 1), shared[-1], ids[:, -1], done + rows.num_rows - 1
+        if held is not None:
+            yield made(held, np.array([same]), begins[:, None], done, np.array([UNKNOWN]), True)
+
+    return run
+
+
+def _numbered(rows: DataFrame, by: str, run_column: str | None, depths: list[int], keep: list[str], kinds: str, name: str) -> DataFrame:
+    """Rows sorted by words and numbered by run: ``keep``, ids array<long> by depth, most."""
+    order = [*([run_column] if run_column else []), by, "key", "mark", "at"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    passed = ["part", *keep, *([run_column] if run_column and run_column not in keep else [])]
+    more = f", {run_column} long" if run_column and run_column not in keep else ""
+    found = materialize(ranged.mapInArrow(_neighbours(by, run_column, depths, passed), f"part int, {kinds}{more}, n long, ids array<long>, most int, edge binary"), name)
+    ends = found.filter("edge is not null").select("part", "n", "ids", "edge", *([run_column] if run_column else [])).collect()  # two rows a range
+    carry, before, opened = [], None, None
+    for r in sorted(ends, key=lambda r: (r["part"], r["n"])):
+        if r["n"] == 0:
+            common = -1 if before is None or run_column and r[run_column] != before[run_column] else _shared(before["edge"], r["edge"])
+            opened = [opened[i] if common >= d else r["part"] << 32 for i, d in enumerate(depths)]
+            carry.append((r["part"], opened))
+        if r["n"] or r["part"] != (before["part"] if before else None):
+            opened = [opened[i] if x == 0 else (r["part"] << 32) + x for i, x in enumerate(r["ids"])]
+        before = r
+    table = F.broadcast(rows.sparkSession.createDataFrame(carry, "__part int, carry array<long>"))  # a row a range
+    whole = F.zip_with("ids", "carry", lambda x, c: F.when(x == 0, c).otherwise(F.shiftleft(F.col("part").cast("long"), 32) + x))
+    return found.join(table, F.col("part") == F.col("__part")).select(*keep, whole.alias("ids"), "most")
+
+
+def _first(rows: DataFrame, keys: list[str], name: str, *more: Column) -> DataFrame:
+    """The first (key, mark, at) of the rows of equal keys, where there are several."""
+    least = rows.groupBy(*keys).agg(F.min(F.struct("key", "mark", "at")).alias("of"), F.count("*").alias("n"), *more).filter("n > 1").drop("n")
+    return materialize(least.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in least.columns if c not in keys)), name)
+
+
+def spans(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
+    """documents -> (key, mark, spans array<struct<start, stop, of>>) in words, for documents that repeat earlier text.
 
-    return rows.mapInArrow(run, "key long, doc_id long, at int, again boolean")
+    ``key`` is the doc_id, LAST for null; ``of`` is the least key of a document met along the span that has it earlier.
+    """
+    if words < window + kmer:
+        raise ValueError("words must be at least window + kmer")
+    text_batches(docs.sparkSession)
+    place = F.struct("key", "mark", "at")
+    every = materialize(_suffixes(docs, words, kmer, window), "suffixes")
+    alike = materialize(every.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("prefix").alias("__key")), "suffix-prefixes")
+    met = materialize(every.join(alike, F.col("prefix") == F.col("__key"), "left_semi"), "suffix-met")
+    discard(every, alike)
+
+    equal = _first(met, ["stretch"], "suffix-stretches")
+    judged = materialize(met.join(equal, F.col("stretch") == F.col("__stretch"), "left").select("key", "mark", "at", "first", "last", "prefix", F.when(F.col("of") < place, F.col("of")).alias("of")), "suffix-judged")
+    settled = judged.filter("of is not null").select("key", "mark", F.col("first").alias("start"), (F.col("last") + words).alias("stop"), F.col("of.key").alias("of"))
+    first = judged.filter("of is null").select("key", "mark", "at", "first", "last", "prefix").distinct()
+    others = materialize(first.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("prefix").alias("__key")), "suffix-runs")
+    open_ = first.join(others, F.col("prefix") == F.col("__key"), "left_semi")
+    discard(met, equal)
+
+    parts = open_.groupBy("key", "mark").agg(F.collect_list(F.struct("at", "first", "last")).alias("parts"))  # of one document
+    texts = _named(docs).join(parts.withColumnsRenamed({"key": "__key", "mark": "__mark"}).hint("merge"), (F.col("key") == F.col("__key")) & (F.col("mark") == F.col("__mark")))
+    spelt = materialize(_spelt(texts.select("key", "mark", "t", "parts"), words), "suffix-words")
+    own, kinds = ["key", "mark", "at", "low", "high"], "key long, mark long, at int, low int, high int"
+    right = _numbered(spelt, "right", None, list(range(words - window + 1, words + 1)), [*own, "left"], f"{kinds}, left binary", "suffix-right")
+    right = right.filter(f"{words} - most <= high").select(*own, "left", F.col("ids").alias("rights"), F.element_at("ids", 1).alias("run"), F.greatest("low", words - F.col("most")).alias("from"))
+    left = _numbered(right, "left", "run", list(range(window)), [*own, "rights", "from"], f"{kinds}, rights array<long>, from int", "suffix-left")
+
+    j, upto = F.col("j"), F.least("high", "most")
+    each = left.filter(F.col("from") <= upto).withColumn("j", F.explode(F.sequence(F.col("from"), upto)))
+    each = each.select("key", "mark", (F.col("at") - j).cast("int").alias("at"), j.cast("int").alias("j"), F.element_at("ids", j + 1).alias("l"), F.element_at("rights", window - j).alias("r"))
+    each = materialize(each, "suffix-passages")
+    same = _first(each, ["j", "l", "r"], "suffix-firsts")
+    later = each.join(same, (F.col("j") == F.col("__j")) & (F.col("l") == F.col("__l")) & (F.col("r") == F.col("__r"))).filter(F.col("of") < place)
+    covered = later.select("key", "mark", F.col("at").alias("start"), (F.col("at") + words).alias("stop"), F.col("of.key").alias("of")).union(settled)
+    ranges = covered.groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop", "of")).alias("ranges"))  # of one document
+    return ranges.mapInArrow(_merge, "key long, mark long, spans array<struct<start: int, stop: int, of: long>>")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +259,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("of", pa.int64())]))
     for b in batches:
         out = []
-        for ranges in b.columns[1].to_pylist():
+        for ranges in b.columns[2].to_pylist():
             spans: list[dict] = []
             for r in sorted(ranges, key=lambda r: (r["start"], r["stop"], r["of"])):
                 if spans and r["start"] <= spans[-1]["stop"]:
@@ -99,35 +268,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     spans.append(dict(r))
             out.append(spans)
-        yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(out, type=kind)], names=["doc_id", "spans"])
-
-
-def _least(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Least doc_id of the keys that several rows have."""
-    return materialize(rows.groupBy(key).agg(F.min("doc_id").alias("of"), F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("__key"), "of"), name)
-
-
-def spans(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
-    """documents -> (doc_id, spans array<struct<start, stop, of>>) in words, for documents that repeat earlier text.
-
-    ``of`` is a document that has it first: the smallest doc_id met along the span.
-    """
-    if words < window + kmer:
-        raise ValueError("words must be at least window + kmer")
-    text_batches(docs.sparkSession)
-    all_rows = materialize(_suffixes(docs, words, kmer, window), "suffixes")
-    equal = materialize(all_rows.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("prefix").alias("__key")), "suffix-prefixes")
-    rows = materialize(all_rows.join(equal, F.col("prefix") == F.col("__key"), "left_semi").drop("prefix"), "suffix-neighbours")
-    marked = rows.join(_least(rows, "stretch", "suffix-stretches"), F.col("stretch") == F.col("__key"), "left")
-    marked = materialize(marked.select("doc_id", "first", "last", F.when(F.col("of") < F.col("doc_id"), F.col("of")).alias("of")), "suffix-marked")
-    left = marked.filter("of is null").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open"))
-    texts = docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).join(left.hint("merge"), "doc_id").select("doc_id", "t", "open")
-    each = materialize(_windows(texts, words), "suffix-windows")
-    found = each.join(_least(each, "key", "suffix-firsts"), F.col("key") == F.col("__key"))
-    covered = found.filter("again or of < doc_id").select("doc_id", F.col("at").alias("start"), (F.col("at") + words).alias("stop"), "of")
-    covered = covered.union(marked.filter("of is not null").select("doc_id", F.col("first").alias("start"), (F.col("last") + words).alias("stop"), "of"))
-    ranges = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "of")).alias("ranges"))
-    return ranges.mapInArrow(_merge, "doc_id long, spans array<struct<start: int, stop: int, of: long>>")
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, type=kind)], names=["key", "mark", "spans"])
 
 
 def cut(data: bytes, parts: list[dict]) -> bytes:
@@ -144,9 +285,10 @@ def cut(data: bytes, parts: list[dict]) -> bytes:
 def remove(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
     """``docs`` without repeated passages; documents of which no word is left go. n_chars, where there is one, is counted anew."""
     found = materialize(spans(docs, words, kmer, window), "suffix-spans")
-    found = found.groupBy("doc_id").agg(F.first("spans").alias("spans"))
     keep = [f.name for f in docs.schema]
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id").hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    key, mark = _names()
+    own = docs.withColumns({"__key": key, "__mark": mark})
+    joined = own.join(found.hint("merge"), (F.col("__key") == F.col("key")) & (F.col("__mark") == F.col("mark")), "left").select(*keep, "spans")
     place = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +307,7 @@ def remove(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int =
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """documents -> a row for each repeated span: doc_id, start_word, n_words, first_doc_id."""
-    each = spans(docs.select("doc_id", "text")).select("doc_id", F.explode("spans").alias("s"))
-    return each.select("doc_id", F.col("s.start").alias("start_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.of").alias("first_doc_id"))
+    """documents -> a row for each repeated span: doc_id, start_word, n_words, first_doc_id; repeated rows give theirs once."""
+    each = spans(docs.select("doc_id", "text")).select("key", F.explode("spans").alias("s"))
+    id_of = lambda c: F.when(c != LAST, c)
+    return each.select(id_of(F.col("key")).alias("doc_id"), F.col("s.start").alias("start_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), id_of(F.col("s.of")).alias("first_doc_id"))
