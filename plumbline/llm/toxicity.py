@@ -5,9 +5,10 @@ words between them, each counted once: words in one half of ``2^18`` buckets wit
 ``PAIR``. FTRL-proximal (McMahan et al. 2013) gives each coordinate its own rate, and its L1 term leaves most weights exactly
 zero, so that what is broadcast is compact.
 
-Training reads a bounded, hashed sample of labelled rows (``per_class`` expected each, a parameter), dealt to shards of about
-``SHARD_ROWS`` rows, which bounds a task. Shards run FTRL each from the common state, and the states are averaged after each
-round, piece by piece, on the executors. A fifth of the sample is held back once: with what the rest teaches, the threshold
+Training reads a bounded, hashed sample of labelled rows (``per_class`` expected each, a parameter), dealt to ``SHARDS``
+shards; the bound on the sample bounds each (some ``per_class / 2`` rows, of ``2^18`` buckets at most). Shards run FTRL each
+from the common state, and the states, two numbers a bucket and shard, are averaged after each round; more shards were worse,
+as each then sees too few toxic rows to lift a word over the L1 term. A fifth of the sample is held back once: with what the rest teaches, the threshold
 is put where F1 on that fifth is best, its rows weighted back to the classes' numbers; then the whole sample trains, and the
 threshold becomes part of the bias, so that score 0.5 is the cut. Rates, L1 and weights below were chosen in the same way, on
 a split inside the training rows. Scoring is one narrow pass over every whole text.
@@ -32,12 +33,10 @@ from plumbline.llm.langid import crc, sample
 
 BITS = 18
 HALF = 1 << (BITS - 1)
-PER_CLASS, SHARD_ROWS, ROUNDS, EPOCHS = 12_000, 1000, 3, 4
+PER_CLASS, SHARDS, ROUNDS, EPOCHS = 12_000, 4, 3, 4
 ALPHA, BETA, L1, L2, PAIR = 4.0, 1.0, 6.0, 0.1, 0.2
 #: Weight of a row of the rarer class 1 in the loss.
 POSITIVE = 5.0
-#: Pieces in which states are averaged.
-PIECES = 16
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
 
@@ -72,39 +71,51 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def ftrl(rows: list[tuple[float, np.ndarray]], z: np.ndarray, n: np.ndarray, epochs: int) -> None:
-    """Run over (label, distinct buckets) rows in order, changing z and n."""
+    """Run over (label, distinct buckets in order) rows in order, changing z and n."""
+    ready = [(y, x.astype(np.intp), int(np.searchsorted(x, HALF))) for y, x in rows]  # words before pairs
     for _ in range(epochs):
-        for y, x in rows:
-            zx, nx, v = z[x], n[x], values(x)
-            w = weights_of(zx, nx)
-            g = (1 / (1 + np.exp(-np.clip((w * v).sum(), -30, 30))) - y) * (POSITIVE if y else 1.0) * v
-            z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * w
-            n[x] = nx + g * g
+        for y, x, k in ready:
+            zx, nx = z[x], n[x]
+            root = np.sqrt(nx)
+            w = (np.sign(zx) * L1 - zx) / ((BETA + root) / ALPHA + L2)
+            w[np.abs(zx) <= L1] = 0.0
+            total = w[:k].sum() + PAIR * w[k:].sum()
+            g = np.full(len(x), (1 / (1 + np.exp(-min(30.0, max(-30.0, total)))) - y) * (POSITIVE if y else 1.0))
+            g[k:] *= PAIR
+            more = nx + g * g
+            z[x] = zx + g - (np.sqrt(more) - root) / ALPHA * w
+            n[x] = more
 
 
 def fit(rows: DataFrame) -> np.ndarray:
-    """(doc_id, y, x) of a bounded sample -> weights by bucket."""
+    """(shard, y, x) of a written sample, a shard's rows together and in training order -> weights by bucket."""
     spark = rows.sparkSession
-    shards = max(1, round(rows.count() / SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(shards)))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            z, n = (a.copy() for a in state.value)
-            group = group.assign(order=(group["doc_id"].to_numpy(dtype=np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).sort_values(["order", "doc_id"])
-            ftrl([(y, np.asarray(x)) for y, x in zip(group["y"], group["x"], strict=True)], z, n, EPOCHS)
-            cut = lambda a: [p.tobytes() for p in np.split(a, PIECES)]
-            return pd.DataFrame({"piece": range(PIECES), "z": cut(z), "n": cut(n)})
-
-        def mean(group: pd.DataFrame) -> pd.DataFrame:
-            both = {c: [np.mean([np.frombuffer(x) for x in group[c]], axis=0).tobytes()] for c in ("z", "n")}
-            return pd.DataFrame({"piece": group["piece"].iloc[:1], **both})
-
-        kind = "piece int, z binary, n binary"
-        got = sorted(dealt.groupBy("shard").applyInPandas(run, kind).groupBy("piece").applyInPandas(mean, kind).collect())  # 2^18 pairs in all
-        z, n = (np.concatenate([np.frombuffer(r[c]) for r in got]) for c in ("z", "n"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def trained(shard: int, held: list[tuple[float, np.ndarray]]) -> pa.RecordBatch:
+                z, n = (a.copy() for a in state.value)
+                ftrl(held, z, n, EPOCHS)
+                cols = [pa.array([shard], type=pa.int32()), *(pa.array([a.astype(np.float32).tobytes()], type=pa.binary()) for a in (z, n))]
+                return pa.RecordBatch.from_arrays(cols, names=["shard", "z", "n"])
+
+            now, held = None, []
+            for b in batches:
+                x = b.column("x")
+                ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
+                for i, (shard, y) in enumerate(zip(b.column("shard").to_pylist(), b.column("y").to_pylist(), strict=True)):
+                    if shard != now and held:
+                        yield trained(now, held)
+                        held = []
+                    now = shard
+                    held.append((y, flat[ends[i] : ends[i + 1]].copy()))
+            if held:
+                yield trained(now, held)
+
+        got = rows.select("shard", "y", "x").mapInArrow(run, "shard int, z binary, n binary").orderBy("shard").collect()  # a row a shard, of 2^18 pairs
+        z, n = (np.mean([np.frombuffer(r[c], dtype=np.float32) for r in got], axis=0, dtype=np.float64) for c in ("z", "n"))
         state.unpersist()
     return weights_of(z, n)
 
@@ -130,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.
         return np.zeros(1 << BITS)
     chosen = sample(known, "y", per_class)
     rows = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y", "doc_id long, y double, x array<int>")  # at most two classes of per_class rows
-    rows = materialize(rows, "toxic-sample")
+    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(SHARDS)).cast("int"), "turn": F.xxhash64("doc_id", F.lit(47))})
+    rows = materialize(rows.repartition(16 * SHARDS, "shard").sortWithinPartitions("shard", "turn", "doc_id"), "toxic-sample")
     if rows.select("y").distinct().count() < 2:
         return np.zeros(1 << BITS)
     back = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(5)) == 0
