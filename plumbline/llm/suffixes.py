@@ -144,11 +144,17 @@ def _shared(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, int(differ.argmax()) if differ.any() else n)
 
 
+def _digests(row: bytes, depths: list[int]) -> list[bytes | None]:
+    ends = [0, *(i + 1 for i, c in enumerate(row) if c == 32)]
+    return [xxhash.xxh3_128_digest(row[: ends[d]]) if d < len(ends) else None for d in depths]
+
+
 def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[str]):
     """A pass over the sorted rows of a range: what each shares with its neighbours.
 
     ``ids``: for each depth, the row of the range where the run begins that agrees in so many words; ``most``: the most
-    words shared with the row before or after; ``edge``: the words themselves, for the first and last row of a range.
+    words shared with the row before or after; ``edge``: for the first and last row of a range, a 128-bit digest of its
+    first words at each depth, null where it has not so many.
     """
     depth = np.array(depths)[:, None]
 
@@ -158,10 +164,10 @@ def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[s
         def made(rows: pa.RecordBatch, shared: np.ndarray, ids: np.ndarray, base: int, after: np.ndarray, closed: bool) -> pa.RecordBatch:
             n = rows.num_rows
             at = base + np.arange(n)
-            edge = [w if at[i] == 0 or closed and i == n - 1 else None for i, w in enumerate(rows.column(by).to_pylist())]
+            edge = [_digests(rows.column(by)[i].as_py(), depths) if at[i] == 0 or closed and i == n - 1 else None for i in range(n)]
             offsets = pa.array(np.arange(0, n * len(depths) + 1, len(depths), dtype=np.int32))
             cols = [rows.column(c) for c in keep]
-            cols += [pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(ids.T.astype(np.int64).ravel())), pa.array(np.maximum(shared, after).astype(np.int32)), pa.array(edge, type=pa.binary())]
+            cols += [pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(ids.T.astype(np.int64).ravel())), pa.array(np.maximum(shared, after).astype(np.int32)), pa.array(edge, type=pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "ids", "most", "edge"])
 
         for b in batches:
@@ -191,13 +197,13 @@ def _numbered(rows: DataFrame, by: str, run_column: str | None, depths: list[int
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     passed = ["part", *keep, *([run_column] if run_column and run_column not in keep else [])]
     more = f", {run_column} long" if run_column and run_column not in keep else ""
-    found = materialize(ranged.mapInArrow(_neighbours(by, run_column, depths, passed), f"part int, {kinds}{more}, n long, ids array<long>, most int, edge binary"), name)
-    ends = found.filter("edge is not null").select("part", "n", "ids", "edge", *([run_column] if run_column else [])).collect()  # two rows a range
+    found = materialize(ranged.mapInArrow(_neighbours(by, run_column, depths, passed), f"part int, {kinds}{more}, n long, ids array<long>, most int, edge array<binary>"), name)
+    ends = found.filter("edge is not null").select("part", "n", "ids", "edge", *([run_column] if run_column else [])).collect()  # two rows a range, of numbers and digests
     carry, before, opened = [], None, None
     for r in sorted(ends, key=lambda r: (r["part"], r["n"])):
         if r["n"] == 0:
-            common = -1 if before is None or run_column and r[run_column] != before[run_column] else _shared(before["edge"], r["edge"])
-            opened = [opened[i] if common >= d else r["part"] << 32 for i, d in enumerate(depths)]
+            goes_on = before is not None and not (run_column and r[run_column] != before[run_column])
+            opened = [opened[i] if goes_on and e is not None and e == before["edge"][i] else r["part"] << 32 for i, e in enumerate(r["edge"])]
             carry.append((r["part"], opened))
         if r["n"] or r["part"] != (before["part"] if before else None):
             opened = [opened[i] if x == 0 else (r["part"] << 32) + x for i, x in enumerate(r["ids"])]
