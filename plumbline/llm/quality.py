@@ -1,14 +1,18 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Every document gets five counts and, from them, four rates. A mergeable quantile sketch of each rate is kept per language
-and source: logarithmic bins (as in DDSketch), so the sketch is a small table of bin counts, merges by addition, does not
-depend on the order of the rows, and answers quantiles within a stated relative error. The upper fence of a group is
-q75 + spread * max(q75 - q50, floor): it follows the group's own distribution where a fixed cutoff would not. Groups of
-fewer than ``min_docs`` documents take the sketch of their language, and languages that small the sketch of all documents;
-both are sums of the finer sketches. Documents are then joined to the fences of their group and filtered.
+Every document gets five counts and, from them, four rates. A mergeable quantile sketch of each rate, and of the numbers of
+words and characters, is kept per language and source: logarithmic bins (as in DDSketch), so the sketch is a small table of
+bin counts, merges by addition, does not depend on the order of the rows, and answers quantiles within a stated relative
+error. The upper fence of a group is q75 + spread * max(q75 - q50, unit), where the unit is what the least event makes of the
+rate in the group's median document: one symbol, one repeated line, one window of five words that occurs twice, a tenth of
+the median word length. It follows the group's own distribution where a fixed cutoff would not, and no label has a part in
+it. Groups of fewer than ``min_docs`` documents take the sketch of their language, and languages that small the sketch of all
+documents; both are sums of the finer sketches. Documents are then joined to the fences of their group and filtered; a rate
+equal to its fence passes.
 
 Texts: null is the empty text (all counts 0); null lang or source is a group of its own; repeated rows count and appear
-each time; columns of the input pass through, and columns that the operator adds replace those of the same name.
+each time; an empty table gives an empty result; long texts are read whole; columns of the input pass through, and columns
+that the operator adds replace those of the same name.
 """
 
 from __future__ import annotations
@@ -27,18 +31,17 @@ from plumbline.llm.common import SPACE, apart, as_bytes, materialize, text_batch
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOL = np.zeros(256, dtype=np.int64)
 SYMBOL[list(b"#*$%&|<>")] = 1
-#: rate -> (SQL over the counts, least distance between the median and the upper quartile that a fence assumes)
+#: rate -> (SQL over the counts, SQL over the medians of a group: the unit of its fence)
 RATES = {
-    "symbol_rate": ("n_symbols / word_chars", 0.004),
-    "repeat_rate": ("n_repeat_words / n_words", 0.03),
-    "dup_line_rate": ("n_dup_lines / n_words", 0.02),
-    "word_length": ("word_chars / n_words", 0.8),
+    "symbol_rate": ("n_symbols / word_chars", "1 / q50_word_chars"),
+    "repeat_rate": ("n_repeat_words / n_words", "10 / q50_n_words"),
+    "dup_line_rate": ("n_dup_lines / n_words", "1 / q50_n_words"),
+    "word_length": ("word_chars / n_words", "0.1 * q50_word_length"),
 }
+SKETCHED = (*RATES, "n_words", "word_chars")
 #: Bins grow by this factor: a quantile is right within about 2.5 %.
 GAMMA, LEAST = 1.05, 1e-6
 SPREAD, MIN_DOCS = 6.0, 50
-#: Groups whose fences may be broadcast; beyond, they are joined by a shuffle with salted keys.
-BROADCAST_GROUPS, SALTS = 20_000, 32
 
 
 def count_words(data: bytes) -> tuple[int, int, int, int, int]:
@@ -96,8 +99,8 @@ def _value(b):
 
 
 def sketch(rated: DataFrame) -> DataFrame:
-    """Bin counts of every rate by language and source: (lang, source, rate, bin, n)."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), _bin(F.col(k)).alias("bin")) for k in RATES))).alias("r")
+    """Bin counts by language and source: (lang, source, rate, bin, n)."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), _bin(F.col(k)).alias("bin")) for k in SKETCHED))).alias("r")
     return rated.select("lang", "source", each).groupBy("lang", "source", "r.rate", "r.bin").agg(F.count("*").alias("n"))
 
 
@@ -106,27 +109,30 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], spread: float) -> DataFrame:
-    """Upper fence of each rate by ``keys``: one row a group, with its number of documents and a column for each rate."""
+def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a group: docs, and q50 and q75 of everything sketched."""
     upto = Window.partitionBy(*keys, "rate").orderBy("bin")
     whole = Window.partitionBy(*keys, "rate")
     ranked = sketches.select(*keys, "rate", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("docs"))
-    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("docs"), _value(F.col("bin"))))
-    found = ranked.groupBy(*keys, "rate").agg(F.max("docs").alias("docs"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
-    floor = F.element_at(F.create_map(*(F.lit(x) for k, (_, f) in RATES.items() for x in (k, f))), F.col("rate"))
-    fence = F.col("q75") + spread * F.greatest(F.col("q75") - F.col("q50"), floor)
-    return found.groupBy(*keys).agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("rate") == k, fence)).alias(f"max_{k}") for k in RATES))
+    quantile = lambda k, q: F.min(F.when((F.col("rate") == k) & (F.col("upto") >= q * F.col("docs")), _value(F.col("bin"))))
+    return ranked.groupBy(*keys).agg(F.max("docs").alias("docs"), *(quantile(k, q).alias(f"q{round(100 * q)}_{k}") for k in SKETCHED for q in (0.5, 0.75)))
+
+
+def fence(rate: str, spread: float):
+    """Upper fence of a rate over the quartiles of a group."""
+    return F.expr(f"q75_{rate} + {spread}d * greatest(q75_{rate} - q50_{rate}, {RATES[rate][1]})")
 
 
 def thresholds(rated: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
     """Fences of every (lang, source) that occurs, small groups by their language or by all documents."""
     fine = materialize(sketch(rated), "quality-sketch")
-    names = [f"max_{k}" for k in RATES]
+    names = [f"{q}_{k}" for k in SKETCHED for q in ("q50", "q75")]
     as_ = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
-    own, lang, every = fences(fine, ["lang", "source"], spread), as_(fences(merge(fine, "lang"), ["lang"], spread), "l"), as_(fences(merge(fine), [], spread), "a")
+    own, lang, every = quartiles(fine, ["lang", "source"]), as_(quartiles(merge(fine, "lang"), ["lang"]), "l"), as_(quartiles(merge(fine), []), "a")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every))  # one row
     pick = lambda c: F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return materialize(joined.select("lang", "source", *(pick(c).alias(c) for c in names)), "quality-fences")
+    picked = joined.select("lang", "source", *(pick(c).alias(c) for c in names))
+    return materialize(picked.select("lang", "source", *(fence(k, spread).alias(f"max_{k}") for k in RATES)), "quality-fences")
 
 
 def judge(docs: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -137,13 +143,7 @@ def judge(docs: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) ->
     rated = rates(materialize(count(docs), "quality-counts")).withColumn("base_failed", base_failed())
     limits = thresholds(rated.filter("not base_failed"), spread, min_docs)
     limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(F.col(f"max_{k}").alias(f"__max_{k}") for k in RATES))
-    on = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    if limits.count() <= BROADCAST_GROUPS:
-        joined = rated.join(F.broadcast(limits), on, "left")
-    else:
-        limits = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = rated.withColumn("__s", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)).cast("int"))
-        joined = rated.join(limits, on & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
+    joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     fits = F.lit(True)
     for k in RATES:
         fits = fits & (F.col(k) <= F.coalesce(F.col(f"__max_{k}"), F.lit(float("inf"))))
