@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, langid, licenses, mixing, ordermin, quality, simhash, suffixes, toxicity, warc
 from plumbline.llm.common import read
+from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +51,3 @@ def op9_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity, op1_licenses, op4_warc, op9_ordermin)}
-ORACLES: dict[str, str] = {}
