@@ -1,72 +1,167 @@
 """Exact top-k search: sparse (TF-IDF) by cosine and by L2, dense by L2 and by cosine.
 
-Queries are the small side and their number is checked before they are broadcast. Scores are rounded to nine digits before
-they are ranked, ties go by id.
+Queries and vectors meet in matrix products, a block of queries and a batch of vectors at a time; what leaves a task is the
+k best of each query. Queries are broadcast if they are one block, whose size is bounded; beyond that, blocks of queries and
+slabs of vectors are dealt to a grid of groups of bounded size. Scores are rounded to nine digits before they are ranked,
+ties go by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import strip
-from plumbline.operators.tfidf import embed
+from plumbline.operators.tfidf import MAX_FEATURES, pack
+from plumbline.sources.shared import materialize
 
-#: Query rows up to which the query side is broadcast whole; dense queries beyond go in blocks of as many.
+#: Queries of a block: at most 32 MB of a thousand doubles each, which is also what is broadcast at most.
 QUERY_BLOCK = 4096
+#: Vectors of a slab, on average.
+SLAB = 20_000
 
 
 def blank_query_guard(queries: DataFrame) -> DataFrame:
     return queries.filter(strip("query") != "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _dots(q: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, dot) of pairs that share a term."""
-    side = _small(q.select("query_id", "term", F.col("weight").alias("wq")), 200 * QUERY_BLOCK)
-    return vectors.join(side, "term").groupBy("query_id", key).agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"))
+class Best:
+    """The k best vectors of each query so far: highest score, then least id. Scores of NaN are no hits."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((queries, k), -np.inf), None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """queries x vectors scores, and the vectors' ids."""
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], np.where(np.isnan(scores), -np.inf, scores)[:, order]
+        if self.ids is None:
+            self.ids = np.full(self.scores.shape, ids[0], dtype=object)
+        live = np.flatnonzero((scores >= self.scores[:, -1:]).any(axis=1) & (scores.max(axis=1) > -np.inf))
+        if not len(live):
+            return
+        near = np.argsort(-scores[live], axis=1, kind="stable")[:, : self.k]
+        for i, at in zip(live, near, strict=True):
+            s, names = np.append(self.scores[i], scores[i, at]), np.append(self.ids[i], ids[at].astype(object))
+            have = s > -np.inf
+            s, names = s[have], names[have]
+            first = sorted(range(len(s)), key=lambda j: (-s[j], names[j]))[: self.k]
+            self.scores[i, : len(first)], self.ids[i, : len(first)] = s[first], names[first]
+
+    def rows(self, queries: np.ndarray, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        some = self.scores > -np.inf
+        ids = self.ids[some].tolist() if self.ids is not None else []
+        cols = [pa.array(np.repeat(queries, some.sum(axis=1)), type=pa.int64()), pa.array(ids, type=kind), pa.array(self.scores[some], type=pa.float64())]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _dense(columns: list[pa.Array]) -> np.ndarray:
+    """An array column as a matrix; vectors of unlike length are an error."""
+    lengths = columns[0].value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of unlike length")
+    return columns[0].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), -1)
+
+
+def _sparse(columns: list[pa.Array]) -> np.ndarray:
+    """Packed rows as a matrix over the vocabulary."""
+    out = np.zeros((len(columns[0]), MAX_FEATURES))
+    row = np.repeat(np.arange(len(out)), columns[0].value_lengths().to_numpy(zero_copy_only=False))
+    out[row, columns[0].flatten().to_numpy(zero_copy_only=False)] = columns[1].flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, values: list[str], matrix: Callable, score: Callable) -> DataFrame:
+    """(query_id, values) against (key, values) -> (query_id, key, score) of each query's k best.
+
+    ``matrix`` makes a matrix of the columns ``values``, ``score`` the scores of queries x vectors; NaN is no hit. Rows of a
+    null value or key are left out.
+    """
+    whole = lambda df, name: df.select(name, *values).filter(" and ".join(f"{c} is not null" for c in (name, *values)))
+    q, v = whole(queries, "query_id"), whole(vectors, key)
+    kind = v.schema[key].dataType
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
+    arrow, names = pa.string() if kind.typeName() == "string" else pa.int64(), ["query_id", key, "score"]
+    batch = lambda b: (b.columns[0].to_numpy(zero_copy_only=False), matrix(b.columns[1:]))
+    found = lambda x, y: np.round(score(x, y), 9)
+    held = q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    if held.num_rows <= QUERY_BLOCK:
+        shared = queries.sparkSession.sparkContext.broadcast(held)
+
+        def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not shared.value.num_rows:
+                return
+            ids, m = batch(shared.value.to_batches()[0])
+            best = Best(len(ids), k)
+            for b in batches:
+                if b.num_rows:
+                    names_, rows = batch(b)
+                    best.add(found(m, rows), names_)
+            yield best.rows(ids, arrow, names)
+
+        return top_k(v.mapInArrow(past, schema), key, k).drop("rank")
+    deal = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(n)).cast("int")
+    blocks, slabs = math.ceil(q.count() / QUERY_BLOCK), math.ceil(v.count() / SLAB)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("block", deal("query_id", blocks)).withColumn("slab", each(max(1, slabs)))
+    right = v.withColumn("slab", deal(key, max(1, slabs))).withColumn("block", each(blocks))
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_batches([], schema=pa.schema([(names[0], pa.int64()), (key, arrow), ("score", pa.float64())]))
+        one = lambda t: batch(t.select([t.schema.names[0], *values]).combine_chunks().to_batches()[0])
+        (ids, m), (names_, rows) = one(a), one(b)
+        best = Best(len(ids), k)
+        best.add(found(m, rows), names_)
+        return pa.Table.from_batches([best.rows(ids, arrow, names)])
+
+    pairs = left.groupBy("block", "slab").cogroup(right.groupBy("block", "slab")).applyInArrow(met, schema)
+    return top_k(pairs, key, k).drop("rank")
+
+
+def _overlaps(texts: DataFrame, index: dict[str, DataFrame], vectors: DataFrame, key: str, k: int, score: Callable) -> DataFrame:
+    """The k best documents that share a term with each query, of those in ``vectors``."""
+    q = pack(texts.withColumnRenamed("query", "text"), index["vocabulary"], "query_id")
+    return materialize(nearest(q, vectors, key, k, ["places", "weights"], _sparse, score), "hits")
+
+
+def _some(dot: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return np.where(dot > 0, score, np.nan)
 
 
-def _fill(queries: DataFrame, candidates: DataFrame, key: str, k: int) -> DataFrame:
-    """The first k candidates for each query: all that any query can need of those that score alike."""
-    first = candidates.select(key).orderBy(key).limit(k)
-    return queries.select("query_id").join(F.broadcast(first))  # k rows
+def _short(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Queries with fewer than k hits: all their hits are in ``best``."""
+    return queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
+
+
+def _first(queries: DataFrame, candidates: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n candidates for each query: all that any query can need of those that score alike."""
+    return queries.join(F.broadcast(candidates.select(key).orderBy(key).limit(n)))  # n rows
 
 
 def search_cosine(queries: DataFrame, index: dict[str, DataFrame], k: int = 5, key: str = "kb_id", only: Column | None = None) -> DataFrame:
     """(query_id, query) -> query_id, rank, key, score; ``only`` keeps documents before ranking; zero scores fill up the k."""
-    q = embed(queries.withColumnRenamed("query", "text"), index["vocabulary"], "query_id")
     docs = index["chunks"] if only is None else index["chunks"].filter(only)
-    vectors = index["vectors"] if only is None else index["vectors"].join(docs.select(key), key, "left_semi")
-    near = _dots(q, vectors, key)
+    vectors = index["packed"] if only is None else index["packed"].join(docs.select(key), key, "left_semi")
     # a unit vector over (norm + 1e-10) twice
-    hits = near.select("query_id", key, F.round(F.col("dot") / ((1 + 1e-10) * (1 + 1e-10)), 9).alias("score"))
-    best = top_k(hits, key, k).drop("rank")
-    met = best.groupBy("query_id").agg(F.collect_set(key).alias("met"))
-    rest = _zero_fill(queries, docs, near, met, key, k)
+    best = _overlaps(queries, index, vectors, key, k, lambda q, v: _some(d := q @ v.T, d / ((1 + 1e-10) * (1 + 1e-10))))
+    pool = _first(_short(queries, best, k), docs, key, 2 * k)  # fewer than k of them overlap
+    rest = pool.join(best.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.unionByName(rest), key, k)
 
 
-def _zero_fill(queries: DataFrame, docs: DataFrame, near: DataFrame, met: DataFrame, key: str, k: int) -> DataFrame:
-    """Documents without overlap, score 0, for queries with fewer than k overlapping ones: the lowest ids not in ``near``."""
-    short = queries.select("query_id").join(near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
-    pool = _fill(short, docs, key, 2 * k)  # fewer than k of them overlap
-    return pool.join(near.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-
-
 def search_tfidf_l2(queries: DataFrame, index: dict[str, DataFrame], k: int = 5, key: str = "chunk_id") -> DataFrame:
     """Nearest by squared L2, score 1 / (1 + d2), blank queries dropped.
 
@@ -74,23 +169,20 @@ def search_tfidf_l2(queries: DataFrame, index: dict[str, DataFrame], k: int = 5,
     and stay candidates, and so do unit chunks without overlap; of either only the first ids can be needed.
     """
     queries = blank_query_guard(queries)
-    q = embed(queries.withColumnRenamed("query", "text"), index["vocabulary"], "query_id")
-    known = q.select("query_id").distinct().withColumn("qq", F.lit(1.0))
+    best = _overlaps(queries, index, index["packed"], key, k, lambda q, v: _some(d := q @ v.T, 1 / (3.0 - 2 * d)))
+    known = pack(queries.withColumnRenamed("query", "text"), index["vocabulary"], "query_id").select("query_id", F.lit(1.0).alias("qq"))
     norms = queries.select("query_id").join(known, "query_id", "left").select("query_id", F.coalesce("qq", F.lit(0.0)).alias("qq"))
-    near = _dots(q, index["vectors"], key)
-    hits = near.select("query_id", key, (2.0 - 2 * F.col("dot")).alias("d2"))
-    unit = index["vectors"].select(key).distinct()
-    zero = _fill(norms, index["chunks"].join(unit, key, "left_anti"), key, k).join(norms, "query_id").select("query_id", key, F.col("qq").alias("d2"))
-    far = _fill(norms, unit, key, 2 * k)
-    short = norms.join(near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id", "qq")
-    far = far.join(near.select("query_id", key), ["query_id", key], "left_anti").join(short, "query_id").select("query_id", key, (F.col("qq") + 1).alias("d2"))
-    every = hits.unionByName(zero).unionByName(far)
-    return top_k(every.select("query_id", key, F.round(1 / (1 + F.col("d2")), 9).alias("score")), key, k)
+    at = lambda d2: F.round(1 / (1 + d2), 9).alias("score")
+    unit = index["packed"].select(key)
+    zero = _first(norms, index["chunks"].join(unit, key, "left_anti"), key, k).select("query_id", key, at(F.col("qq")))
+    far = _first(norms.join(_short(queries, best, k), "query_id"), unit, key, 2 * k)
+    far = far.join(best.select("query_id", key), ["query_id", key], "left_anti").select("query_id", key, at(F.col("qq") + 1))
+    return top_k(best.unionByName(zero).unionByName(far), key, k)
 
 
 def attach_metadata(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Hits with the text and metadata of their own chunk."""
-    return chunks.join(_small(hits, QUERY_BLOCK * 100), key)
+    return chunks.join(hits, key)
 
 
 def search_by_source(queries: DataFrame, index: dict[str, DataFrame], source: str, k: int = 5, exact: bool = False) -> DataFrame:
@@ -98,45 +190,12 @@ def search_by_source(queries: DataFrame, index: dict[str, DataFrame], source: st
     own = F.col("source_file") == F.lit(source)
     if exact:
         chunks = index["chunks"].filter(own)
-        index = index | {"chunks": chunks, "vectors": index["vectors"].join(chunks.select("chunk_id"), "chunk_id", "left_semi")}
+        index = index | {"chunks": chunks, "packed": index["packed"].join(chunks.select("chunk_id"), "chunk_id", "left_semi")}
         return attach_metadata(search_tfidf_l2(queries, index, k), chunks)
     hits = attach_metadata(search_tfidf_l2(queries, index, 5 * k), index["chunks"]).filter(own)
     return top_k(hits.drop("rank"), "chunk_id", k)
 
 
-def _dense(queries: DataFrame, vectors: DataFrame, k: int, score) -> DataFrame:
-    """Blocks of queries against all vectors: a matrix product a batch, k best a batch and query, then the k best of all."""
-    rows = queries.orderBy("query_id").toLocalIterator()
-    out = None
-    block: list = []
-
-    def run_block(block: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in block])
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r["embedding"] for r in block], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = b.columns[1].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                s = np.round(score(q, v), 9)
-                vec = b.columns[0].to_numpy()
-                best = np.lexsort((np.broadcast_to(vec, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(vec[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["query_id", "vec_id", "score"])
-
-        return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = run_block(block) if out is None else out.union(run_block(block)), []
-    if block or out is None:
-        part = run_block(block) if block else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        out = part if out is None else out.union(part)
-    return top_k(out, "vec_id", k)
-
-
 def _l2(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     d2 = np.maximum((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T, 0)
     return 1 / (1 + d2)
@@ -148,12 +207,12 @@ def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def search_l2(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, embedding) against (vec_id, embedding): query_id, rank, vec_id, score = 1 / (1 + d2)."""
-    return _dense(queries, vectors, k, _l2)
+    """(query_id, embedding) against (vec_id, embedding): query_id, rank, vec_id, score = 1 / (1 + d2). Null vectors are no hits."""
+    return top_k(nearest(queries, vectors, "vec_id", k, ["embedding"], _dense, _l2), "vec_id", k)
 
 
 def search_dense_cosine(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    return _dense(queries, vectors, k, _cosine)
+    return top_k(nearest(queries, vectors, "vec_id", k, ["embedding"], _dense, _cosine), "vec_id", k)
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -162,6 +221,12 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y)) / (F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x))))
 
 
+def similarity_ratio(a: str | Column, b: str | Column) -> Column:
+    """One similarity over another, rounded; null where the other is zero."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.round(F.try_divide(a, b), 9)
+
+
 def pairwise_cosine(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs with cosine and its band: above 0.9, 0.8, 0.7, 0.5, or below."""
     df = pairs.withColumn("cosine", F.round(cosine(a, b), 9))

@@ -1,9 +1,14 @@
-"""TF-IDF: unigrams and bigrams, the most frequent terms, smooth idf with +1, unit rows, in sparse long form."""
+"""TF-IDF: unigrams and bigrams, the most frequent terms, smooth idf with +1, unit rows.
+
+A row is packed: places in the vocabulary and weights, two arrays. Terms outside the vocabulary are counted where they
+arise and go no further; a text's own terms leave its row only if the vocabulary has them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.text import ngrams, tokenize
 from plumbline.sources.shared import materialize
@@ -13,43 +18,62 @@ MAX_FEATURES = 1000
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
-    """(key, text) -> (key, term, tf). A term's count is within its text, so it is combined before the shuffle."""
+    """(key, text) -> (key, term, tf)."""
     return texts.select(key, F.explode(ngrams(tokenize("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(counts: DataFrame, n_texts: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, total, df, idf) of the most frequent terms, ties by term. An empty corpus is an error."""
+def fit_vocabulary(texts: DataFrame, max_features: int = MAX_FEATURES, tokens: str | None = None) -> DataFrame:
+    """(at, term, total, df, idf) of the most frequent terms, ties by term, ``at`` from 0. An empty corpus is an error.
+
+    Terms of a text are sorted within its row, so that the first of each is known there: total and df are one count,
+    combined before the shuffle. ``tokens`` names a column that has them already.
+    """
+    n_texts = texts.count()
     if not n_texts:
         raise ValueError("no texts to fit on")
-    top = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    return top.withColumn("idf", F.ln((1 + F.lit(float(n_texts))) / (1 + F.col("df"))) + 1)
+    terms = F.sort_array(ngrams(F.col(tokens) if tokens else tokenize("text")))
+    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get(F.col("terms"), i - 1) != t, F.lit(True)).alias("first")))
+    each = texts.select(terms.alias("terms")).select(F.explode(marked).alias("x"))
+    counts = each.groupBy("x.term").agg(F.count(F.lit(1)).alias("total"), F.count_if("x.first").alias("df"))
+    top = counts.orderBy(F.desc("total"), "term").limit(max_features)
+    place = (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("at")  # of max_features rows
+    return top.select(place, "term", "total", "df", (F.ln((1 + F.lit(float(n_texts))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def pack(texts: DataFrame, vocabulary: DataFrame, key: str, tokens: str | None = None) -> DataFrame:
+    """(key, places array<int>, weights array<double>), rows of unit length; texts without known terms have no rows."""
+    terms = F.explode(ngrams(F.col(tokens) if tokens else tokenize("text"))).alias("term")
+    known = texts.select(key, terms).join(F.broadcast(vocabulary.select("term", "at", "idf")), "term")  # MAX_FEATURES rows
+    counts = known.repartition(F.col(key)).groupBy(key, "at").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    rows = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("r"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.select(key, F.transform("r", lambda x: x["at"]).alias("places"), F.transform("r", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
-def weigh(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Counts and a fitted vocabulary -> (key, term, weight), rows of unit length; texts without known terms have no rows."""
-    w = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = w.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return packed.select(key, F.explode("terms").alias("x"), "norm").select(key, "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
+def unpack(packed: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """Packed rows in long form: (key, term, weight)."""
+    each = packed.select(key, F.explode(F.arrays_zip("places", "weights")).alias("x")).select(key, F.col("x.places").alias("at"), F.col("x.weights").alias("weight"))
+    return each.join(F.broadcast(vocabulary.select("at", "term")), "at").select(key, "term", "weight")  # MAX_FEATURES rows
 
 
 def embed(texts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Texts or queries under a fitted vocabulary; unknown terms count for nothing."""
-    return weigh(term_counts(texts, key), vocabulary, key)
+    """Texts or queries under a fitted vocabulary, in long form; unknown terms count for nothing."""
+    return unpack(pack(texts, vocabulary, key), vocabulary, key)
 
 
 def build_index(chunks: DataFrame, max_features: int = MAX_FEATURES, key: str = "chunk_id") -> dict[str, DataFrame]:
-    """(key, text, ...) -> chunks, vocabulary and vectors."""
-    counts = materialize(term_counts(chunks, key), "term-counts")
-    vocabulary = materialize(fit_vocabulary(counts, chunks.count(), max_features), "vocabulary")
-    return {"chunks": chunks, "vocabulary": vocabulary, "vectors": weigh(counts, vocabulary, key)}
+    """(key, text, ...) -> chunks, vocabulary, packed rows, and the same as vectors in long form. Texts are cut and tokenised once."""
+    own = materialize(chunks.withColumn("__tokens", tokenize("text")), "index-chunks")
+    vocabulary = materialize(fit_vocabulary(own, max_features, "__tokens"), "index-vocabulary")
+    packed = materialize(pack(own, vocabulary, key, "__tokens"), "index-vectors")
+    return {"chunks": own.drop("__tokens"), "vocabulary": vocabulary, "packed": packed, "vectors": unpack(packed, vocabulary, key)}
 
 
 def index_stats(index: dict[str, DataFrame]) -> DataFrame:
     """One row: chunks, dimension, stored weights, number of source files and their names."""
     c = index["chunks"].agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct("source_file").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source_file")), ",").alias("sources"))
-    return c.join(index["vocabulary"].agg(F.count(F.lit(1)).alias("dimension"))).join(index["vectors"].agg(F.count(F.lit(1)).alias("index_size")))
+    return c.join(index["vocabulary"].agg(F.count(F.lit(1)).alias("dimension"))).join(index["packed"].agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("index_size")))
 
 
 def sample_chunks(chunks: DataFrame, n: int = 5, seed: int = 0, key: str = "chunk_id") -> DataFrame:
-    """n chunks without replacement, all if there are fewer; the same ones for the same seed."""
-    return chunks.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n chunks without replacement, all if there are fewer; the same ones for the same seed: the first by a digest of seed and key."""
+    return chunks.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.chunks import chunk_documents
 from plumbline.operators.model import Model
+from plumbline.sources.shared import spread
 
 #: Two components over the five features of readings_events.
 MODEL = Model(
@@ -47,7 +48,7 @@ def ranges(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("source_file"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), "text")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +69,17 @@ def knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
     s = c.groupBy(F.col("conv_id").alias("solution_id")).agg(said("user").alias("u"), said("system").alias("root_causes"), said("assistant").alias("solutions"))
     pick = F.element_at(F.array(*(F.lit(x) for x in ("critical", "high", "medium", "low"))), (F.col("solution_id") % 4 + 1).cast("int"))
-    sols = s.select("solution_id", F.coalesce(F.get("u", F.lit(0)), F.lit("")).alias("problem"), F.slice("u", 2, 1_000_000).alias("symptoms"), "root_causes", "solutions", pick.alias("priority"), F.lit("1d").alias("typical_resolution_time"))
+    sols = s.select("solution_id", F.coalesce(F.get("u", F.lit(0)), F.lit("")).alias("problem"), F.slice("u", 2, F.greatest(F.size("u") - 1, F.lit(0))).alias("symptoms"), "root_causes", "solutions", pick.alias("priority"), F.lit("1d").alias("typical_resolution_time"))
     cons = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("concept_id"), F.substring_index("text", " ", 1).alias("term"), F.col("text").alias("definition"), F.lit("").alias("interpretation"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"))
     return {"features": feats, "solutions": sols, "concepts": cons}
 
 
+def advice(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The two lists of plain texts of a knowledge base."""
+    c = table(spark, sf_dir, "conversations")
+    return {"best_practices": c.filter("role = 'system'").select("text"), "tips": c.filter("role = 'user' and turn > 0").select("text")}
+
+
 # The same in SQL, as named common table expressions.
 
 _J, _A = range(5), range(2)
@@ -95,7 +102,7 @@ CHUNKS = (
     + f", cut AS (SELECT doc_id, source_file, file_path, list_filter(list_transform(range(0, length(text), {CHUNK['size'] - CHUNK['overlap']}), lambda s: {STRIP.format(f'substr(text, s + 1, {CHUNK["size"]})')}), lambda c: c <> '') AS pieces FROM docs)"
     + ", chunks AS (SELECT doc_id, source_file, file_path, doc_id * 100000 + pos AS chunk_id, pos AS chunk_pos, pieces[pos + 1] AS text FROM (SELECT *, unnest(range(0, len(pieces))) AS pos FROM cut))"
 )
-QUERIES = "queries AS (SELECT item_id AS query_id, substr(text, 1, 200) AS query FROM benchmark UNION ALL VALUES (1000001, 'qqzzqq xxyyxx'), (1000002, chr(32) || chr(32) || chr(10) || chr(32)))"
+QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL VALUES (1000001, 'qqzzqq xxyyxx'), (1000002, chr(32) || chr(32) || chr(10) || chr(32)))"
 TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 

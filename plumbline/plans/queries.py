@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,9 @@ from plumbline.operators import search as se
 from plumbline.operators import tfidf as tf
 from plumbline.plans import fixtures as fx
 from plumbline.plans.fit import fit_model
-from plumbline.plans.report import text_report
-from plumbline.sources.files import append_index
-from plumbline.sources.shared import materialize
+from plumbline.plans.report import envelope, text_report
+from plumbline.sources.files import append_index, read_days, read_index, write_index, write_readings
+from plumbline.sources.shared import materialize, shared_dir
 from plumbline.streaming.monitor import monitor_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,15 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 
 _day = f"ts BETWEEN TIMESTAMP '{fx.DAY[0]}' AND TIMESTAMP '{fx.DAY[1].replace('T', ' ')}'"
 query("time_range_filter", f"SELECT * FROM readings WHERE {_day}", fx.READINGS)(lambda s, d: rd.time_range_filter(fx.readings(s, d), *fx.DAY))
+
+
+@query("read_days", f"SELECT * FROM readings WHERE {_day}", fx.READINGS)
+def _days(s, d):
+    path = f"{shared_dir(s)}/readings-{uuid.uuid4().hex}"
+    write_readings(fx.readings(s, d), path)
+    return read_days(s, path, *fx.DAY)
+
+
 query("project_columns", "SELECT target, ts FROM readings", fx.READINGS)(lambda s, d: rd.project_columns(fx.readings(s, d), ["target", "nothing", "ts"]))
 query("format_time", "SELECT reading_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM readings", fx.READINGS)(lambda s, d: rd.format_time(fx.readings(s, d)).select("reading_id", "ts"))
 query("recent_range", "SELECT reading_id, ts, target FROM readings WHERE ts BETWEEN (SELECT max(ts) FROM readings) - INTERVAL 7 DAY AND (SELECT max(ts) FROM readings)", fx.READINGS)(lambda s, d: rd.recent_range(fx.readings(s, d), "7 days").select("reading_id", "ts", "target"))
@@ -100,7 +110,17 @@ def analysed(s: SparkSession, d: str) -> DataFrame:
 
 query("analyze_ranges", f"SELECT r.range_id, {_status}, {', '.join(_MON + _CNT)}, f.position, f.reading_id AS first_id FROM ranges r LEFT JOIN agg USING (range_id) LEFT JOIN firsts f USING (range_id)", f"{_inr}, {_agg}")(lambda s, d: analysed(s, d).select("range_id", "status", *r6(*_MON), *_CNT, F.col("first_anomaly.position").alias("position"), F.col("first_anomaly.reading_id").alias("first_id")))
 query("analysis_summary", "SELECT r.range_id, anomaly_count > 0 AS has_anomaly, CASE WHEN anomaly_count > 0 THEN '异常' ELSE '正常' END AS status_word, CASE WHEN anomaly_count > 0 THEN '检测到 ' || anomaly_count || ' 个异常点（异常率: ' || printf('%.2f%%', anomaly_count * 100.0 / total_samples) || '）' ELSE '未检测到异常，数据波动在正常范围内' END AS message FROM ranges r LEFT JOIN agg USING (range_id)", f"{_inr}, {_agg}")(lambda s, d: analysed(s, d).select("range_id", "has_anomaly", "status_word", "message"))
-query("text_report")(lambda s, d: text_report(analysed(s, d)))
+_four = "printf('%.4f', {0})".format
+_block = lambda name, c, ucl: " || chr(10) || ".join([f"'  {name}统计量：'", *(f"'    - {label}：' || {_four(x)}" for label, x in (("均值", f"avg_{c}"), ("最大值", f"max_{c}"), ("最小值", f"min_{c}"), ("标准差", f"std_{c}"), ("控制上限 (UCL)", f"{ucl}::DOUBLE")))])
+_contrib = lambda name, stat: f"CASE WHEN f.{stat}_anomaly THEN chr(10) || chr(10) || '  {name}异常主要贡献特征：' || chr(10) || (SELECT string_agg('    ' || rank || '. ' || feature || ': ' || printf('%.6f', value), chr(10) ORDER BY rank) FROM top WHERE top.reading_id = f.reading_id AND stat = '{stat}') ELSE '' END"
+_raw = "raw AS (SELECT range_id, " + ", ".join(f"{f}({c}) AS {k}_{c}" for c in ("t2", "spe") for k, f in (("avg", "avg"), ("max", "max"), ("min", "min"), ("std", "stddev_pop"))) + ", count(*) AS n, count(*) FILTER (WHERE anomaly) AS hit, count(*) FILTER (WHERE t2_anomaly) AS t2n, count(*) FILTER (WHERE spe_anomaly) AS spen FROM inr GROUP BY range_id)"
+_rate = "printf('%.2f%%', hit * 100.0::DOUBLE / n)"
+_rule = "'" + "=" * 70 + "'"
+_alarm = " || ".join(["'  ⚠ 该时间段内检测到 ' || hit || ' 个异常点。' || chr(10) || '  ⚠ 异常率为 '", _rate, "'，需要关注。' || chr(10) || chr(10) || '【首个异常点详情】' || chr(10) || '  时间：' || strftime(f.ts, '%Y-%m-%d %H:%M:%S') || chr(10) || '  位置：第 ' || (f.position + 1) || ' 个数据点' || chr(10) || '  T²值：'", _four("f.t2"), f"' (阈值: ' || {_four(f'{M.ucl_t2}::DOUBLE')} || ')' || chr(10) || '  SPE值：'", _four("f.spe"), f"' (阈值: ' || {_four(f'{M.ucl_spe}::DOUBLE')} || ')'", _contrib("T²", "t2"), _contrib("SPE", "spe")])
+_calm = "'  ✓ 该时间段内束流运行状况良好，所有数据点均在正常范围内。' || chr(10) || '  ✓ T²统计量和SPE统计量均未超出控制上限。' || chr(10) || '  ✓ 未检测到显著的异常波动。'"
+_body = " || chr(10) || ".join([_rule, "'📊 束流波动分析报告'", _rule, "chr(10) || '【分析时间范围】'", "'  起始时间：' || r.start_time", "'  结束时间：' || r.end_time", "'  数据条数：' || n || ' 条'", "chr(10) || '【统计指标】'", _block("T²", "t2", M.ucl_t2), "chr(10) || " + _block("SPE", "spe", M.ucl_spe), "chr(10) || '【异常检测结果】'", "'  状态：' || CASE WHEN hit > 0 THEN '⚠️ 异常' ELSE '✅ 正常' END", "'  总样本数：' || n || ' 个'", "'  异常点数：' || hit || ' 个'", "'  异常率：' || " + _rate, "'  T²异常数：' || t2n || ' 个'", "'  SPE异常数：' || spen || ' 个'", "chr(10) || '【分析结论】'", f"CASE WHEN hit > 0 THEN {_alarm} ELSE {_calm} END", "chr(10) || " + _rule])
+query("text_report", f"SELECT r.range_id, CASE WHEN NOT valid THEN '❌ 分析失败：invalid_time' WHEN n IS NULL THEN '❌ 分析失败：no_data' ELSE {_body} END AS report FROM ranges r LEFT JOIN raw USING (range_id) LEFT JOIN firsts f USING (range_id)", f"{_inr}, {_raw}, {_long}")(lambda s, d: text_report(analysed(s, d)))
+query("envelope", "SELECT range_id, CASE WHEN valid THEN '{\"success\":true,\"data\":{\"range_id\":' || range_id || ',\"status\":\"ok\",\"count\":' || count(reading_id) || '}}' ELSE '{\"success\":false,\"error\":\"invalid_time\"}' END AS json FROM ranges LEFT JOIN readings ON ts BETWEEN start_ts AND end_ts GROUP BY range_id, valid", f"{fx.READINGS}, {fx.RANGES_SQL}")(lambda s, d: envelope(rd.stats_by_range(fx.readings(s, d), fx.ranges(s)).select("range_id", "status", "count"), "range_id", "status"))
 query("score_wide")(lambda s, d: mo.score(fx.readings_wide(s, d), fit_model(fx.readings_wide(s, d), 4)).select("reading_id", *r6("t2", "spe"), "anomaly"))
 query("monitor_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, {_mon}, {_cnt} FROM scored GROUP BY 1", fx.SCORED)(lambda s, d: monitor_stream(fx.readings(s, d), M).select("window_start", *r6(*_MON), *_CNT))
 
@@ -133,14 +153,23 @@ def index(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return tf.build_index(fx.chunks(s, d))
 
 
-query("fit_vocabulary", "SELECT term, total::BIGINT AS total, df, round(idf, 6) AS idf FROM vocab", fx.INDEX)(lambda s, d: index(s, d)["vocabulary"].select("term", "total", "df", *r6("idf")))
+query("fit_vocabulary", "SELECT term, total::BIGINT AS total, df, round(idf, 6) AS idf FROM vocab", fx.INDEX)(lambda s, d: tf.fit_vocabulary(fx.chunks(s, d)).select("term", "total", "df", *r6("idf")))
 query("tfidf_vectors", "SELECT chunk_id, term, round(weight, 6) AS weight FROM vectors", fx.INDEX)(lambda s, d: index(s, d)["vectors"].select("chunk_id", "term", *r6("weight")))
-query("embed_queries", "SELECT query_id, term, round(weight, 6) AS weight FROM qvec", fx.EMBEDDED)(lambda s, d: tf.embed(fx.queries(s, d).withColumnRenamed("query", "text"), index(s, d)["vocabulary"], "query_id").select("query_id", "term", *r6("weight")))
+query("embed_queries", "SELECT query_id, term, round(weight, 6) AS weight FROM qvec", fx.EMBEDDED)(lambda s, d: tf.embed(fx.queries(s, d).withColumnRenamed("query", "text"), tf.fit_vocabulary(fx.chunks(s, d)), "query_id").select("query_id", "term", *r6("weight")))
 query("index_stats", "SELECT (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(DISTINCT source_file) FROM chunks) AS n_sources, (SELECT string_agg(source_file, ',' ORDER BY source_file) FROM (SELECT DISTINCT source_file FROM chunks)) AS sources, (SELECT count(*) FROM vocab) AS dimension, (SELECT count(*) FROM vectors) AS index_size", fx.INDEX)(lambda s, d: tf.index_stats(index(s, d)))
-query("sample_chunks")(lambda s, d: tf.sample_chunks(fx.chunks(s, d), 5).select("chunk_id", "text"))
+query("sample_chunks", "SELECT chunk_id, text FROM chunks ORDER BY md5('0|' || chunk_id), chunk_id LIMIT 5", fx.CHUNKS)(lambda s, d: tf.sample_chunks(fx.chunks(s, d), 5).select("chunk_id", "text"))
 query("blank_query_guard", "SELECT query_id, query FROM asked", fx.QUERIES + ", asked AS (SELECT * FROM queries WHERE " + fx.STRIP.format("query") + " <> '')")(lambda s, d: se.blank_query_guard(fx.queries(s, d)))
 _l2 = ", dots AS (SELECT query_id, chunk_id, sum(q.weight * v.weight) AS dot FROM qvec q JOIN vectors v USING (term) GROUP BY ALL), unit AS (SELECT DISTINCT chunk_id FROM vectors), known AS (SELECT DISTINCT query_id FROM qvec), d2 AS (SELECT a.query_id, c.chunk_id, (CASE WHEN k.query_id IS NULL THEN 0 ELSE 1 END) + (CASE WHEN u.chunk_id IS NULL THEN 0 ELSE 1 END) - 2 * coalesce(dot, 0) AS d2 FROM asked a CROSS JOIN chunks c LEFT JOIN known k ON k.query_id = a.query_id LEFT JOIN unit u ON u.chunk_id = c.chunk_id LEFT JOIN dots d ON d.query_id = a.query_id AND d.chunk_id = c.chunk_id), hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + d2), 9) DESC, chunk_id) AS rank, chunk_id, round(1 / (1 + d2), 9) AS score FROM d2 QUALIFY rank <= 25)"
 query("search_tfidf_l2", "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits WHERE rank <= 5", fx.EMBEDDED + _l2)(lambda s, d: se.search_tfidf_l2(fx.queries(s, d), index(s, d), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *r6("score")))
+
+
+@query("read_index", "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits WHERE rank <= 5", fx.EMBEDDED + _l2)
+def _reloaded(s, d):
+    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    write_index(path, index(s, d))
+    return se.search_tfidf_l2(fx.queries(s, d), read_index(s, path), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *r6("score"))
+
+
 query("attach_metadata", "SELECT query_id, rank, chunk_id, source_file, file_path, text FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3", fx.EMBEDDED + _l2)(lambda s, d: se.attach_metadata(se.search_tfidf_l2(fx.queries(s, d), i := index(s, d), 3), i["chunks"]).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_file", "file_path", "text"))
 query("search_by_source", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id, round(score, 6) AS score FROM hits JOIN chunks USING (chunk_id) WHERE source_file = 'src3' QUALIFY rank <= 5", fx.EMBEDDED + _l2.replace("QUALIFY rank <= 25", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + d2), 9) DESC, chunk_id) <= 25"))(lambda s, d: se.search_by_source(fx.queries(s, d), index(s, d), "src3", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *r6("score")))
 ORACLES["search_by_source"] = f"WITH {fx.EMBEDDED}{_l2} SELECT query_id, n AS rank, chunk_id, round(score, 6) AS score FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY h.rank) AS n FROM hits h JOIN chunks USING (chunk_id) WHERE source_file = 'src3') WHERE n <= 5"
@@ -163,6 +192,15 @@ def _pairs(s, d):
     return se.pairwise_cosine(a.join(b, F.col("b_id") == F.col("a_id") + 1)).select("a_id", "b_id", *r6("cosine"), "band")
 
 
+@query("similarity_ratio", "SELECT a.vec_id, round(c1 / c2, 5) AS ratio FROM (SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c1, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS c2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2) a WHERE abs(c2) > 0.01")
+def _ratio(s, d):
+    v = fx.table(s, d, "embeddings")
+    named = lambda n, i: v.select((F.col("vec_id") - i).alias("vec_id"), F.col("embedding").alias(n))
+    c = named("a", 0).join(named("b", 1), "vec_id").join(named("c", 2), "vec_id")
+    c = c.select("vec_id", F.round(se.cosine("a", "b"), 9).alias("c1"), F.round(se.cosine("a", "c"), 9).alias("c2")).filter("abs(c2) > 0.01")
+    return c.select("vec_id", F.round(se.similarity_ratio("c1", "c2"), 5).alias("ratio"))
+
+
 @query("append_index", "SELECT label AS part, count(*) AS n FROM embeddings GROUP BY label")
 def _append(s, d):
     v = fx.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
@@ -184,7 +222,7 @@ def hits(df: DataFrame) -> DataFrame:
 
 
 query("kb_documents", "SELECT kb_id, type, key, priority, text FROM kb", fx.KB)(lambda s, d: kn.kb_documents(*fx.knowledge(s, d).values()))
-query("kb_stats", "SELECT (SELECT count(*) FROM features) AS features_count, (SELECT count(*) FROM solutions) AS solutions_count, (SELECT count(*) FROM concepts) AS concepts_count", fx.KNOWLEDGE)(lambda s, d: kn.kb_stats(fx.knowledge(s, d)))
+query("kb_stats", "SELECT (SELECT count(*) FROM features) AS features_count, (SELECT count(*) FROM solutions) AS solutions_count, (SELECT count(*) FROM concepts) AS concepts_count, (SELECT count(*) FROM conversations WHERE role = 'system') AS best_practices_count, (SELECT count(*) FROM conversations WHERE role = 'user' AND turn > 0) AS tips_count", fx.KNOWLEDGE)(lambda s, d: kn.kb_stats(fx.knowledge(s, d) | fx.advice(s, d)))
 _names = "names AS (SELECT DISTINCT 'feature' || (p_partkey * 2 + 1) AS feature_name FROM part)"
 
 
@@ -243,14 +281,24 @@ def anomalies(s: SparkSession, d: str) -> DataFrame:
 query("anomaly_feature_set", "SELECT reading_id AS anomaly_id, string_agg(feature, ',' ORDER BY o) AS feature_names FROM (SELECT *, row_number() OVER (PARTITION BY reading_id ORDER BY o) AS n FROM (SELECT reading_id, feature, min(o) AS o FROM (SELECT reading_id, feature, CASE WHEN stat = 't2' THEN rank ELSE 3 + rank END AS o FROM top) GROUP BY ALL)) WHERE n <= 5 GROUP BY reading_id", f"{fx.SCORED}, {_long}")(lambda s, d: anomalies(s, d).select("anomaly_id", F.array_join(kn.anomaly_feature_set(), ",").alias("feature_names")))
 
 
-@query("recommend")
+_FS = f"{fx.SCORED}, {_long}, fs AS (SELECT reading_id AS anomaly_id, list(feature ORDER BY o) AS fl FROM (SELECT *, row_number() OVER (PARTITION BY reading_id ORDER BY o) AS n FROM (SELECT reading_id, feature, min(CASE WHEN stat = 't2' THEN rank ELSE 3 + rank END) AS o FROM top GROUP BY ALL)) WHERE n <= 5 GROUP BY reading_id), sets AS (SELECT fl, row_number() OVER () AS query_id FROM (SELECT DISTINCT fl FROM fs))"
+_KNOWN = "known AS (SELECT query_id, list(feature_name ORDER BY nth) AS explained, string_agg(name || ' ' || related_to, ' ' ORDER BY nth) AS more, list(feature_name || '(' || name || '): ' || impact ORDER BY nth) AS lines FROM (SELECT query_id, unnest(range(1, len(fl) + 1)) AS nth, unnest(fl) AS feature_name FROM sets) JOIN features USING (feature_name) GROUP BY query_id)"
+_PROBLEM = "asked AS (SELECT query_id, concat_ws(' ', '异常检测 ' || array_to_string(fl, ', ') || ' 异常', more) AS query FROM sets LEFT JOIN known USING (query_id))"
+_fixed = fx.cosine_search("fixed", 1, "type = 'concept'")
+for _old, _new in (("qcounts", "fcounts"), ("qvec", "fvec"), ("dots", "fdots"), ("hits", "fhits")):
+    _fixed = _fixed.replace(_old, _new)
+_REC = f"{_FS}, {fx.KB_INDEX}, {_KNOWN}, {_PROBLEM}, {fx.cosine_search('asked', 3, _only_sol)}, fixed AS (SELECT * FROM (VALUES (1, 'T2统计量 异常'), (2, 'SPE统计量 异常')) v(query_id, query)), {_fixed}, sols AS (SELECT query_id, list(kb_id ORDER BY rank) AS s FROM hits GROUP BY query_id), made AS (SELECT f.anomaly_id, f.fl, k.explained, k.lines, s.s, t2_anomaly, spe_anomaly FROM fs f JOIN sets USING (fl) LEFT JOIN known k USING (query_id) LEFT JOIN sols s USING (query_id) JOIN scored ON reading_id = anomaly_id)"
+_listed = "coalesce(array_to_string({0}, ','), '')".format
+
+
+@query("recommend", f"SELECT anomaly_id, {_listed('fl')} AS feature_names, {_listed('explained')} AS explained, {_listed('s')} AS solutions, {_listed('list_filter([CASE WHEN t2_anomaly THEN (SELECT kb_id FROM fhits WHERE query_id = 1) END, CASE WHEN spe_anomaly THEN (SELECT kb_id FROM fhits WHERE query_id = 2) END], lambda x: x IS NOT NULL)')} AS concepts, coalesce(len(s), 0) > 0 AS has_recommendations FROM made", _REC)
 def _recommend(s, d):
     k, i = kb(s, d)
     out = kn.recommend(materialize(anomalies(s, d), "anomalies"), k["features"], i)
     return out.select("anomaly_id", *(F.array_join(c, ",").alias(c) for c in ("feature_names", "explained", "solutions", "concepts")), "has_recommendations")
 
 
-@query("recommendation_summary")
+@query("recommendation_summary", "SELECT anomaly_id, '检测到异常，主要涉及特征: ' || array_to_string(fl, ', ') || '。' || coalesce(array_to_string(lines[1:2], ' '), '') AS summary FROM made", _REC)
 def _summary(s, d):
     k, i = kb(s, d)
     return kn.recommend(materialize(anomalies(s, d), "anomalies"), k["features"], i).select("anomaly_id", "summary")

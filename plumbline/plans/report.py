@@ -1,4 +1,4 @@
-"""Text report of analysed ranges, one string a row."""
+"""Text report of analysed ranges, one string a row, and rows as JSON for callers outside Spark."""
 
 from __future__ import annotations
 
@@ -37,3 +37,12 @@ def text_report(analysed: DataFrame) -> DataFrame:
         F.lit("\n【分析结论】"), F.when(F.col("has_anomaly"), alarm).otherwise(calm), F.lit("\n" + RULE),
     )
     return analysed.select("range_id", F.when(F.col("status") == "ok", body).otherwise(F.concat(F.lit(FAILED), F.col("status"))).alias("report"))
+
+
+def envelope(rows: DataFrame, key: str, status: str | None = None) -> DataFrame:
+    """(key, json): a row as {success, data}, or {success, error} where its status is not ok."""
+    good = F.lit(True) if status is None else F.coalesce(F.col(status) == "ok", F.lit(False))
+    data = F.struct(*(F.col(c) for c in rows.columns))
+    none = F.lit(None)
+    error = F.when(~good, F.col(status)) if status else none.cast("string")
+    return rows.select(key, F.to_json(F.struct(good.alias("success"), F.when(good, data).alias("data"), error.alias("error"))).alias("json"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import strip
+from plumbline.operators.chunks import assign_chunk_index, chunk_documents, processing_stats
 from plumbline.operators.model import Model
+from plumbline.operators.readings import time_range_filter
+from plumbline.operators.tfidf import build_index, unpack
+from plumbline.sources.shared import materialize
 
 FEATURE = "name string, description string, unit string, normal_range string, related_to string, anomaly_causes array<string>, impact string"
 SOLUTION = "problem string, symptoms array<string>, root_causes array<string>, solutions array<string>, priority string, typical_resolution_time string"
@@ -34,6 +39,12 @@ def write_readings(df: DataFrame, path: str) -> None:
     df.withColumn("date", F.to_date("ts")).repartition("date").write.partitionBy("date").parquet(path)
 
 
+def read_days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Readings of start <= ts <= end from what ``write_readings`` wrote; other days are not read."""
+    df = time_range_filter(spark.read.parquet(path), start, end)
+    return df.filter(F.col("date").between(*(F.to_date(F.lit(x)) for x in (start, end)))).drop("date")
+
+
 def list_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".pdf", ".txt")) -> DataFrame:
     """Files directly in a folder by lower-cased extension: path, content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
@@ -60,10 +71,10 @@ def parse_text(content: str | Column, path: str | Column) -> Column:
     return F.when(F.lower(name).endswith(".txt"), F.coalesce(strip(text), F.lit("")))
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Folder -> doc_id, source_file, file_path, text."""
-    files = list_documents(spark, folder)
-    return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("file_path"), parse_text("content", "path").alias("text"))
+def read_documents(spark: SparkSession, folder: str, parser: Callable[[Column, Column], Column] = parse_text, extensions: tuple[str, ...] = (".pdf", ".txt")) -> DataFrame:
+    """Folder -> doc_id, source_file, file_path, text. A parser makes the text from content and path, null where it cannot."""
+    files = list_documents(spark, folder, extensions)
+    return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("file_path"), parser(F.col("content"), F.col("path")).alias("text"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -106,23 +117,43 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model.from_dict(json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
-def write_index(path: str, chunks: DataFrame, vocabulary: DataFrame, vectors: DataFrame) -> None:
-    """Texts with their metadata, vocabulary and vectors, the vectors clustered by term."""
-    chunks.write.parquet(f"{path}/chunks")
-    vocabulary.write.parquet(f"{path}/vocabulary")
-    vectors.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vectors")
+def write_index(path: str, index: dict[str, DataFrame]) -> None:
+    """Texts with their metadata, vocabulary and packed vectors of an index that ``build_index`` made."""
+    for part in ("chunks", "vocabulary", "packed"):
+        index[part].write.parquet(f"{path}/{part}")
+
+
+def read_index(spark: SparkSession, path: str, key: str = "chunk_id") -> dict[str, DataFrame]:
+    """An index as it was built. Missing chunks, vocabulary or vectors are an error; missing metadata columns are null."""
+    for part in ("chunks", "vocabulary", "packed"):
+        if not _exists(spark, f"{path}/{part}"):
+            raise FileNotFoundError(f"no {part} in {path}")
+    index = {part: spark.read.parquet(f"{path}/{part}") for part in ("chunks", "vocabulary", "packed")}
+    for c in ("source_file", "file_path"):
+        if c not in index["chunks"].columns:
+            index["chunks"] = index["chunks"].withColumn(c, F.lit(None).cast("string"))
+    return index | {"vectors": unpack(index["packed"], index["vocabulary"], key)}
+
 
+def index_folder(spark: SparkSession, folder: str, path: str, parser: Callable[[Column, Column], Column] = parse_text, method: str | Callable[[str], Column] = "semantic", **params) -> DataFrame:
+    """Scan, parse, chunk, fit and write the index of a folder; what became of each document, as ``processing_stats`` has it.
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{path}/{k}") for k in ("chunks", "vocabulary", "vectors")}
+    Documents without text or chunk count as failed and are left out. Chunks are numbered by path and place.
+    """
+    docs = materialize(read_documents(spark, folder, parser), "documents")
+    chunks = materialize(chunk_documents(docs.filter("text <> ''"), method, **params), "chunks")
+    numbered = assign_chunk_index(chunks).withColumn("chunk_id", F.col("chunk_index"))
+    write_index(path, build_index(numbered))
+    return processing_stats(docs, chunks)
 
 
 def append_index(chunks: DataFrame, vectors: DataFrame, new_chunks: DataFrame, new_vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dense index plus new texts and vectors; every text needs a vector of the first dimension, every vector a text."""
+    """Dense index plus new texts and vectors; every text needs a vector, every vector a text, and all vectors one dimension."""
     odd = new_chunks.join(new_vectors, "chunk_id", "left_anti").count() + new_vectors.join(new_chunks, "chunk_id", "left_anti").count()
     if odd:
         raise ValueError(f"{odd} texts or vectors without a counterpart")
-    first = vectors.select(F.size("embedding")).first() or new_vectors.select(F.size("embedding")).first()
-    if first and new_vectors.filter(F.size("embedding") != first[0]).limit(1).count():
-        raise ValueError(f"dimension differs from {first[0]}")
+    sizes = [df.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first() for df in (vectors, new_vectors)]
+    have = {n for r in sizes for n in r if n is not None}
+    if len(have) > 1:
+        raise ValueError(f"dimensions differ: {sorted(have)}")
     return chunks.unionByName(new_chunks, allowMissingColumns=True), vectors.unionByName(new_vectors)

@@ -39,3 +39,9 @@ def discard(*tables: DataFrame) -> None:
                 raise ValueError(f"{folder} is not a materialised table")
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores: a scan of fewer row groups is dealt out, any other is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
