@@ -38,38 +38,41 @@ _SENTENCES = re.compile(r"[^。！？.!?]*[。！？.!?]+\s*|[^。！？.!?]+")
 
 
 def pack(text: str, most: int, least: int) -> list[str]:
-    """Paragraphs of one text packed up to ``most`` characters.
+    """Paragraphs of one text packed up to ``most`` characters; a rest of fewer than ``least`` goes to the chunk before it."""
+    made = [""]
+    for paragraph in re.split(r"\n\s*\n", text):
+        if paragraph := paragraph.strip():
+            made[-1:] = _grown(made[-1], paragraph, most, least)
+    *closed, rest = made
+    if closed and len(rest) < least:
+        closed[-1] = _joined(closed[-1], rest)
+        return closed
+    return [c for c in made if c]
 
-    A paragraph joins the open chunk while both and a blank line fit. Otherwise the chunk closes if it has ``least``
-    characters, or else takes the paragraph all the same; one that has grown too long is cut after sentences. A short rest
-    goes to the last chunk.
+
+def _joined(*parts: str) -> str:
+    return "\n\n".join(p for p in parts if p)
+
+
+def _grown(chunk: str, paragraph: str, most: int, least: int) -> list[str]:
+    """An open chunk and the paragraph after it: the chunks that this closes, and the open one.
+
+    They join if both and a blank line fit, or if the chunk has not ``least`` characters yet; what is too long then is cut.
     """
-    done: list[str] = []
-    now = ""
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        if len(now) + len(paragraph) + 2 <= most:
-            now = f"{now}\n\n{paragraph}" if now else paragraph
-            continue
-        if len(now) >= least:
-            done.append(now)
-            now = paragraph
-        else:
-            now = f"{now}\n\n{paragraph}" if now else paragraph
-        if len(now) > most:
-            part = ""
-            for sentence in (s for s in _SENTENCES.findall(now) if s.strip()):
-                if len(part) + len(sentence) <= most:
-                    part += sentence
-                else:
-                    if part.strip():
-                        done.append(part.strip())
-                    part = sentence
-            now = part
-    if now and len(now) < least and done:
-        done[-1] += f"\n\n{now}"
-    elif now:
-        done.append(now)
-    return done
+    if len(chunk) + len(paragraph) + 2 <= most:
+        return [_joined(chunk, paragraph)]
+    closed, left = ([chunk], paragraph) if len(chunk) >= least else ([], _joined(chunk, paragraph))
+    return closed + (_sentences(left, most) if len(left) > most else [left])
+
+
+def _sentences(chunk: str, most: int) -> list[str]:
+    """Pieces of whole sentences of up to ``most`` characters, one sentence at least; the last one stays open as it is."""
+    pieces = [""]
+    for sentence in _SENTENCES.findall(chunk):
+        if sentence.strip():
+            pieces[-1:] = [pieces[-1] + sentence] if len(pieces[-1]) + len(sentence) <= most else [pieces[-1], sentence]
+    *closed, rest = pieces
+    return [c.strip() for c in closed if c.strip()] + [rest]
 
 
 def chunk_semantic(text: str | Column, most: int = 800, least: int = 100) -> Column:

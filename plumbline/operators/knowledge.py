@@ -1,4 +1,7 @@
-"""The typed knowledge base: lookups, documents, search and recommendations. Knowledge tables are the small side."""
+"""The typed knowledge base: lookups, documents, search and recommendations.
+
+Knowledge tables may grow like any other: joins with them are plain, and adaptive execution broadcasts what turns out small.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,7 @@ LABELS = {"related": "相关系统", "causes": "可能异常原因", "impact": "
 UNKNOWN, NOT_RECORDED, ABNORMAL = "未知", "该特征的物理含义暂未录入知识库", "异常"
 DETECTED, T2_QUERY, SPE_QUERY = "异常检测", "T2统计量 异常", "SPE统计量 异常"
 FOUND = "检测到异常，主要涉及特征: "
+KEYWORD_BLOCK = 1000
 FIELDS = ("name", "description", "unit", "normal_range", "related_to", "anomaly_causes", "impact")
 
 
@@ -45,13 +49,13 @@ def build_kb_index(kb: DataFrame) -> dict[str, DataFrame]:
 
 def lookup_features(names: DataFrame, features: DataFrame) -> DataFrame:
     """Known names with their information."""
-    return names.join(F.broadcast(features), "feature_name")
+    return names.join(features, "feature_name")
 
 
 def explain_features(names: DataFrame, features: DataFrame) -> DataFrame:
     """Seven fields a name; unknown names keep their own as name, with a default description."""
     known = features.withColumn("__known", F.lit(True))
-    out = names.join(F.broadcast(known), "feature_name", "left")
+    out = names.join(known, "feature_name", "left")
     new = F.col("__known").isNull()
     default = {"name": F.when(new, F.col("feature_name")).otherwise(F.lit(UNKNOWN)), "description": F.when(new, NOT_RECORDED).otherwise("")}
     fields = [(F.coalesce(F.col(c), default.get(c, F.array().cast("array<string>") if c == "anomaly_causes" else F.lit(""))).alias(c)) for c in FIELDS]
@@ -67,9 +71,18 @@ def _haystack() -> Column:
 
 
 def solutions_by_keyword(solutions: DataFrame, keywords: list[str] | DataFrame) -> DataFrame:
-    """Solutions that hold any keyword, in any case; each once. A DataFrame has the column keyword."""
+    """Solutions that hold any keyword, in any case; each once. A DataFrame has the column keyword.
+
+    Keywords of a table meet the solutions in blocks of ``KEYWORD_BLOCK``; null ones are no keywords.
+    """
     if isinstance(keywords, DataFrame):
-        return solutions.join(F.broadcast(keywords), F.contains(_haystack(), F.lower("keyword")), "left_semi")
+        words = keywords.select(F.lower("keyword").alias("k")).filter("k is not null").distinct()
+        blocks = max(1, -(-words.count() // KEYWORD_BLOCK))
+        block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+        dealt = words.groupBy(block.alias("__block")).agg(F.collect_list("k").alias("__ks"))  # KEYWORD_BLOCK on average
+        hay = solutions.select("solution_id", _haystack().alias("__hay"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+        met = hay.join(dealt, "__block").filter(F.exists("__ks", lambda k: F.contains(F.col("__hay"), k))).select("solution_id").distinct()
+        return solutions.join(met, "solution_id", "left_semi")
     return solutions.filter(F.exists(F.array(*(F.lit(k.lower()) for k in keywords)).cast("array<string>"), lambda k: F.contains(_haystack(), k)))
 
 
@@ -100,7 +113,7 @@ def search_concepts(queries: DataFrame, index: dict[str, DataFrame], k: int = 3)
 def solution_queries(problems: DataFrame, features: DataFrame) -> DataFrame:
     """(query_id, problem, feature_names) -> (query_id, query): the problem, then name and related_to of its known features."""
     each = problems.select("query_id", F.posexplode_outer("feature_names").alias("at", "feature_name"))
-    info = each.join(F.broadcast(features.select("feature_name", "name", "related_to")), "feature_name")
+    info = each.join(features.select("feature_name", "name", "related_to"), "feature_name")
     more = info.groupBy("query_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.array(_or("name"), _or("related_to")).alias("w")))), lambda x: x["w"])), " ").alias("more"))
     return problems.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "problem", "more").alias("query"))
 
@@ -125,7 +138,7 @@ def explain_with_solutions(names: DataFrame, features: DataFrame, solutions: Dat
 
 def related_features(names: DataFrame, features: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """(query_id, feature_names) -> of the three nearest features those that were not asked for."""
-    each = names.select("query_id", F.posexplode("feature_names").alias("at", "feature_name")).join(F.broadcast(features.select("feature_name", "name")), "feature_name")
+    each = names.select("query_id", F.posexplode("feature_names").alias("at", "feature_name")).join(features.select("feature_name", "name"), "feature_name")
     q = each.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", "feature_name").alias("n")))), lambda x: x["n"]), " ").alias("query"))
     hits = search_typed(blank_query_guard(q), index, "feature", 3).withColumn("feature_name", F.substring_index("kb_id", ":", -1))
     return hits.join(names.select("query_id", F.explode("feature_names").alias("feature_name")), ["query_id", "feature_name"], "left_anti").select("query_id", "rank", "feature_name", "score")
@@ -155,7 +168,7 @@ def recommend(anomalies: DataFrame, features: DataFrame, index: dict[str, DataFr
     listed = F.array_join("feature_names", ", ")
     hits = find_solutions(sets.withColumn("problem", _text(f"{DETECTED} ", listed, f" {ABNORMAL}")), features, index, 3)
     sols = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kb_id"))), lambda x: x["kb_id"]).alias("solutions"))
-    each = sets.select("query_id", F.posexplode("feature_names").alias("at", "feature_name")).join(F.broadcast(features), "feature_name")
+    each = sets.select("query_id", F.posexplode("feature_names").alias("at", "feature_name")).join(features, "feature_name")
     line = F.struct("at", "feature_name", _text(F.col("feature_name"), "(", _or("name"), "): ", _or("impact")).alias("line"))
     info = each.groupBy("query_id").agg(F.array_sort(F.collect_list(line)).alias("known"))
     made = sets.join(sols, "query_id", "left").join(info, "query_id", "left").drop("feature_names")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.model import Model
 from plumbline.operators.readings import feature_columns, parse_ranges, range_join
+from plumbline.sources.shared import materialize
 
-#: Products of features and components up to which scores are column expressions; beyond, one matrix product a batch.
+#: Products of features and components up to which scores are column expressions; beyond, one matrix product a batch, which
+#: adds in another order, so that the last bits may differ.
 UNROLL = 200
 NORMAL, ABNORMAL, CLEAR = "正常", "异常", "未检测到异常，数据波动在正常范围内"
 
@@ -52,8 +54,8 @@ def residuals(z: list[Column], t: list[Column], m: Model) -> list[Column]:
     return [z[j] - _total([t[a] * F.lit(m.loadings[j][a]) for a in range(len(t))]) for j in range(len(z))]
 
 
-def spe_statistic(e: list[Column]) -> Column:
-    return _total([x * x for x in e])
+def spe_statistic(e: Column) -> Column:
+    return F.aggregate(F.transform(e, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
 
 
 def _matrix_scores(m: Model):
@@ -86,10 +88,7 @@ def score(readings: DataFrame, m: Model, null_policy: str = "drop") -> DataFrame
         df = df.withColumns({"t": F.array(*names_t), "e": F.array(*residuals([F.col(c) for c in names_z], [F.col(c) for c in names_t], m))}).drop(*names_z, *names_t)
     else:
         df = df.withColumn("__s", _matrix_scores(m)(F.array(*cols))).withColumns({"t": F.col("__s.t"), "e": F.col("__s.e")}).drop("__s")
-    lam = F.array(*(F.lit(x) for x in m.eigenvalues))
-    zero = F.lit(0.0)
-    df = df.withColumn("t2", F.aggregate(F.zip_with("t", lam, lambda t, v: t * t / v), zero, lambda a, x: a + x))
-    df = df.withColumn("spe", F.aggregate(F.transform("e", lambda e: e * e), zero, lambda a, x: a + x))
+    df = df.withColumns({"t2": t2_statistic([F.col("t")[a] for a in range(len(m.eigenvalues))], m), "spe": spe_statistic(F.col("e"))})
     return flag_anomalies(df, m)
 
 
@@ -157,10 +156,12 @@ def control_chart_series(scored: DataFrame, m: Model) -> DataFrame:
 def analyze_ranges(readings: DataFrame, ranges: DataFrame, m: Model) -> DataFrame:
     """One row a range: status, statistics, counts, limits, first anomaly and summary.
 
-    Readings are scored once, before ranges that overlap repeat them; the table of ranges is small beside them.
+    Readings are scored once, before ranges that overlap repeat them, and written: statistics, first anomalies and positions
+    read what was scored.
     """
     parsed = parse_ranges(ranges)
-    scored = range_join(score(readings, m), parsed)
+    columns = ["ts", "reading_id", "t", "e", "t2", "spe", "t2_anomaly", "spe_anomaly", "anomaly"]
+    scored = materialize(range_join(score(readings, m).select(*columns), parsed), "scored-ranges")
     agg = scored.groupBy("range_id").agg(*monitor_stats(), *anomaly_counts())
     first = first_anomaly(scored, m)
     struct = F.struct("position", "ts", "reading_id", "t2", "spe", "t2_anomaly", "spe_anomaly", "t2_top", "spe_top").alias("first_anomaly")

@@ -8,9 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Range tables up to this many rows are broadcast; larger ones meet the readings by time bucket.
-BROADCAST_RANGES = 10_000
-BUCKET_S = 86_400
+#: Range tables up to this many rows are broadcast and compared outright; larger ones meet the readings by time bucket.
+BROADCAST_RANGES = 64
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -72,16 +71,20 @@ def parse_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def range_join(readings: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
-    """Each reading with each parsed range that holds it, both ends inclusive."""
+    """Each reading with each parsed range that holds it, both ends inclusive.
+
+    Buckets are as wide as the ranges are long on average, so that ranges make about two rows each, however long they are.
+    """
     good = ranges.filter("start_ts <= end_ts").select("range_id", "start_ts", "end_ts")
-    span = good.agg(F.min("start_ts"), F.max("end_ts"), F.count(F.lit(1))).first()
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    span = good.agg(F.min("start_ts"), F.max("end_ts"), F.count(F.lit(1)), F.avg(second("end_ts") - second("start_ts"))).first()
     if not span[2]:
         return readings.limit(0).join(good.limit(0)).select("range_id", *readings.columns)
     near = readings.filter(F.col("ts").between(F.lit(span[0]).cast("timestamp_ntz"), F.lit(span[1]).cast("timestamp_ntz")))
     inside = F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
     if span[2] <= broadcast_ranges:
         return near.join(F.broadcast(good), inside).select("range_id", *readings.columns)
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / BUCKET_S)
+    bucket = lambda c: F.floor(second(c) / max(1, int(span[3])))
     dealt = good.withColumn("__bucket", F.explode(F.sequence(bucket("start_ts"), bucket("end_ts"))))
     return near.withColumn("__bucket", bucket("ts")).join(dealt, "__bucket").filter(inside).select("range_id", *readings.columns)
 

@@ -1,11 +1,15 @@
 """Golden cases and edge rules of the reference's operators."""
 
 import json
+import sys
 from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.operators import chunks as ch
@@ -105,6 +109,16 @@ def test_pack():
     assert ch.pack("q" * 99, 40, 5) == ["q" * 99]
 
 
+@given(st.lists(st.sampled_from(["word", "two words. ", "end! ", "。", "\n\n", "\n \n", "x" * 12, " "]), max_size=40), st.integers(10, 60), st.integers(1, 9))
+def test_pack_loses_nothing_and_keeps_to_its_bounds(parts, most, least):
+    text = "".join(parts)
+    got = ch.pack(text, most, least)
+    assert "".join("".join(got).split()) == "".join(text.split()) and all(c.strip() for c in got)
+    for c in got[:-1]:
+        if len(c) > most and "\n\n" not in c:
+            assert len([x for x in ch._SENTENCES.findall(c) if x.strip()]) <= 2  # no more than a sentence and what trails it
+
+
 def test_tfidf_and_searches(spark):
     c = spark.createDataFrame([(1, "s1", "alpha beta beta"), (2, "s1", "alpha gamma"), (3, "s2", "- ."), (4, "s2", "delta alpha")], "chunk_id long, source_file string, text string")
     i = tf.build_index(c)
@@ -147,6 +161,98 @@ def test_model_and_index_files(spark, tmp_path):
         files.append_index(v.select("chunk_id"), v, v.select("chunk_id"), spark.createDataFrame([(1, [1.0])], v.schema))
 
 
+def test_folder_to_index_to_search(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in {"a.txt": "alpha beta.\n\nbeta gamma.".encode(), "b.txt": "丁 汉字 delta".encode("gbk"), "c.txt": b" ", "d.md": b"alpha"}.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    stats = {r["file_path"].rpartition("/")[2]: (r["chunks"], r["failed"]) for r in files.index_folder(spark, str(tmp_path / "in"), str(tmp_path / "ix"), most=12, least=3).collect()}
+    assert stats == {"a.txt": (2, False), "b.txt": (1, False), "c.txt": (0, True)}
+    index = files.read_index(spark, str(tmp_path / "ix"))
+    q = spark.createDataFrame([(1, "gamma"), (2, "delta 汉字")], "query_id long, query string")
+    best = se.attach_metadata(se.search_tfidf_l2(q, index, 1), index["chunks"])
+    assert {r["query_id"]: (r["source_file"], r["text"]) for r in best.collect()} == {1: ("a.txt", "beta gamma."), 2: ("b.txt", "丁 汉字 delta")}
+    assert tf.index_stats(index).first()["n_sources"] == 2
+    spark.read.parquet(str(tmp_path / "ix" / "chunks")).drop("source_file").write.parquet(str(tmp_path / "bare" / "chunks"))
+    with pytest.raises(FileNotFoundError):
+        files.read_index(spark, str(tmp_path / "bare"))
+    for part in ("vocabulary", "packed"):
+        spark.read.parquet(str(tmp_path / "ix" / part)).write.parquet(str(tmp_path / "bare" / part))
+    assert files.read_index(spark, str(tmp_path / "bare"))["chunks"].filter("source_file is not null").count() == 0
+
+
+def test_parser_chunker_and_embedder_of_ones_own(spark, tmp_path):
+    (tmp_path / "a.rev").write_bytes(b"one|two")
+    docs = files.read_documents(spark, str(tmp_path), lambda content, path: F.reverse(content.cast("string")), (".rev",))
+    got = ch.chunk_documents(docs, lambda text: F.split(text, "[|]")).orderBy("chunk_pos").collect()
+    assert [r["text"] for r in got] == ["owt", "eno"]
+
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    texts = spark.createDataFrame([(1, "a"), (2, "aaaa"), (3, None)], "id long, text string").filter("text is not null").select("id", lengths("text").alias("embedding"))
+    hits = se.search_l2(texts.filter("id = 2").withColumnRenamed("id", "query_id"), texts.withColumnRenamed("id", "vec_id"), 2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in hits] == [2, 1]
+
+
+def test_readings_files(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("reading_id,ts,target,feature1\n1,2024-01-01 00:00:00,1.5,NaN\n2,2024-01-02 10:00:00,2.5,3\n3,2024-01-03 00:00:00,,4\n")
+    df = files.read_readings(spark, str(tmp_path / "r.csv"), 1)
+    assert [(r["reading_id"], r["target"], r["feature1"]) for r in df.orderBy("reading_id").collect()] == [(1, 1.5, None), (2, 2.5, 3.0), (3, None, 4.0)]
+    files.write_readings(df, str(tmp_path / "days"))
+    some = files.read_days(spark, str(tmp_path / "days"), "2024-01-02 00:00:00", "2024-01-02T23:00:00")
+    assert [r["reading_id"] for r in some.collect()] == [2] and some.columns == df.columns
+    assert "PartitionFilters: [isnotnull(date" in some._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_dense_search_skips_nulls_and_is_brute_force_in_one_block_or_many(spark, monkeypatch, block):
+    monkeypatch.setattr(se, "QUERY_BLOCK", block)
+    monkeypatch.setattr(se, "SLAB", 15)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[20:30] = v[5]
+    rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
+    vectors = spark.createDataFrame([*rows, (99, None), (None, [0.0] * 4)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([*rows[:10], (98, None)], "query_id long, embedding array<double>")
+    got = {}
+    for r in se.search_l2(queries, vectors, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {i: sorted(range(60), key=lambda j: (-round(1 / (1 + float(((v[i] - v[j]) ** 2).sum())), 9), j))[:4] for i in range(10)}
+    assert got == want
+    assert se.search_l2(queries.limit(0), vectors, 4).count() == 0 and se.search_l2(queries, vectors.limit(0), 4).count() == 0
+    with pytest.raises(Exception, match="unlike length"):
+        se.search_l2(queries, vectors.union(spark.createDataFrame([(100, [1.0])], vectors.schema)).coalesce(1), 4).collect()
+
+
+def test_keywords_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kn, "KEYWORD_BLOCK", 2)
+    sols = spark.createDataFrame([(i, f"p{i} Tail", None, ["Root"]) for i in range(9)], "solution_id long, problem string, symptoms array<string>, root_causes array<string>")
+    words = spark.createDataFrame([("P3",), ("p5 t",), (None,), ("zz",), ("p3",), ("p8",)], "keyword string")
+    assert sorted(r["solution_id"] for r in kn.solutions_by_keyword(sols, words).collect()) == [3, 5, 8]
+    assert kn.solutions_by_keyword(sols, words.limit(0)).count() == 0
+
+
+def test_many_ranges_by_bucket(spark):
+    df = _readings(spark, [(i, 1, 1) for i in range(60)])
+    ranges = spark.createDataFrame([(i, f"2024-01-01 00:{i % 60:02d}:00", f"2024-01-01 00:{min(59, i % 60 + i % 9):02d}:30") for i in range(100)], "range_id long, start_time string, end_time string")
+    near = lambda n: sorted((r["range_id"], r["reading_id"]) for r in rd.range_join(df, rd.parse_ranges(ranges), n).collect())
+    assert near(1000) == near(64) == near(0) and len(near(0)) > 100
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    import __spark_entry__
+    from plumbline.plans.queries import QUERIES
+
+    for name in ("plumbline.llm", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.delitem(sys.modules, "plumbline.llm.queries", raising=False)
+    with pytest.warns(UserWarning, match="left out"):
+        assert __spark_entry__.queries() == QUERIES
+    with pytest.warns(UserWarning, match="left out"):
+        assert __spark_entry__.oracle_sql()
+
+
 def test_fit_recovers_structure(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
