@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import discard, materialize  # noqa: F401
+from plumbline.sources.shared import discard, materialize, spread  # noqa: F401
 
 #: ASCII white space, as ``bytes.split()`` takes it.
 SPACE = np.zeros(256, dtype=bool)
@@ -31,7 +31,7 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> No
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def apart(*own: str) -> Callable:
