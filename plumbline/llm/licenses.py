@@ -1,15 +1,20 @@
 """Licence scans: a trained paragraph classifier, a calibrated unknown class, and templates that confirm.
 
-A paragraph is a line with a word. Its features are hashed word 1- to 3-grams (A-Z lower-cased, ASCII punctuation a blank),
-scaled by the root of their number. A sparse multinomial logistic regression over the licence families and ``unknown`` is
-trained here, with an L1 step that leaves most weights zero: the families' notices below, with words dropped and cut short,
-against a bounded, hashed sample of the corpus' own paragraphs. Other sampled paragraphs calibrate the unknown class: a
-family needs more than the probability that ``1 - false_rate`` of them stay under. What passes is compared with the
-family's templates by shared word 3-grams, and only what agrees is confirmed.
-
-The sample is bounded by ``SAMPLE`` (expected number of paragraphs, a parameter), the model by families x buckets. The scan
-is one narrow pass over every whole text. Null and empty texts have no paragraphs; families are listed once, by name;
-repeated rows are scanned each by itself; an empty corpus trains against the notices alone.
+A paragraph is a line with a word; one of more than ``2 * STEP`` words is read in windows of so many, a new one every
+``STEP`` words, so that a notice inside a long line is seen as well as one that stands alone. Features are hashed word 1- to
+3-grams (A-Z lower-cased, ASCII punctuation a blank), scaled by the root of their number. A sparse multinomial logistic
+regression over the licence families and ``unknown`` is trained here, with an L1 step that leaves most weights zero: the
+families' notices below, with words dropped and cut short, against a bounded, hashed sample of the corpus' own windows. The
+unknown class is calibrated on sampled windows and varied notices that did not train: a temperature makes the probabilities
+fit them, and a family needs more than ``1 - false_rate`` of the unknown windows reach. What passes is compared with the
+family's templates by shared word 3-grams (2-grams for two words; a single word is no notice), and only what agrees is
+confirmed.
+
+The sample is bounded by ``SAMPLE`` (expected number of documents, a parameter; each gives the hashes of one window, the one
+of least hash among all that it has), the model by families x buckets. The scan is one narrow pass over every whole text.
+Null and empty texts have no paragraphs; families are listed once, by name; equal probabilities go to the family that comes
+first by name; repeated rows are scanned each by itself; an empty corpus trains against the notices alone and gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
 FAMILIES = sorted(TEMPLATES)
-BITS, SAMPLE, COPIES, STEPS = 16, 4000, 24, 120
+BITS, SAMPLE, COPIES, STEPS, STEP = 16, 4000, 24, 120, 12
 FALSE_RATE, AGREE = 0.0005, 0.5
 
 
@@ -55,143 +60,206 @@ def paragraphs(data: bytes) -> list[bytes]:
 _LINES = bytes(10 if c == 10 else v for c, v in enumerate(_PLAIN))
 
 
-def grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first word of each) of the 1- to 3-grams of a plain text."""
-    h = word_hashes(data)[0]
+def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first word, words) of the 1- to 3-grams of a run of word hashes."""
     with np.errstate(over="ignore"):
         two = mix(h[:-1] * BASE + h[1:]) if len(h) > 1 else h[:0]
         three = mix(two[:-1] * BASE + h[2:]) if len(h) > 2 else h[:0]
-    return np.concatenate([h, two, three]), np.concatenate([np.arange(len(x)) for x in (h, two, three)])
+    each = (h, two, three)
+    return np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each]), np.repeat([1, 2, 3], [len(x) for x in each])
+
+
+def compared(h: np.ndarray) -> frozenset[int]:
+    """The grams of a window that templates are compared by: of three words, or two if there are only two."""
+    if len(h) < 2:
+        return frozenset()
+    found, _, size = grams(h)
+    return frozenset(found[size == min(3, len(h))].tolist())
+
+
+def words_of_notice(text: str) -> np.ndarray:
+    return word_hashes(text.encode().translate(_LINES))[0]
+
+
+class Windows:
+    """The windows of the paragraphs of one text: gram hashes with the one or two windows that each gram is in."""
+
+    def __init__(self, parts: list[bytes]):
+        n = np.array([len(p.split()) for p in parts], dtype=np.int64)
+        self.h = word_hashes(b"\n".join(parts))[0]
+        line, begin = np.repeat(np.arange(len(parts)), n), np.concatenate(([0], np.cumsum(n)))[:-1]
+        number = np.maximum(1, -(-n // STEP) - 1)
+        base = np.concatenate(([0], np.cumsum(number)))
+        self.paragraph = np.repeat(np.arange(len(parts)), number)
+        k = np.arange(base[-1]) - base[:-1][self.paragraph]
+        self.first = begin[self.paragraph] + k * STEP
+        self.last = np.minimum(self.first + 2 * STEP, (begin + n)[self.paragraph])
+        found, first, size = grams(self.h)
+        inside = line[first] == line[np.minimum(first + size, len(line)) - 1]
+        found, first, size = found[inside], first[inside], size[inside]
+        of = line[first]
+        at = first - begin[of]
+        k = at // STEP
+        before = (k > 0) & (k < number[of]) & (at + size <= (k + 1) * STEP)
+        self.grams = np.concatenate([found, found[before]])
+        self.window = np.concatenate([base[:-1][of] + np.minimum(k, number[of] - 1), base[:-1][of[before]] + k[before] - 1])
+        self.sizes = np.maximum(1, np.bincount(self.window, minlength=base[-1]))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def notices(seed: int = 5) -> list[tuple[int, bytes]]:
-    """Training paragraphs of the families: each notice whole, with words dropped, and cut short."""
+def notices(seed: int = 5) -> list[tuple[int, np.ndarray]]:
+    """Training windows of the families, as word hashes: each notice whole, with words dropped, and cut short."""
     rng, out = random.Random(seed), []
     for k, family in enumerate(FAMILIES):
         for t in TEMPLATES[family]:
-            words = t.encode().translate(_LINES).split()
+            words = words_of_notice(t).tolist()
             for i in range(COPIES):
                 kept = [w for w in words if i == 0 or rng.random() > 0.12]
-                out.append((k, b" ".join(kept[: max(3, len(kept) - rng.randrange(1 + len(kept) // 3))] if i % 3 == 2 else kept)))
+                kept = kept[: max(3, len(kept) - rng.randrange(1 + len(kept) // 3))] if i % 3 == 2 else kept
+                out.append((k, np.array(kept, dtype=np.uint64)))
     return out
 
 
-def train(sample: list[bytes], false_rate: float = FALSE_RATE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Plain corpus paragraphs -> used buckets, weights (used buckets x classes), threshold of a family's probability."""
-    unlike = [p for p in sample for own in [_threes(p)] if not any(agreement(p, k, own) >= AGREE for k in range(len(FAMILIES)))]
-    rows = [*notices(), *((len(FAMILIES), p) for p in unlike[::2])]
-    found = [_bucket(grams(p)[0]) for _, p in rows]
-    used = np.unique(np.concatenate(found[: -len(unlike[::2]) or None]))  # what no notice has weighs nothing, but counts in the scale
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    value = np.concatenate([np.full(len(f), 1 / np.sqrt(max(1, len(f)))) for f in found])
-    x = np.concatenate(found)
-    known = np.isin(x, used)
-    row, value, x = row[known], value[known], np.searchsorted(used, x[known])
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def train(sample: list[tuple[np.ndarray, frozenset[int]]], false_rate: float = FALSE_RATE) -> Model:
+    """Sampled windows (grams, grams to compare) -> used buckets, weights (used buckets x classes), least probability of a family."""
+    unlike = [g for g, own in sample if not any(agreement(own, k) >= AGREE for k in range(len(FAMILIES)))]
+    known = [(k, grams(h)[0]) for k, h in notices()]
+    rows = [*known, *((len(FAMILIES), g) for g in unlike[::2])]
+    found = [_bucket(g) for _, g in rows]
+    used = np.unique(np.concatenate(found[: len(known)]))  # what no notice has weighs nothing, but counts in the scale
+    row, value, x = _sparse(found, used)
     y = np.eye(len(FAMILIES) + 1)[[k for k, _ in rows]]
     weight = (1 / np.maximum(1, y.sum(axis=0)))[y.argmax(axis=1)]
     weight *= len(rows) / weight.sum()
     w, rate = np.zeros((len(used), y.shape[1])), 40.0 / len(rows)
-    by_row = lambda m: np.stack([np.bincount(row, value * m[x, c], len(rows)) for c in range(m.shape[1])], axis=1)
     for _ in range(STEPS):
-        s = by_row(w)
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        g = (p / p.sum(axis=1, keepdims=True) - y) * weight[:, None]
+        g = (_softmax(_scores(row, value, x, w, len(rows))) - y) * weight[:, None]
         w -= rate * np.stack([np.bincount(x, value * g[row, c], len(used)) for c in range(w.shape[1])], axis=1)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * 0.05, 0)
     some = (w != 0).any(axis=1)
-    model = used[some], w[some].astype(np.float32)
-    full = _full(*model)
-    calm = [_classify(p, full)[1] for p in unlike[1::2]]
-    return *model, max(0.5, float(np.quantile(calm, 1 - false_rate)) if calm else 0.5)
+    used, w = used[some], w[some]
+    tried = [*((k, grams(h)[0]) for k, h in notices(seed=6)), *((len(FAMILIES), g) for g in unlike[1::2])]
+    s = _scores(*_sparse([_bucket(g) for _, g in tried], used), w, len(tried))
+    label = np.array([k for k, _ in tried])
+    even = (1 / np.maximum(1, np.bincount(label, minlength=w.shape[1])))[label]
+    scale = min((2.0**i for i in np.arange(-3, 3.25, 0.25)), key=lambda c: -(even * np.log(_softmax(s * c)[np.arange(len(s)), label] + 1e-300)).sum())
+    calm = _softmax(s[label == len(FAMILIES)] * scale)[:, :-1].max(axis=1)
+    return used, (w * scale).astype(np.float32), max(0.5, float(np.quantile(calm, 1 - false_rate)) if len(calm) else 0.5)
+
+
+def _sparse(found: list[np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of buckets as (row, value, column), of the used buckets."""
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    value = np.concatenate([np.full(len(f), 1 / np.sqrt(max(1, len(f)))) for f in found])
+    x = np.concatenate(found)
+    known = np.isin(x, used)
+    return row[known], value[known], np.searchsorted(used, x[known])
 
 
-def _full(used: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.zeros(1 << BITS, dtype=np.int32)
-    place[used] = np.arange(1, len(used) + 1)
-    return place, np.vstack([np.zeros(w.shape[1], dtype=np.float32), w])
+def _scores(row: np.ndarray, value: np.ndarray, x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(row, value * w[x, c], n) for c in range(w.shape[1])], axis=1)
 
 
-def _family(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of scores -> best family and its probability."""
+def _softmax(scores: np.ndarray) -> np.ndarray:
     p = np.exp(scores - scores.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    best = p[:, :-1].argmax(axis=1)
-    return best, p[np.arange(len(p)), best]
+    return p / p.sum(axis=1, keepdims=True)
 
 
-def _classify(plain: bytes, full: tuple[np.ndarray, np.ndarray]) -> tuple[int, float]:
-    h = grams(plain)[0]
-    k, p = _family((full[1][full[0][_bucket(h)]].sum(axis=0) / np.sqrt(max(1, len(h))))[None, :])
-    return int(k[0]), float(p[0])
+_templates: dict[str, list[frozenset[int]]] = {}
 
 
-def _threes(plain: bytes) -> set[int]:
-    h, first = grams(plain)
-    n = len(plain.split())
-    return set(h[-(n - 2) :].tolist()) if n > 2 else set(h[-1:].tolist())
+def agreement(own: frozenset[int], family: int) -> float:
+    """Share of grams that a window has in common with the nearest template, of the smaller of the two."""
+    best = 0.0
+    for t in TEMPLATES[FAMILIES[family]]:
+        if t not in _templates:
+            h = words_of_notice(t)
+            _templates[t] = [compared(h), frozenset(grams(h)[0][grams(h)[2] == 2].tolist())]
+        for grams_of in _templates[t]:
+            best = max(best, len(own & grams_of) / max(1, min(len(own), len(grams_of))))
+    return best
 
 
-_templates: dict[int, list[set[int]]] = {}
+def _sample(docs: DataFrame, sample_size: int) -> list[tuple[np.ndarray, frozenset[int]]]:
+    """A window of each sampled document, as hashes: bounded in number and size."""
+    share = min(1.0, sample_size / max(1, docs.count()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts = paragraphs(t)
+                if parts:
+                    w = Windows(parts)
+                    with np.errstate(over="ignore"):
+                        i = int(mix(np.add.reduceat(w.h, w.first) + np.uint64(len(w.h))).argmin())
+                    h = w.h[w.first[i] : w.last[i]]
+                    out.append((doc, grams(h)[0].view(np.int64), np.array(sorted(compared(h)), dtype=np.uint64).view(np.int64)))
+            cols = [pa.array([x[0] for x in out], type=pa.int64()), *(pa.array([x[i] for x in out], type=pa.list_(pa.int64())) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "own"])
 
-def agreement(plain: bytes, family: int, own: set[int] | None = None) -> float:
-    """Share of word 3-grams that a paragraph has in common with the nearest template, of the smaller of the two."""
-    if family not in _templates:
-        _templates[family] = [_threes(t.encode().translate(_LINES)) for t in TEMPLATES[FAMILIES[family]]]
-    own = _threes(plain) if own is None else own
-    return max(len(own & t) / max(1, min(len(own), len(t))) for t in _templates[family])
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = chosen.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).mapInArrow(run, "doc_id long, g array<long>, own array<long>")
+    view = lambda x: np.array(x, dtype=np.int64).view(np.uint64)
+    return [(view(r["g"]), frozenset(view(r["own"]).tolist())) for r in rows.orderBy("doc_id", "g").collect()]  # some sample_size windows
 
 
 def scan(docs: DataFrame, sample_size: int = SAMPLE) -> DataFrame:
     """documents -> doc_id, n_paragraphs, n_predicted, n_confirmed, families, found array<struct<paragraph, family, score, agreement>>."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t"))
-    total = docs.count()
-    lines = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(min(1.0, sample_size / max(1, total)) * 1_000_000)).select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
-    chosen = lines.filter("length(p) > 20").groupBy("doc_id").agg(F.min_by(F.substring("p", 1, 2000), F.xxhash64("p")).alias("p"))  # a paragraph a sampled document
-    shared = spark.sparkContext.broadcast(train([r["p"].encode().translate(_LINES) for r in chosen.orderBy("doc_id").collect()]))
+    shared = spark.sparkContext.broadcast(train(_sample(docs, sample_size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, w, threshold = shared.value
-        full = _full(used, w)
+        model = full(shared.value)
         for b in batches:
             out = []
             for t in b.columns[1].to_pylist():
                 parts = paragraphs(t)
-                hits = _hits(parts, full, threshold)
+                hits = found_in(parts, model)
                 out.append((len(parts), len(hits), [h for h in hits if h["agreement"] >= AGREE]))
             found = pa.array([x[2] for x in out], type=pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("score", pa.float64()), ("agreement", pa.float64())])))
             names = [",".join(sorted({h["family"] for h in x[2]})) for x in out]
             cols = [b.columns[0], *(pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)), pa.array([len(x[2]) for x in out], type=pa.int64()), pa.array(names, type=pa.string()), found]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "families", "found"])
 
+    rows = docs.select(F.col("doc_id").cast("long"), as_bytes().alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_paragraphs long, n_predicted long, n_confirmed long, families string, found array<struct<paragraph: int, family: string, score: double, agreement: double>>")
 
 
-def _hits(parts: list[bytes], full: tuple[np.ndarray, np.ndarray], threshold: float) -> list[dict]:
-    """Predictions for the paragraphs of one text, all at once."""
+def full(model: Model) -> Model:
+    """A model with a row for every bucket looked up: bucket -> place, weights with a row of zeros first, threshold."""
+    used, w, least = model
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    return place, np.vstack([np.zeros(w.shape[1], dtype=np.float32), w]), least
+
+
+def found_in(parts: list[bytes], model: Model) -> list[dict]:
+    """For each paragraph of a text and each family predicted there: the window that agrees best, then the likeliest."""
     if not parts:
         return []
-    place, w = full
-    counts = np.array([len(p.split()) for p in parts])
-    line = np.repeat(np.arange(len(parts)), counts)
-    h, first = grams(b"\n".join(parts))
-    n = len(line)
-    size = np.concatenate([np.full(min(n, n - i), i) for i in range(3) if n > i]) if n else first
-    last = first + size
-    inside = line[first] == line[last]
-    at, row = place[_bucket(h[inside])], line[first[inside]]
-    number = np.bincount(row, minlength=len(parts))
+    place, w, least = model
+    v = Windows(parts)
+    at = place[_bucket(v.grams)]
     some = at > 0
-    scores = np.zeros((len(parts), w.shape[1]))
-    np.add.at(scores, row[some], w[at[some]])
-    k, p = _family(scores / np.sqrt(np.maximum(1, number))[:, None])
-    return [{"paragraph": int(i), "family": FAMILIES[k[i]], "score": float(p[i]), "agreement": agreement(parts[i], int(k[i]))} for i in np.flatnonzero(p >= threshold)]
+    scores = np.zeros((len(v.first), w.shape[1]))
+    np.add.at(scores, v.window[some], w[at[some]])
+    p = _softmax(scores / np.sqrt(v.sizes)[:, None])
+    family = p[:, :-1].argmax(axis=1)
+    best: dict[tuple[int, int], dict] = {}
+    for i in np.flatnonzero(p[np.arange(len(p)), family] >= least).tolist():
+        k, key = int(family[i]), (int(v.paragraph[i]), int(family[i]))
+        hit = {"paragraph": key[0], "family": FAMILIES[k], "score": float(p[i, k]), "agreement": agreement(compared(v.h[v.first[i] : v.last[i]]), k)}
+        if key not in best or (hit["agreement"], hit["score"]) > (best[key]["agreement"], best[key]["score"]):
+            best[key] = hit
+    return [best[k] for k in sorted(best)]
 
 
 def report(docs: DataFrame) -> DataFrame:
