@@ -10,8 +10,8 @@ fit them, and a family needs more than ``1 - false_rate`` of the unknown windows
 family's templates by shared word 3-grams (2-grams for two words; a single word is no notice), and only what agrees is
 confirmed.
 
-The sample is bounded by ``SAMPLE`` (expected number of documents, a parameter; each gives the hashes of one window, the one
-of least hash among all that it has), the model by families x buckets. The scan is one narrow pass over every whole text.
+The sample is bounded by ``SAMPLE`` (expected number of documents, a parameter; each gives the hashes of one window of
+several words, the one of least hash with its doc_id among all that it has), the model by families x buckets. The scan is one narrow pass over every whole text.
 Null and empty texts have no paragraphs; families are listed once, by name; equal probabilities go to the family that comes
 first by name; repeated rows are scanned each by itself; an empty corpus trains against the notices alone and gives an empty
 result; other columns are not read.
@@ -195,10 +195,11 @@ def _sample(docs: DataFrame, sample_size: int) -> list[tuple[np.ndarray, frozens
             out = []
             for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts = paragraphs(t)
-                if parts:
-                    w = Windows(parts)
+                w = Windows(parts) if parts else None
+                several = np.flatnonzero(w.last - w.first > 1) if parts else []
+                if len(several):
                     with np.errstate(over="ignore"):
-                        i = int(mix(np.add.reduceat(w.h, w.first) + np.uint64(len(w.h))).argmin())
+                        i = several[mix(np.array([w.h[a:b].sum() for a, b in zip(w.first[several], w.last[several], strict=True)]) + np.uint64((doc or 0) & 0xFFFFFFFFFFFFFFFF)).argmin()]
                     h = w.h[w.first[i] : w.last[i]]
                     out.append((doc, grams(h)[0].view(np.int64), np.array(sorted(compared(h)), dtype=np.uint64).view(np.int64)))
             cols = [pa.array([x[0] for x in out], type=pa.int64()), *(pa.array([x[i] for x in out], type=pa.list_(pa.int64())) for i in (1, 2))]
@@ -254,7 +255,7 @@ def found_in(parts: list[bytes], model: Model) -> list[dict]:
     p = _softmax(scores / np.sqrt(v.sizes)[:, None])
     family = p[:, :-1].argmax(axis=1)
     best: dict[tuple[int, int], dict] = {}
-    for i in np.flatnonzero(p[np.arange(len(p)), family] >= least).tolist():
+    for i in np.flatnonzero((p[np.arange(len(p)), family] >= least) & (v.last - v.first > 1)).tolist():
         k, key = int(family[i]), (int(v.paragraph[i]), int(family[i]))
         hit = {"paragraph": key[0], "family": FAMILIES[k], "score": float(p[i, k]), "agreement": agreement(compared(v.h[v.first[i] : v.last[i]]), k)}
         if key not in best or (hit["agreement"], hit["score"]) > (best[key]["agreement"], best[key]["score"]):

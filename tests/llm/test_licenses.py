@@ -24,7 +24,7 @@ def window(text):
 @pytest.fixture(scope="module")
 def sample():
     rng = random.Random(1)
-    return [window(prose(rng, rng.randrange(1, 25))) for _ in range(600)]
+    return [window(prose(rng, rng.randrange(2, 25))) for _ in range(600)]
 
 
 def plain(parts, model):
@@ -41,7 +41,7 @@ def plain(parts, model):
             s = sum((weight.get(int(b), np.zeros(w.shape[1])) for b in licenses._bucket(g)), np.zeros(w.shape[1])) / math.sqrt(len(g))
             p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
             f = int(p[:-1].argmax())
-            if p[f] >= least:
+            if p[f] >= least and len(h) > 1:
                 key = (i, licenses.FAMILIES[f])
                 out[key] = max(out.get(key, (0.0, 0.0)), (licenses.agreement(licenses.compared(h), f), float(p[f])))
     return out
