@@ -5,12 +5,13 @@ the ``LEAST`` smallest numbered k-mers, puts them back in text order and hashes
 32-bit hashes in hex, and the likeness of two fingerprints the share of equal places.
 
 ``report`` also compares each document with an edited text made with the next document, in ascending doc_id. Documents are
-dealt into ranges of doc_id by mergeable quantiles; the first row of a range is copied to the end of the range before it,
-so every range is worked by itself, in one pass over its sorted rows, whatever their number.
+sorted by ranges of the whole table, as many as the shuffle has, and each range is worked in one pass over its rows; the last
+row of a range meets the first of the next in a small join.
 
 Null is the empty text; an empty text has the fingerprint of zeros, which is like itself only; a text shorter than k is one
-k-mer; equal doc_ids follow each other by a hash of their text; null doc_ids come last; a single document is followed by
-itself; an empty table gives an empty result.
+k-mer; equal doc_ids follow each other by a hash of their text, repeated rows in any order, as they are alike; null doc_ids
+come last; a single document is followed by itself; an empty table gives an empty result; long texts are read whole; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import BASE, as_bytes, materialize, mix, rolling, text_batches
 
 K, SIZE, LEAST = 6, 32, 2
-RANGE_ROWS, MAX_RANGES = 200, 8192
 _ORDERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
@@ -72,65 +71,70 @@ def fingerprint(text: str, k: int = K, size: int = SIZE, least: int = LEAST) ->
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def written(fp: np.ndarray) -> str:
-    return fp.astype(">u4").tobytes().hex()
+def written(fp: np.ndarray) -> bytes:
+    return fp.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
-def _ranged(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, t) -> with range and own; each range ends with a copy (own = false) of the row that follows it."""
-    spark = docs.sparkSession
-    n = docs.count()
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
-    edges = np.unique(np.array(cuts, dtype=np.int64))
+FOUND = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), len(edges), np.searchsorted(edges, ids.fillna(0).astype("int64"), side="left"))).astype("int32")
 
-    ids = materialize(docs.select("doc_id", "h").withColumn("range", range_of("doc_id")), "order-ids")
-    order = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("h")]
-    firsts = sorted((r["range"], r["f"]["i"], r["f"]["h"]) for r in ids.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h")).alias("f")).collect())  # one row a range
-    heads = [(i, h, firsts[p - 1][0]) for p, (_, i, h) in enumerate(firsts)]
-    head = F.broadcast(spark.createDataFrame(heads, "i long, hh long, to int"))  # at most MAX_RANGES + 1 rows
-    copies = docs.join(head, (F.coalesce("doc_id", F.lit(0)) == F.col("i")) & (F.col("h") == F.col("hh"))).select("doc_id", "h", "t", F.col("to").alias("range"), F.lit(False).alias("own"))
-    return docs.select("doc_id", "h", "t", range_of("doc_id").alias("range"), F.lit(True).alias("own")).union(copies), order
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (doc_id, t, part) of a range -> what is found of each but the last; its first (edge 1) and last row (edge 2)."""
+    held, part = None, None
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [*_KINDS, pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=k) for i, k in enumerate(kinds)], names=[*_NAMES, "edge", "part", "t"])
+
+    def edge(doc: int, kind: int, t: bytes) -> tuple:
+        return doc, None, None, None, None, None, None, kind, part, t
 
-def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order; a row is done when the next one of its range has come."""
-    held, found = None, None
     for b in batches:
         out = []
-        for doc, t, part, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and held[3] != part:
-                held = None
-            if not held and not own or held and not own and found == part:
-                continue
+        for doc, t, part in zip(*(c.to_pylist() for c in b.columns), strict=True):  # noqa: B020
             text = t.decode("utf-8", "replace")
             fp = fingerprint(text)
-            if held:
-                out.append(_compared(*held[:3], text, fp))
-            held, found = ((doc, text, fp, part), found) if own else (None, part)
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=k) for i, k in enumerate(kinds)], names=names)
+            out.append(edge(doc, 1, t) if held is None else (*compared(*held[:3], text, fp), 0, part, None))
+            held = doc, text, fp, t
+        yield made(out)
+    if held is not None:
+        yield made([edge(held[0], 2, held[3])])
 
 
-def _compared(doc: int, text: str, fp: np.ndarray, after: str, after_fp: np.ndarray) -> tuple:
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, t, after): the last row of a range and the text that follows it."""
+    for b in batches:
+        out = []
+        for doc, t, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            text, other = t.decode("utf-8", "replace"), after.decode("utf-8", "replace")
+            out.append(compared(doc, text, fingerprint(text), other, fingerprint(other)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=k) for i, k in enumerate(_KINDS)], names=_NAMES)
+
+
+def compared(doc: int, text: str, fp: np.ndarray, after: str, after_fp: np.ndarray) -> tuple:
     quarter = len(text) // 4
     edited = text[: len(text) - quarter] + after[:quarter]
     other = fingerprint(edited)
-    return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(fp), written(other), likeness(fp, other), likeness(fp, after_fp)
+    return doc, len(text), hashlib.sha256(edited.encode()).digest(), written(fp), written(other), likeness(fp, other), likeness(fp, after_fp)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    text_batches(docs.sparkSession)
-    rows, order = _ranged(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), as_bytes().alias("t")))
-    dealt = rows.repartition("range").sortWithinPartitions("range", F.col("own").desc(), *order)
-    return dealt.select("doc_id", "t", "range", "own").mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    spark = docs.sparkSession
+    text_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), as_bytes().alias("t"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"), F.col("tie")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t", F.spark_partition_id().alias("part"))
+    found = materialize(dealt.mapInArrow(_follow, f"{FOUND}, edge int, part int, t binary"), "order-found")
+    parts = sorted(r["part"] for r in found.filter("edge = 1").select("part").collect())  # a number a range
+    follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    last = found.filter("edge = 2").select("doc_id", "t", "part").join(F.broadcast(follows), "part")  # a row a range
+    ends = last.join(found.filter("edge = 1").select(F.col("part").alias("next"), F.col("t").alias("after")), "next")
+    out = found.filter("edge = 0").select(*_NAMES).union(ends.select("doc_id", "t", "after").mapInArrow(_ends, FOUND))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
