@@ -4,7 +4,9 @@ A document's fingerprint has a bit where more than half of its shingles' hashes
 collapse to one representative (least doc_id) before anything is compared. Representatives meet in buckets:
 
 * ``blocks``: the fingerprint is cut into radius + 2 blocks; two fingerprints within the radius agree in two blocks at
-  least, so a bucket for each pair of blocks finds every link (exact);
+  least, so a bucket for each pair of blocks finds every link (exact). A bucket of more than ``CHUNK`` fingerprints is dealt
+  again by the blocks of its remaining bits, which find every link in it for the same reason; at 64 bits and radius 2 a
+  bucket holds 256 at the third deal, as so many differ in the eight bits left. No bucket is compared before it is small;
 * ``bands``: buckets are bands of two minimum hashes of the shingles; a pair of Jaccard similarity 0.8 shares one of ten
   bands with probability 0.99996. This serves radii at which blocks would be too short to tell anything apart. Here the
   fingerprint only picks pairs: a pair within the radius is a link if the exact Jaccard similarity of its sets of shingles
@@ -12,15 +14,17 @@ collapse to one representative (least doc_id) before anything is compared. Repre
 
 In a bucket, fingerprints lie vertically: plane j holds bit j of 64 fingerprints a machine word. Comparing a row of queries
 against them is one XOR a plane; carry-save counters of a few words add the differing bits of 64 pairs at once, and queries
-whose pairs all exceed the radius are abandoned. A bucket sends out a star of links per group, not all its pairs. In a
-bucket of many *different* fingerprints, rows are linked to a few pivots first; only pairs with a row that the pivots leave
-outside their main class are compared further, in chunks: exact, spread over tasks, and not quadratic in a group of copies.
-Components of the links are found by stars in ``graph``.
+whose pairs all exceed the radius are abandoned. A bucket sends out a star of links per group, not all its pairs. In a large
+bucket of a band, whose sets may all be alike, a few pivots are the queries first, against all rows; only pairs with a row
+that the pivots leave outside their main class are compared further, in chunks. Components of the links are found by stars in
+``graph``.
 
 Texts: null is the empty text; texts without words have fingerprint zero, linked like any other; fewer words than a shingle
 takes make one shingle of all of them. Rows of null doc_id take part but are never a representative; if nothing else
-shares their fingerprint their component is null. Repeated rows fall together as copies do. ``keep`` goes by a number that the
-written table gives each row instead, so null and repeated ids are documents like any other there.
+shares their fingerprint their component is null. Repeated rows fall together as copies do. An empty table gives an empty
+result; long texts are read whole; a group's name is its least doc_id, so ties do not occur; other columns are not read, and
+pass ``keep`` unharmed. ``keep`` goes by a number that the written table gives each row instead of doc_id, so null and
+repeated ids are documents like any other there.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from plumbline.llm.graph import components
 
 SEED = 42
 #: Rows of a bucket compared with each other outright, pivots and rows a chunk of larger ones, and rows compared at once.
-CHUNK, PIVOTS, MOST_ROWS, WINDOW = 128, 8, 512, 512
+CHUNK, PIVOTS, MOST_ROWS, WINDOW = 256, 8, 512, 512
 BANDS = 10
 #: Additions that a lane of one byte holds.
 LANE = 255
@@ -168,20 +172,26 @@ def confirmed(linked: np.ndarray, grams: list[bytes], similarity: float) -> np.n
 
 def near(fps: np.ndarray, radius: int) -> np.ndarray:
     """n x bytes fingerprints -> n x n booleans: within the radius, the diagonal excluded."""
-    n = len(fps)
+    return within(fps, fps, radius, own=True)
+
+
+def within(queries: np.ndarray, fps: np.ndarray, radius: int, own: bool = False) -> np.ndarray:
+    """Fingerprints of q queries and n rows -> q x n booleans: within the radius; ``own``: row i is query i, and no match."""
+    q, n = len(queries), len(fps)
     cells = (n + 63) // 64
     bits = np.unpackbits(fps, axis=1)
     wide = np.zeros((bits.shape[1], cells * 64), dtype=np.uint8)
     wide[:, :n] = bits.T
     planes = np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
-    own = np.where(bits.T > 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-    active = np.arange(n)
-    over = np.zeros((n, cells), dtype=np.uint64)
-    over[active, active // 64] = np.uint64(1) << (active % 64).astype(np.uint64)  # not its own neighbour
+    asked = np.where(np.unpackbits(queries, axis=1).T > 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    active = np.arange(q)
+    over = np.zeros((q, cells), dtype=np.uint64)
+    if own:
+        over[active, active // 64] = np.uint64(1) << (active % 64).astype(np.uint64)
     if n % 64:
         over[:, -1] |= np.uint64((0xFFFFFFFFFFFFFFFF << (n % 64)) & 0xFFFFFFFFFFFFFFFF)
     depth = radius.bit_length()
-    counters = np.zeros((depth, n, cells), dtype=np.uint64)
+    counters = np.zeros((depth, q, cells), dtype=np.uint64)
 
     def exceeds() -> np.ndarray:
         more, same = over.copy(), ~over
@@ -194,7 +204,7 @@ def near(fps: np.ndarray, radius: int) -> np.ndarray:
         return more
 
     for j in range(len(planes)):
-        carry = planes[j][None, :] ^ own[j][active][:, None]
+        carry = planes[j][None, :] ^ asked[j][active][:, None]
         for i in range(depth):
             carry, counters[i] = carry & counters[i], carry ^ counters[i]
         over |= carry
@@ -204,7 +214,7 @@ def near(fps: np.ndarray, radius: int) -> np.ndarray:
                 active, over, counters = active[stay], over[stay], counters[:, stay]
                 if not len(active):
                     break
-    out = np.zeros((n, n), dtype=bool)
+    out = np.zeros((q, n), dtype=bool)
     if len(active):
         out[active] = np.unpackbits((~exceeds()).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
     return out
@@ -260,19 +270,33 @@ def _compare(radius: int, similarity: float | None = None):
     return run
 
 
+def finer(mask: int, radius: int) -> list[int]:
+    """The masks that two fingerprints within the radius and equal under ``mask`` are equal under, one at least.
+
+    The bits left fall into radius + 2 blocks, and two of them are equal; where fewer bits are left, there is no finer mask.
+    """
+    left = [i for i in range(64) if not mask >> i & 1]
+    if len(left) < radius + 2:
+        return []
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(left, radius + 2)]
+    return [mask | x | y for x, y in itertools.combinations(blocks, 2)]
+
+
 def _block_keys(radius: int):
-    """Keys by pairs of the radius + 2 blocks of a 64-bit fingerprint."""
-    cuts = np.linspace(0, 64, radius + 3).astype(int)
-    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(cuts.tolist())]
-    pairs = np.array([x | y for x, y in itertools.combinations(masks, 2)], dtype=np.uint64)
+    """(mask, rep, fp) -> a row for each finer mask, keyed by what the fingerprint is under it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for b in batches:
-            fps = np.array([int.from_bytes(x, "big") for x in b.columns[1].to_pylist()], dtype=np.uint64)
+            coarse = b.columns[0].to_pylist()
+            fps = np.array([int.from_bytes(x, "big") for x in b.columns[2].to_pylist()], dtype=np.uint64)
+            for m in set(coarse) - known.keys():
+                known[m] = np.array(finer(m & 0xFFFFFFFFFFFFFFFF, radius), dtype=np.uint64)
+            masks = np.concatenate([known[m] for m in coarse]) if coarse else np.zeros(0, dtype=np.uint64)
+            at = np.repeat(np.arange(len(fps)), [len(known[m]) for m in coarse])
             with np.errstate(over="ignore"):
-                keys = mix((fps[:, None] & pairs[None, :]) + np.arange(len(pairs), dtype=np.uint64) * BASE).view(np.int64)
-            at = pa.array(np.repeat(np.arange(len(fps)), len(pairs)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.columns[0].take(at), b.columns[1].take(at)], names=["key", "rep", "fp"])
+                keys = mix(mix(fps[at] & masks) + masks * BASE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(masks.view(np.int64)), b.columns[1].take(pa.array(at)), b.columns[2].take(pa.array(at))], names=["key", "mask", "rep", "fp"])
 
     return run
 
@@ -284,15 +308,17 @@ def _to_pivots(radius: int, similarity: float | None = None):
         for b in batches:
             key, _rep, fp, _n, pivots, *grams = (c.to_pylist() for c in b.columns)
             mask = np.zeros(len(key), dtype=np.int32)
-            own = np.frombuffer(b"".join(fp), dtype=np.uint8).reshape(len(fp), -1) if fp else np.zeros((0, 8), dtype=np.uint8)
-            for i in range(PIVOTS):
-                at = [j for j, p in enumerate(pivots) if p[i] is not None]
-                if at:
-                    other = np.frombuffer(b"".join(pivots[j][i]["fp"] for j in at), dtype=np.uint8).reshape(len(at), -1)
-                    close = np.bitwise_count(own[at] ^ other).sum(axis=1) <= radius
-                    if similarity is not None:
-                        close &= np.array([c and alike(grams[0][j], pivots[j][i]["grams"], similarity) for c, j in zip(close, at, strict=True)])
-                    mask[at] |= close.astype(np.int32) << i
+            rows: dict[int, list[int]] = {}
+            for j, k in enumerate(key):
+                rows.setdefault(k, []).append(j)
+            for at in rows.values():  # the rows of a bucket have the same pivots
+                places = [i for i, p in enumerate(pivots[at[0]]) if p is not None]
+                view = lambda fps: np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1)
+                close = within(view([pivots[at[0]][i]["fp"] for i in places]), view([fp[j] for j in at]), radius)
+                for i, found in zip(places, close, strict=True):
+                    for j in (at[x] for x in np.flatnonzero(found)):
+                        if similarity is None or alike(grams[0][j], pivots[j][i]["grams"], similarity):
+                            mask[j] |= 1 << i
             ids = [[None if p is None else p["rep"] for p in x] for x in pivots]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64())), *b.columns[5:]], names=["key", "rep", "fp", "n", "mask", "pivots", *(["grams"] if grams else [])])
 
@@ -313,7 +339,7 @@ def main_pivots(seen: list[tuple[int, int]]) -> int:
 
 
 def _large(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """Links of large buckets, without comparing all their pairs.
+    """Links of large buckets of bands, without comparing all their pairs.
 
     Rows near a pivot are linked to it. Those that reach the main class of pivots are connected already, so only pairs with
     a row outside it are compared, chunk by chunk; the result is that of all pairs.
@@ -348,12 +374,11 @@ def _large(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float
     return near.union(units)
 
 
-def _linked(keyed: DataFrame, shared: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(key, rep, fp[, grams]) and the buckets (__key, n) -> links (a, b)."""
+def _outright(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(key, rep, fp[, grams]) and small buckets (__key, n) -> links (a, b), all rows of a bucket compared."""
     own = [] if similarity is None else ["grams"]
-    small = keyed.join(shared.filter(F.col("n") <= CHUNK), F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp", *own)
-    units = small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, similarity), "a long, b long")
-    return units.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius, similarity))
+    rows = keyed.join(buckets, F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp", *own)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, similarity), "a long, b long")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -363,9 +388,18 @@ def _buckets(keyed: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame, radius: int) -> DataFrame:
     """(rep, fp) of distinct fingerprints -> links (a, b) that connect what lies within the radius."""
-    reps = reps.filter("rep is not null")
-    keyed = materialize(reps.select("rep", "fp").mapInArrow(_block_keys(radius), "key long, rep long, fp binary"), "simhash-keys")
-    return _linked(keyed, _buckets(keyed), radius)
+    rows, out, mask = reps.filter("rep is not null").select(F.lit(0).cast("long").alias("mask"), "rep", "fp"), None, 0
+    while True:
+        keyed = materialize(rows.mapInArrow(_block_keys(radius), "key long, mask long, rep long, fp binary"), "simhash-keys")
+        shared, mask = _buckets(keyed), finer(mask, radius)[0]
+        last = not finer(mask, radius)
+        small = shared if last else shared.filter(F.col("n") <= CHUNK)
+        found = materialize(_outright(keyed, small, radius), "simhash-links")
+        out = found if out is None else out.union(found)
+        large = shared.filter(F.col("n") > CHUNK)
+        if last or large.isEmpty():
+            return out
+        rows = keyed.join(large, F.col("key") == F.col("__key"), "left_semi").select("mask", "rep", "fp")
 
 
 def set_links(rows: DataFrame, reps: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
@@ -377,7 +411,9 @@ def set_links(rows: DataFrame, reps: DataFrame, shingle: int, similarity: float,
     some = rows.join(met.select("rep").distinct().hint("merge"), F.col("__row") == F.col("rep"), "left_semi")
     own = materialize(sets(some, shingle, words), "simhash-sets")
     keyed = materialize(met.join(own.hint("merge"), F.col("rep") == F.col("__rep")).drop("__rep"), "simhash-candidates")
-    return _linked(keyed, shared, radius_of(similarity, 64 * words), similarity)
+    radius = radius_of(similarity, 64 * words)
+    small = _outright(keyed, shared.filter(F.col("n") <= CHUNK), radius, similarity)
+    return small.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius, similarity))
 
 
 def group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:

@@ -133,6 +133,46 @@ def test_simhash(docs, empty, monkeypatch, chunk, rows):
     assert simhash.report(empty).count() == 0
 
 
+def test_finer_masks_find_every_pair():
+    rng = random.Random(7)
+    for radius in (1, 2, 4):
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b, mask = a, 0
+            for i in rng.sample(range(64), rng.randrange(radius + 1)):
+                b ^= 1 << i
+            while below := simhash.finer(mask, radius):
+                met = [m for m in below if (a ^ b) & m == 0]
+                assert met and all(m & mask == mask for m in below)
+                mask = rng.choice(met)
+            assert 64 - mask.bit_count() < radius + 2
+
+
+def test_many_fingerprints_of_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 20)
+    rng = random.Random(11)
+    fps = sorted({rng.choice((0, 1 << 40, 5 << 50)) | rng.getrandbits(11) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)})
+    reps = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in enumerate(fps)], "rep long, fp binary").repartition(3)
+    found = {(r["a"], r["b"]) for r in simhash.links(reps, 2).collect()}
+    label = lambda pairs: _least_reachable(len(fps), pairs)
+    assert label(found) == label([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+
+
+def _least_reachable(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 256, size=(150, 8), dtype=np.uint8)
