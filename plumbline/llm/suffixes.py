@@ -10,7 +10,7 @@ too. The first occurrence stays, later ones are spans to remove.
 2. A retained suffix stands for the stretch of words that its passages cover. Equal stretches (128-bit XXH3 of their bytes;
    10^12 of them give a false equal with probability 10^-15) are settled at once, however many copies there are: all but
    the first are repeats, and the first alone goes on.
-3. The suffixes left are sorted by their words, over ranges of the whole table, and each is compared with its neighbours
+3. The suffixes left are sorted by their words, those of equal first words together, and each is compared with its neighbours
    word by word. The common prefixes of neighbours say which suffixes agree in their first d words: a run of neighbours
    without a shorter common prefix between them. Inside such runs they are then sorted by the words to their left, read
    backwards, and compared in the same way, which extends the matches to the left. Two suffixes have a passage in common
@@ -18,9 +18,10 @@ too. The first occurrence stays, later ones are spans to remove.
 4. The first document of each such pair of runs stays, the passages of the others are covered, and overlapping passages
    merge into spans of full length.
 
-Sort keys end with document and position, so a run of any size is cut into ranges anywhere; what a range needs of the one
-before it is the number of its last run at each depth, worked out from the first and last row of every range (two rows a
-range reach the driver). The first of a group is combined before the shuffle and joined back from written tables, so that
+Suffixes are dealt to tasks by their first words, unless more than ``HOT`` have the same ones: these are sorted over ranges
+instead. Sort keys end with document and position, so a run of any size is cut into ranges anywhere; what a range needs of the
+one before it is the number of its last run at each depth, worked out from the first and last row of every range (two rows a
+range of hot suffixes reach the driver, and the hundred sort keys a range by which Spark chooses the ranges). The first of a group is combined before the shuffle and joined back from written tables, so that
 adaptive execution can split a group that holds a third of all rows.
 
 Documents are ordered by doc_id, null last, then by a hash of their text; the order decides what is earlier, so ties do not
@@ -42,6 +43,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import apart, as_bytes, discard, materialize, rolling, text_batches, word_hashes
 
 WORDS, KMER, WINDOW = 50, 8, 24
+#: Suffixes of equal first words that one task sorts at most.
+HOT = 500_000
 #: Place of null doc_ids in the order.
 LAST = (1 << 63) - 1
 #: More words than any common prefix, where a neighbour is not known yet.
@@ -109,8 +112,9 @@ def _suffixes(docs: DataFrame, words: int, kmer: int, window: int) -> DataFrame:
     return _named(docs).mapInArrow(run, "key long, mark long, at int, first int, last int, prefix long, stretch binary")
 
 
-def _spelt(rows: DataFrame, words: int) -> DataFrame:
-    """(key, mark, t, parts) -> a row a suffix: its words in its stretch, to the right in order and to the left backwards."""
+def _spelt(rows: DataFrame, words: int, common: int) -> DataFrame:
+    """(key, mark, t, parts) -> a row a suffix: a hash of its first words, its words in its stretch, to the right in order and to
+    the left backwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,10 +123,11 @@ def _spelt(rows: DataFrame, words: int) -> DataFrame:
                 right = [text[begins[p["at"]] : begins[p["last"] + words]] for p in parts]
                 left = [b"".join(w + b" " for w in reversed(text[begins[p["first"]] : begins[p["at"]]].split())) for p in parts]
                 number = lambda f: pa.array([f(p) for p in parts], type=pa.int32())
-                cols = [pa.array([key] * len(parts), type=pa.int64()), pa.array([mark] * len(parts), type=pa.int64()), number(lambda p: p["at"]), number(lambda p: p["at"] - p["last"]), number(lambda p: p["at"] - p["first"]), pa.array(right, type=pa.binary()), pa.array(left, type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "mark", "at", "low", "high", "right", "left"])
+                core = np.array([xxhash.xxh3_64_intdigest(text[begins[p["at"]] : begins[p["at"] + common]]) for p in parts], dtype=np.uint64).view(np.int64)
+                cols = [pa.array([key] * len(parts), type=pa.int64()), pa.array([mark] * len(parts), type=pa.int64()), pa.array(core), number(lambda p: p["at"]), number(lambda p: p["at"] - p["last"]), number(lambda p: p["at"] - p["first"]), pa.array(right, type=pa.binary()), pa.array(left, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "mark", "core", "at", "low", "high", "right", "left"])
 
-    return rows.mapInArrow(run, "key long, mark long, at int, low int, high int, right binary, left binary")
+    return rows.mapInArrow(run, "key long, mark long, core long, at int, low int, high int, right binary, left binary")
 
 
 def shared_words(rows: list[bytes]) -> np.ndarray:
@@ -149,8 +154,8 @@ def _digests(row: bytes, depths: list[int]) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(row[: ends[d]]) if d < len(ends) else None for d in depths]
 
 
-def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[str]):
-    """A pass over the sorted rows of a range: what each shares with its neighbours.
+def _neighbours(group: str, by: str, depths: list[int], keep: list[str]):
+    """A pass over the sorted rows of a task: what each shares with its neighbours of the same group.
 
     ``ids``: for each depth, the row of the range where the run begins that agrees in so many words; ``most``: the most
     words shared with the row before or after; ``edge``: for the first and last row of a range, a 128-bit digest of its
@@ -175,9 +180,8 @@ def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[s
                 continue
             rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             common = shared_words(rows.column(by).to_pylist())
-            if run_column:
-                of = rows.column(run_column).to_numpy()
-                common = np.where(of[1:] == of[:-1], common, -1)
+            of = rows.column(group).to_numpy()
+            common = np.where(of[1:] == of[:-1], common, -1)
             shared = np.concatenate(([UNKNOWN if held is None else same], common))
             at = done + np.arange(rows.num_rows)
             starts = np.where(shared[None, :] < depth, at[None, :], 0)
@@ -191,26 +195,38 @@ def _neighbours(by: str, run_column: str | None, depths: list[int], keep: list[s
     return run
 
 
-def _numbered(rows: DataFrame, by: str, run_column: str | None, depths: list[int], keep: list[str], kinds: str, name: str) -> DataFrame:
-    """Rows sorted by words and numbered by run: ``keep``, ids array<long> by depth, most."""
-    order = [*([run_column] if run_column else []), by, "key", "mark", "at"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    passed = ["part", *keep, *([run_column] if run_column and run_column not in keep else [])]
-    more = f", {run_column} long" if run_column and run_column not in keep else ""
-    found = materialize(ranged.mapInArrow(_neighbours(by, run_column, depths, passed), f"part int, {kinds}{more}, n long, ids array<long>, most int, edge array<binary>"), name)
-    ends = found.filter("edge is not null").select("part", "n", "ids", "edge", *([run_column] if run_column else [])).collect()  # two rows a range, of numbers and digests
+def _numbered(rows: DataFrame, group: str, by: str, depths: list[int], keep: list[str], kinds: str, name: str) -> DataFrame:
+    """Rows sorted by words within their group and numbered by run: ``keep``, ids array<long> by depth, most."""
+    order, passed = [group, by, "key", "mark", "at"], ["part", *keep, group]
+    schema = f"part int, {kinds}, {group} long, n long, ids array<long>, most int, edge array<binary>"
+
+    def pass_over(dealt: DataFrame) -> DataFrame:
+        ready = dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        return materialize(ready.mapInArrow(_neighbours(group, by, depths, passed), schema), name)
+
+    number = lambda x, whole: F.shiftleft(F.col("part").cast("long"), 32) + x + F.lit(whole)
+    hot = materialize(rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.col(group).alias("__group"), "n"), f"{name}-hot")
+    many = hot.agg(F.sum("n")).first()[0] or 0
+    calm = rows.join(hot, F.col(group) == F.col("__group"), "left_anti") if many else rows
+    out = pass_over(calm.repartition(group)).select(*keep, F.transform("ids", lambda x: number(x, 0)).alias("ids"), "most")
+    if not many:
+        return out
+    ranges = rows.join(hot.select("__group"), F.col(group) == F.col("__group"), "left_semi").repartitionByRange(-(-many // HOT), *order)
+    found = pass_over(ranges)
+    ends = found.filter("edge is not null").select("part", "n", "ids", "edge", group).collect()  # two rows a range, of numbers and digests
     carry, before, opened = [], None, None
     for r in sorted(ends, key=lambda r: (r["part"], r["n"])):
+        own = [(r["part"] << 32) + x + (1 << 62) for x in r["ids"]]
         if r["n"] == 0:
-            goes_on = before is not None and not (run_column and r[run_column] != before[run_column])
-            opened = [opened[i] if goes_on and e is not None and e == before["edge"][i] else r["part"] << 32 for i, e in enumerate(r["edge"])]
+            goes_on = before is not None and r[group] == before[group]
+            opened = [opened[i] if goes_on and e is not None and e == before["edge"][i] else own[i] for i, e in enumerate(r["edge"])]
             carry.append((r["part"], opened))
-        if r["n"] or r["part"] != (before["part"] if before else None):
-            opened = [opened[i] if x == 0 else (r["part"] << 32) + x for i, x in enumerate(r["ids"])]
+        else:
+            opened = [opened[i] if x == 0 else own[i] for i, x in enumerate(r["ids"])]
         before = r
     table = F.broadcast(rows.sparkSession.createDataFrame(carry, "__part int, carry array<long>"))  # a row a range
-    whole = F.zip_with("ids", "carry", lambda x, c: F.when(x == 0, c).otherwise(F.shiftleft(F.col("part").cast("long"), 32) + x))
-    return found.join(table, F.col("part") == F.col("__part")).select(*keep, whole.alias("ids"), "most")
+    whole = F.zip_with("ids", "carry", lambda x, c: F.when(x == 0, c).otherwise(number(x, 1 << 62)))
+    return out.union(found.join(table, F.col("part") == F.col("__part")).select(*keep, whole.alias("ids"), "most"))
 
 
 def _first(rows: DataFrame, keys: list[str], name: str, *more: Column) -> DataFrame:
@@ -243,11 +259,11 @@ def spans(docs: DataFrame, words: int = WORDS, kmer: int = KMER, window: int = W
 
     parts = open_.groupBy("key", "mark").agg(F.collect_list(F.struct("at", "first", "last")).alias("parts"))  # of one document
     texts = _named(docs).join(parts.withColumnsRenamed({"key": "__key", "mark": "__mark"}).hint("merge"), (F.col("key") == F.col("__key")) & (F.col("mark") == F.col("__mark")))
-    spelt = materialize(_spelt(texts.select("key", "mark", "t", "parts"), words), "suffix-words")
+    spelt = materialize(_spelt(texts.select("key", "mark", "t", "parts"), words, words - window + 1), "suffix-words")
     own, kinds = ["key", "mark", "at", "low", "high"], "key long, mark long, at int, low int, high int"
-    right = _numbered(spelt, "right", None, list(range(words - window + 1, words + 1)), [*own, "left"], f"{kinds}, left binary", "suffix-right")
+    right = _numbered(spelt, "core", "right", list(range(words - window + 1, words + 1)), [*own, "left"], f"{kinds}, left binary", "suffix-right")
     right = right.filter(f"{words} - most <= high").select(*own, "left", F.col("ids").alias("rights"), F.element_at("ids", 1).alias("run"), F.greatest("low", words - F.col("most")).alias("from"))
-    left = _numbered(right, "left", "run", list(range(window)), [*own, "rights", "from"], f"{kinds}, rights array<long>, from int", "suffix-left")
+    left = _numbered(right, "run", "left", list(range(window)), [*own, "rights", "from"], f"{kinds}, rights array<long>, from int", "suffix-left")
 
     j, upto = F.col("j"), F.least("high", "most")
     each = left.filter(F.col("from") <= upto).withColumn("j", F.explode(F.sequence(F.col("from"), upto)))

@@ -42,8 +42,9 @@ def mosaics(seed, n, words, longest):
 
 
 @pytest.mark.parametrize(("alphabet", "words", "kmer", "window"), [(2, 8, 3, 4), (3, 12, 3, 6), (400, 50, 8, 24)])
-@pytest.mark.parametrize("parts", [1, 7])
-def test_spans_are_those_of_all_windows(spark, alphabet, words, kmer, window, parts):
+@pytest.mark.parametrize(("parts", "hot"), [(1, 10**6), (7, 5)])
+def test_spans_are_those_of_all_windows(spark, monkeypatch, alphabet, words, kmer, window, parts, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     texts = mosaics(alphabet, 40, [f"w{i}" for i in range(alphabet)], 150)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
