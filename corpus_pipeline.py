@@ -1,7 +1,11 @@
 """From raw documents to token ids: five of the corpus operators, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it decides holds for the next one. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and further columns of any name pass.
+
+Rows, not ids, are documents: null and repeated doc_ids take part like any other. Null and empty texts, and texts of fewer
+than ten words, fail the quality rules. Of repeated rows one stays, as of any copies; which one goes by doc_id, null last, then by a
+hash of the text, and so does which passage is the first. Long texts are read whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 or more stays."""
+    """One document of each group of five-word-shingle similarity 0.8 or more stays: links of exact similarity, and their components."""
     return simhash.keep(docs)
 
 

@@ -125,10 +125,27 @@ query("score_wide")(lambda s, d: mo.score(fx.readings_wide(s, d), fit_model(fx.r
 query("monitor_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, {_mon}, {_cnt} FROM scored GROUP BY 1", fx.SCORED)(lambda s, d: monitor_stream(fx.readings(s, d), M).select("window_start", *r6(*_MON), *_CNT))
 
 
-@query("fit_model", " UNION ALL ".join(f"SELECT 'feature{j}' AS feature, round(avg(feature{j}), 6) AS mean, round(stddev_pop(feature{j}), 6) AS scale FROM readings" for j in range(1, 6)), fx.READINGS)
+_J = range(1, 6)
+_sum = lambda f: "(" + " + ".join(f(j) for j in _J) + ")"
+_cross = lambda a, b: f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))"
+_PLS = (
+    "moments AS (SELECT " + ", ".join([*(f"avg(feature{j}) AS m{j}, stddev_pop(feature{j}) AS s{j}, {_cross(f'feature{j}', 'target')} AS y{j}" for j in _J), *(f"{_cross(f'feature{j}', f'feature{k}')} AS z{j}{k}" for j in _J for k in _J)]) + " FROM readings)"
+    + f", w1 AS (SELECT *, {', '.join(f'y{j} / sqrt({_sum(lambda k: f"y{k} * y{k}")}) AS a{j}' for j in _J)} FROM moments)"
+    + f", t1 AS (SELECT *, {_sum(lambda j: f'a{j} * ' + _sum(lambda k: f'z{j}{k} * a{k}'))} AS l1, {_sum(lambda j: f'a{j} * y{j}')} AS ay FROM w1)"
+    + f", p1 AS (SELECT *, {', '.join(f'{_sum(lambda k: f"z{j}{k} * a{k}")} / l1 AS p{j}' for j in _J)} FROM t1)"
+    + f", y2 AS (SELECT *, {', '.join(f'y{j} - p{j} * ay AS d{j}' for j in _J)} FROM p1)"
+    + f", w2 AS (SELECT *, {', '.join(f'd{j} / sqrt({_sum(lambda k: f"d{k} * d{k}")}) AS v{j}' for j in _J)} FROM y2)"
+    + f", r2 AS (SELECT *, {', '.join(f'v{j} - {_sum(lambda k: f"p{k} * v{k}")} * a{j} AS b{j}' for j in _J)} FROM w2)"
+    + f", t2 AS (SELECT *, {_sum(lambda j: f'b{j} * ' + _sum(lambda k: f'z{j}{k} * b{k}'))} AS l2 FROM r2)"
+    + f", fit AS (SELECT *, {', '.join(f'{_sum(lambda k: f"z{j}{k} * b{k}")} / l2 AS q{j}' for j in _J)} FROM t2)"
+)
+
+
+@query("fit_model", " UNION ALL ".join(f"SELECT 'feature{j}' AS feature, {', '.join(f'round({c}, 5) AS {n}' for c, n in ((f'm{j}', 'mean'), (f's{j}', 'scale'), (f'a{j}', 'rotation1'), (f'b{j}', 'rotation2'), (f'p{j}', 'loading1'), (f'q{j}', 'loading2'), ('l1', 'variance1'), ('l2', 'variance2')))} FROM fit" for j in _J), f"{fx.READINGS}, {_PLS}")
 def _fit(s, d):
     m = fit_model(fx.readings(s, d))
-    return s.createDataFrame([(n, round(a, 6), round(b, 6)) for n, a, b in zip(m.names, m.x_mean, m.x_scale, strict=True)], "feature string, mean double, scale double")
+    rows = [(n, *(round(float(x), 5) for x in (a, b, *r, *p, *m.eigenvalues))) for n, a, b, r, p in zip(m.names, m.x_mean, m.x_scale, m.rotations, m.loadings, strict=True)]
+    return s.createDataFrame(rows, "feature string, " + ", ".join(f"{c} double" for c in ("mean", "scale", "rotation1", "rotation2", "loading1", "loading2", "variance1", "variance2")))
 
 
 # Text
@@ -140,8 +157,8 @@ query("chunk_fixed_overlapping", "SELECT doc_id, pos AS chunk_pos, pieces[pos +
 query("chunk_semantic")(lambda s, d: ch.chunk_documents(fx.documents(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "semantic").select("doc_id", "chunk_pos", "text"))
 query("split_sentences", "SELECT doc_id, pos AS at, pieces[pos + 1] AS sentence FROM (SELECT doc_id, pieces, unnest(range(0, len(pieces))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+\\s*|[^。！？.!?]+'), lambda x: " + fx.STRIP.format("x") + " <> '') AS pieces FROM docs))", fx.DOCS)(lambda s, d: fx.documents(s, d).select("doc_id", F.posexplode(tx.split_sentences("text")).alias("at", "sentence")))
 query("assign_chunk_index", "SELECT doc_id, chunk_pos, row_number() OVER (ORDER BY file_path, doc_id, chunk_pos) - 1 AS chunk_index FROM chunks", fx.CHUNKS)(lambda s, d: ch.assign_chunk_index(fx.chunks(s, d)).select("doc_id", "chunk_pos", "chunk_index"))
-_ps = "SELECT d.doc_id, d.file_path, length(d.text) AS chars, count(c.doc_id) AS chunks, count(c.doc_id) = 0 AS failed FROM docs d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY ALL"
-query("processing_stats", _ps, fx.CHUNKS)(lambda s, d: ch.processing_stats(fx.documents(s, d), fx.chunks(s, d)).drop("first_chunks"))
+_ps = "SELECT d.doc_id, d.file_path, length(d.text) AS chars, count(c.doc_id) AS chunks, count(c.doc_id) = 0 AS failed, array_to_string(list(c.text ORDER BY c.chunk_pos) FILTER (WHERE c.chunk_pos < 3), chr(10)) AS first_chunks FROM docs d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY ALL"
+query("processing_stats", _ps, fx.CHUNKS)(lambda s, d: ch.processing_stats(fx.documents(s, d), fx.chunks(s, d)).withColumn("first_chunks", F.array_join("first_chunks", "\n")))
 query("processing_totals", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT failed) AS processed, count(*) FILTER (WHERE failed) AS failed_files, sum(chunks)::BIGINT AS total_chunks FROM ({_ps})", fx.CHUNKS)(lambda s, d: ch.processing_totals(ch.processing_stats(fx.documents(s, d), fx.chunks(s, d))))
 query("tokenize", f"SELECT doc_id, array_to_string({fx.TOKENS.format('text')}, ' ') AS tokens FROM docs", fx.DOCS)(lambda s, d: fx.documents(s, d).select("doc_id", F.array_join(tx.tokenize("text"), " ").alias("tokens")))
 query("ngrams", "SELECT doc_id, term, tf FROM counts", fx.DOCS + ", " + fx.terms("docs", "doc_id", "text", "counts"))(lambda s, d: tf.term_counts(fx.documents(s, d), "doc_id"))
