@@ -6,8 +6,8 @@ misses: the bytes of the pre-token form a linked list, a heap holds the adjacent
 and the lowest rank merges first, leftmost on ties, as the public tokenizers do. A bounded memo stands before both.
 
 Texts: null is the empty text; empty texts give no ids; a text of any length is handled whole, pre-token by pre-token;
-repeated rows are encoded each by itself; other columns pass through, and the result columns replace columns of the same
-name. The job is a narrow map: no shuffle, and the broadcast is the vocabulary file (under a few MB by construction).
+repeated rows are encoded each by itself; ties of rank are merged leftmost; an empty table gives an empty result; other columns
+pass through, and the result columns replace columns of the same name. The job is a narrow map: no shuffle, and the broadcast is the vocabulary file (under a few MB by construction).
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import text_batches
 
 MASK = (1 << 64) - 1
-#: Entries that a worker's memo of pre-tokens holds before it starts anew.
-MEMO = 1_000_000
+#: Pre-tokens that a worker's memo holds before it starts anew, and the characters of the longest one that it keeps.
+MEMO, KEPT = 1_000_000, 64
 
 
 def _place(h: int, d: int, n: int) -> int:
@@ -117,7 +117,11 @@ class Memo(dict):
     def __missing__(self, token: str) -> bytes:
         raw = token.encode()
         s = self.t.hash.slot(raw)
-        got = self[token] = array("i", [self.t.ids[s]] if s >= 0 else merge(raw, self.t.ranks)).tobytes()
+        got = array("i", [self.t.ids[s]] if s >= 0 else merge(raw, self.t.ranks)).tobytes()
+        if len(token) <= KEPT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = got
         return got
 
 
@@ -134,8 +138,6 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed as 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
     def decode(self, ids) -> bytes:

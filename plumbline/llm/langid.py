@@ -10,7 +10,8 @@ Training counts n-grams over a bounded, hashed sample of labelled rows (``per_la
 model is languages x buckets and so independent of the corpus. Prediction is one narrow pass over every whole text.
 
 Null texts and texts without a letter are ``und`` with score 0; with no language to learn from, all are. Texts of any
-length are read whole, in pieces; repeated rows train and are predicted each by itself.
+length are read whole, in pieces; repeated rows train and are predicted each by itself; equal losses go to the language that
+comes first by name, and make the text ambiguous; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
