@@ -34,8 +34,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Links (a, b) of long ids -> (node, component), component being the least id reachable; nodes without a link are absent.
 
-    Self-links, repeated links and either direction are allowed; links with a null end are left out. A round at least halves
-    what is left of a path, so that ``rounds`` bounds nothing that fits a table; if they do not suffice, that is an error.
+    Self-links, repeated links and either direction are allowed; links with a null end are left out. Rounds grow
+    with the square of the logarithm of the number of nodes at worst; more than ``rounds`` of them is an error.
     """
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(ordered, "star-links")

@@ -15,7 +15,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(read(spark, sf_dir, "documents"))
+    return mixing.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # DataFrame functions only
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
