@@ -72,7 +72,7 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[tuple[float, np.ndarray]], z: np.ndarray, n: np.ndarray, epochs: int) -> None:
     """Run over (label, distinct buckets in order) rows in order, changing z and n."""
-    ready = [(y, x.astype(np.intp), int(np.searchsorted(x, HALF))) for y, x in rows]  # words before pairs
+    ready = [(y, x, int(np.searchsorted(x, HALF))) for y, x in rows]  # words before pairs
     for _ in range(epochs):
         for y, x, k in ready:
             zx, nx = z[x], n[x]
