@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASE, apart, as_bytes, materialize, mix, text_batches
+from plumbline.llm.common import BASE, apart, as_bytes, discard, materialize, mix, text_batches
 from plumbline.llm.graph import components
 
 SEED = 42
@@ -301,12 +301,12 @@ def _block_keys(radius: int):
     return run
 
 
-def _to_pivots(radius: int, similarity: float | None = None):
+def _to_pivots(radius: int, similarity: float):
     """Rows of large buckets -> which of the bucket's pivots they are linked to, as a mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, _rep, fp, _n, pivots, *grams = (c.to_pylist() for c in b.columns)
+            key, _rep, fp, pivots, grams = (c.to_pylist() for c in b.columns)
             mask = np.zeros(len(key), dtype=np.int32)
             rows: dict[int, list[int]] = {}
             for j, k in enumerate(key):
@@ -317,10 +317,10 @@ def _to_pivots(radius: int, similarity: float | None = None):
                 close = within(view([pivots[at[0]][i]["fp"] for i in places]), view([fp[j] for j in at]), radius)
                 for i, found in zip(places, close, strict=True):
                     for j in (at[x] for x in np.flatnonzero(found)):
-                        if similarity is None or alike(grams[0][j], pivots[j][i]["grams"], similarity):
+                        if alike(grams[j], pivots[j][i]["grams"], similarity):
                             mask[j] |= 1 << i
             ids = [[None if p is None else p["rep"] for p in x] for x in pivots]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64())), *b.columns[5:]], names=["key", "rep", "fp", "n", "mask", "pivots", *(["grams"] if grams else [])])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(mask), pa.array(ids, type=pa.list_(pa.int64()))], names=["key", "rep", "mask", "pivots"])
 
     return run
 
@@ -338,21 +338,19 @@ def main_pivots(seen: list[tuple[int, int]]) -> int:
     return max(sorted(set(classes)), key=lambda c: sum(n for mask, n in seen if mask & c))
 
 
-def _large(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """Links of large buckets of bands, without comparing all their pairs.
+def _large(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(key, n, rep, fp, grams) of large buckets of bands -> links, without comparing all their pairs.
 
     Rows near a pivot are linked to it. Those that reach the main class of pivots are connected already, so only pairs with
     a row outside it are compared, chunk by chunk; the result is that of all pairs.
     """
-    own = [] if similarity is None else ["grams"]
-    rows = materialize(keyed.join(buckets, F.col("key") == F.col("__key")).drop("__key"), "simhash-large")
     part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
-    pivots = rows.groupBy("key").agg(*(F.min_by(F.struct("rep", "fp", *own), F.when(part == i, F.col("rep"))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = rows.groupBy("key").agg(*(F.min_by(F.struct("rep", "fp", "grams"), F.when(part == i, F.col("rep"))).alias(f"p{i}") for i in range(PIVOTS)))
     have = [F.when(F.expr(f"pmod(xxhash64(p{i}.rep), {PIVOTS}) = {i}"), F.col(f"p{i}")) for i in range(PIVOTS)]
     pivots = materialize(pivots.select(F.col("key").alias("__key"), F.array(*have).alias("pivots")), "simhash-pivots")
-    marked = rows.join(pivots, F.col("key") == F.col("__key")).select("key", "rep", "fp", "n", "pivots", *own)
-    pivoted = "key long, rep long, fp binary, n long, mask int, pivots array<long>" + "".join(f", {c} binary" for c in own)
-    marked = materialize(marked.mapInArrow(_to_pivots(radius, similarity), pivoted), "simhash-marked")
+    marked = rows.join(pivots, F.col("key") == F.col("__key")).select("key", "rep", "fp", "pivots", "grams")
+    marked = materialize(marked.mapInArrow(_to_pivots(radius, similarity), "key long, rep long, mask int, pivots array<long>"), "simhash-marked")
+    discard(pivots)
     near = marked.select(F.col("rep").alias("a"), F.explode(F.filter(F.transform("pivots", lambda p, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, p)), lambda p: p.isNotNull())).alias("b"))
 
     @F.pandas_udf("int")
@@ -363,27 +361,29 @@ def _large(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float
     masks = masks.select(F.col("key").alias("__key"), main("seen").alias("main"), "seen")
     outside = F.aggregate("seen", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["mask"].bitwiseAND(F.col("main")) == 0, x["c"]).otherwise(0))
     masks = materialize(masks.withColumn("outside", outside).drop("seen").filter("outside > 0"), "simhash-masks")
-    left = marked.join(masks, F.col("key") == F.col("__key")).withColumn("rest", F.col("mask").bitwiseAND(F.col("main")) == 0)
+    lone = marked.join(masks.select("__key", "main"), F.col("key") == F.col("__key")).filter(F.col("mask").bitwiseAND(F.col("main")) == 0).select(F.col("key").alias("__k"), F.col("rep").alias("__r"))
+    left = rows.join(masks.drop("main"), F.col("key") == F.col("__key")).join(lone, (F.col("key") == F.col("__k")) & (F.col("rep") == F.col("__r")), "left")
     parts = lambda c: F.ceil(F.col(c) / MOST_ROWS).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     to = lambda n: F.sequence(F.lit(0), n - 1)
     as_member = F.transform(to(parts("outside")), lambda i: F.struct(i.alias("i"), spot(parts("n")).alias("j")))
-    as_rest = F.when(F.col("rest"), F.transform(to(parts("n")), lambda j: F.struct(spot(parts("outside")).alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    unit = left.select("key", "rep", "fp", *own, F.explode(F.array_union(as_member, as_rest)).alias("u")).select("key", "u.i", "u.j", "rep", "fp", *own)
+    as_rest = F.when(F.col("__r").isNotNull(), F.transform(to(parts("n")), lambda j: F.struct(spot(parts("outside")).alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    unit = left.select("key", "rep", "fp", "grams", F.explode(F.array_union(as_member, as_rest)).alias("u")).select("key", "u.i", "u.j", "rep", "fp", "grams")
     units = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(radius, similarity), "a long, b long")
     return near.union(units)
 
 
-def _outright(keyed: DataFrame, buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(key, rep, fp[, grams]) and small buckets (__key, n) -> links (a, b), all rows of a bucket compared."""
+def _outright(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(key, rep, fp[, grams]) of small buckets -> links (a, b), all rows of a bucket compared."""
     own = [] if similarity is None else ["grams"]
-    rows = keyed.join(buckets, F.col("key") == F.col("__key")).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp", *own)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, similarity), "a long, b long")
+    units = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "fp", *own)
+    return units.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, similarity), "a long, b long")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """Keys that several rows have, as (__key, n)."""
-    return materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "__key"), "simhash-buckets")
+    """Keys that several rows have, as (__key, n); of keys with the same rows one stays, as the others would find the same links."""
+    each = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("s")).filter("n > 1")
+    return materialize(each.groupBy("n", "x", "s").agg(F.min("key").alias("__key")).select("__key", "n"), "simhash-buckets")
 
 
 def links(reps: DataFrame, radius: int) -> DataFrame:
@@ -392,9 +392,9 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     while True:
         keyed = materialize(rows.mapInArrow(_block_keys(radius), "key long, mask long, rep long, fp binary"), "simhash-keys")
         shared, mask = _buckets(keyed), finer(mask, radius)[0]
+        met = keyed.join(shared, F.col("key") == F.col("__key"))
         last = not finer(mask, radius)
-        small = shared if last else shared.filter(F.col("n") <= CHUNK)
-        found = materialize(_outright(keyed, small, radius), "simhash-links")
+        found = materialize(_outright(met if last else met.filter(F.col("n") <= CHUNK), radius), "simhash-links")
         out = found if out is None else out.union(found)
         large = shared.filter(F.col("n") > CHUNK)
         if last or large.isEmpty():
@@ -406,14 +406,19 @@ def set_links(rows: DataFrame, reps: DataFrame, shingle: int, similarity: float,
     """(__row, text) and (rep, bands) of distinct sets -> links (a, b) that connect what has that similarity."""
     keyed = materialize(reps.select(F.explode("bands").alias("key"), "rep"), "simhash-keys")
     shared = _buckets(keyed)
+    met = materialize(keyed.join(shared, F.col("key") == F.col("__key")).drop("__key"), "simhash-met")
     # only rows that share a key take their fingerprint and set along
-    met = materialize(keyed.join(shared.select("__key"), F.col("key") == F.col("__key"), "left_semi"), "simhash-met")
     some = rows.join(met.select("rep").distinct().hint("merge"), F.col("__row") == F.col("rep"), "left_semi")
     own = materialize(sets(some, shingle, words), "simhash-sets")
-    keyed = materialize(met.join(own.hint("merge"), F.col("rep") == F.col("__rep")).drop("__rep"), "simhash-candidates")
     radius = radius_of(similarity, 64 * words)
-    small = _outright(keyed, shared.filter(F.col("n") <= CHUNK), radius, similarity)
-    return small.union(_large(keyed, shared.filter(F.col("n") > CHUNK), radius, similarity))
+    with_sets = lambda part: part.join(own.hint("merge"), F.col("rep") == F.col("__rep")).drop("__rep")
+    out = materialize(_outright(with_sets(met.filter(F.col("n") <= CHUNK)), radius, similarity), "simhash-links")
+    if not shared.filter(F.col("n") > CHUNK).isEmpty():
+        large = materialize(with_sets(met.filter(F.col("n") > CHUNK)), "simhash-large")
+        out = materialize(out.union(_large(large, radius, similarity)), "simhash-links")
+        discard(large)
+    discard(keyed, met, own)
+    return out
 
 
 def group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
