@@ -29,10 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``materialize`` in buckets of a column, for rows that several joins on it read: they are shuffled once, here."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = df.repartition(n, column).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}")
+    writer.format("parquet").bucketBy(n, column).sortBy(column).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more. Only for tables that ``materialize`` returned."""
     for df in tables:
