@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import discard, materialize, spread  # noqa: F401
+from plumbline.sources.shared import bucketed, discard, materialize, spread  # noqa: F401
 
 #: ASCII white space, as ``bytes.split()`` takes it.
 SPACE = np.zeros(256, dtype=bool)

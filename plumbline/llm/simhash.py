@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASE, apart, as_bytes, discard, materialize, mix, text_batches
+from plumbline.llm.common import BASE, apart, as_bytes, bucketed, discard, materialize, mix, text_batches
 from plumbline.llm.graph import components
 
 SEED = 42
@@ -466,7 +466,7 @@ def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
 
     Fingerprints of 1024 bits pick the pairs; links are those of the exact similarity.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    rows = bucketed(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", "simhash-rows")  # joined three times
     keys = materialize(set_keys(rows, shingle), "simhash-same")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"), F.col("__row").alias("row"))
     keys = keys.join(rows.select("__row", order.alias("first")).hint("merge"), F.col("row") == F.col("__row"))
