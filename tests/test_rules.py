@@ -240,6 +240,14 @@ def test_many_ranges_by_bucket(spark):
     assert near(1000) == near(64) == near(0) and len(near(0)) > 100
 
 
+def test_public_functions_are_there():
+    import plumbline
+
+    assert len(plumbline.__all__) > 70 and all(callable(getattr(plumbline, name)) for name in plumbline.__all__)
+    with pytest.raises(AttributeError):
+        plumbline.nothing
+
+
 def test_entry_without_the_corpus_operators(monkeypatch):
     import __spark_entry__
     from plumbline.plans.queries import QUERIES
