@@ -25,7 +25,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Bound the Arrow batches that carry whole texts to Python workers, by rows and by bytes."""
+    """Bound the Arrow batches that carry whole texts to Python workers, by rows and by bytes; for the session, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
