@@ -1,8 +1,8 @@
-"""DuckDB SQL for the corpus operators that SQL can say: quality rules, mixing and revisit resolution."""
+"""DuckDB SQL for the corpus operators that SQL can say: quality rules, mixing, revisit resolution, code compression and hard negatives."""
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, quality, warc
+from plumbline.llm import codes, mixing, negatives, quality, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -106,5 +106,42 @@ SELECT page_id, record_id, key AS canonical_url, status, CASE WHEN key IS NOT NU
   {value('n', 'etag')} AS etag, {value('n', 'date')} AS date, coalesce(len(n), 0)::INT AS n_headers,
   array_to_string(list_sort(list_transform(list_filter(n, lambda x: x.k NOT IN ('etag', 'date')), lambda x: x.k || '=' || x.v)), ';') AS other_headers FROM m"""
 
+#: Rows of ``embeddings`` with a whole vector.
+KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
-ORACLES = {"op4_warc": revisits_sql(), "op7_mix": mixing_sql(), "op8_quality": quality_sql()}
+
+def codes_sql() -> str:
+    """Every point against every entry, in as many steps as there are rounds."""
+    parts, width = codes.PARTS, f"(dim // {codes.PARTS})"
+    steps = []
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT k, part, arg_min(entry, d * {codes.ENTRIES} + entry) AS entry, min(d) AS d
+  FROM (SELECT x.k, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{i} c USING (part, pos) GROUP BY ALL) GROUP BY k, part)""")
+        if i < codes.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(s.v, c.v) AS v FROM c{i} c
+  LEFT JOIN (SELECT part, entry, pos, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN a{i} USING (k, part) GROUP BY ALL) s USING (part, entry, pos))""")
+    last = codes.ROUNDS
+    return f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, vec_id, label, len(embedding) AS dim, list_transform(embedding, lambda v: floor({codes.SCALE} * v::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {KEPT}),
+l AS (SELECT k, dim, unnest(range(0, dim)) AS i, unnest(v) AS v FROM r),
+x AS MATERIALIZED (SELECT k, i // {width} AS part, i % {width} AS pos, v FROM l),
+c0 AS MATERIALIZED (SELECT part, k AS entry, pos, v FROM x WHERE k < {codes.ENTRIES}),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS digest FROM c{last}),
+o AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY k)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM r JOIN o USING (k), h"""
+
+
+def negatives_sql() -> str:
+    """Every anchor against every row."""
+    return f"""
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda v: floor({negatives.SCALE} * v::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {KEPT}),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.k <> b.k WHERE a.vec_id % 50 = 0),
+p AS (SELECT ak, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= {negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ak, place ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.ak = p.ak AND NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+QUALIFY rank <= {negatives.NEGATIVES}"""
+
+
+ORACLES = {"op4_warc": revisits_sql(), "op7_mix": mixing_sql(), "op8_quality": quality_sql(), "op12_codes": codes_sql(), "op13_negatives": negatives_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, langid, licenses, mixing, ordermin, quality, simhash, suffixes, toxicity, warc
+from plumbline.llm import bpe, codes, kernel, langid, licenses, mixing, negatives, ordermin, quality, simhash, suffixes, toxicity, warc
 from plumbline.llm.common import read
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -50,4 +50,16 @@ def op9_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity, op1_licenses, op4_warc, op9_ordermin)}
+def op11_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op7_mix, op8_quality, op10_simhash, op6_suffixes, op3_langid, op5_toxicity, op1_licenses, op4_warc, op9_ordermin, op11_kernel, op12_codes, op13_negatives)}
