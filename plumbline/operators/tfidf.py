@@ -1,13 +1,30 @@
 """TF-IDF: unigrams and bigrams, the most frequent terms, smooth idf with +1, unit rows.
 
-A row is packed: places in the vocabulary and weights, two arrays. Terms outside the vocabulary are counted where they
-arise and go no further; a text's own terms leave its row only if the vocabulary has them.
+A row is packed: places in the vocabulary, how often each term is there, and its weight, three arrays. All terms of a text
+stand in its row, so counting and weighing them needs no shuffle: one pass of Arrow batches looks a batch's terms up in the
+vocabulary at once.
+
+The vocabulary is found in two passes that shuffle no table of all terms. In the first each task keeps a Misra-Gries summary
+of the terms it meets (mergeable, after Agarwal et al. 2012): ``COUNTERS`` counters that never count too much, and how much
+they may count too little. Added up over the tasks they tell which terms can be among the most frequent; the second pass counts
+these, exactly. Where the possible error reaches the last place of the vocabulary the summaries do not settle it, and all
+terms are counted, combined before the shuffle. Either way the vocabulary is the exact one.
+
+An index that is to grow (``growable``) keeps the totals of all its terms as a table of its own. ``append_texts`` adds those
+of the new texts, takes the vocabulary and the weights of the whole from the sums, and reads an old text again only if a term
+has come into the vocabulary: what it has of the other terms stands in its row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import ngrams, tokenize
@@ -15,6 +32,10 @@ from plumbline.sources.shared import materialize
 
 #: A vocabulary has this many terms at most, which bounds what is broadcast.
 MAX_FEATURES = 1000
+#: Counters of a task's summary. A term's count is at most (terms of the corpus) / COUNTERS too low.
+COUNTERS = 50_000
+#: Terms that the second pass counts at most.
+CANDIDATES = 100_000
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
@@ -22,31 +43,179 @@ def term_counts(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.explode(ngrams(tokenize("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _tokens(tokens: str | None):
+    return (F.col(tokens) if tokens else tokenize("text")).alias("tokens")
+
+
+def _terms(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, term) of every unigram and bigram of a batch of token lists."""
+    flat, row = tokens.flatten(), np.repeat(np.arange(len(tokens)), pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    inside = pa.array(row[1:] == row[:-1])
+    pairs = pc.binary_join_element_wise(flat[:-1].filter(inside), flat[1:].filter(inside), " ")
+    return np.concatenate([row, row[1:][row[1:] == row[:-1]]]), pa.chunked_array([flat, pairs.cast(flat.type)]).combine_chunks()
+
+
+class Summary:
+    """Misra-Gries counters of terms: counts that are never too high, and ``error``, the most that they can be too low."""
+
+    def __init__(self, counters: int) -> None:
+        self.counters, self.error = counters, 0
+        self.counts = pa.table({"term": pa.array([], type=pa.string()), "n": pa.array([], type=pa.int64())})
+
+    def add(self, terms: pa.Array) -> None:
+        got = pc.value_counts(terms)
+        more = pa.table({"term": got.field("values").cast(pa.string()), "n": got.field("counts").cast(pa.int64())})
+        merged = pa.concat_tables([self.counts, more]).group_by("term").aggregate([("n", "sum")])
+        self.counts = pa.table({"term": merged.column("term"), "n": merged.column("n_sum")})
+        if self.counts.num_rows > 2 * self.counters:
+            self.prune()
+
+    def prune(self) -> None:
+        """Take the count of the first counter too many off every counter."""
+        n = self.counts.column("n").to_numpy()
+        if len(n) > self.counters:
+            cut = int(np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1])
+            self.error += cut
+            left = self.counts.filter(pa.array(n > cut))
+            self.counts = pa.table({"term": left.column("term"), "n": pc.subtract(left.column("n"), cut)})
+
+
+def heavy_terms(texts: DataFrame, tokens: str | None = None, counters: int = COUNTERS) -> DataFrame:
+    """(term, low): the sum of the tasks' counters for each term, and one row of null term, by how much they can be too low."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Summary(counters)
+        for b in batches:
+            s.add(_terms(b.column(0))[1])
+        s.prune()
+        yield from s.counts.to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.string()), pa.array([s.error], type=pa.int64())], names=["term", "n"])
+
+    return texts.select(_tokens(tokens)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("low"))
+
+
+def count_terms(texts: DataFrame, terms: list[str], tokens: str | None = None) -> DataFrame:
+    """(term, total, df) of given terms, exactly; the tasks' sums are a row a term."""
+    shared = texts.sparkSession.sparkContext.broadcast(pa.array(terms, type=pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total, df = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
+        for b in batches:
+            row, term = _terms(b.column(0))
+            at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, at = row[at >= 0], at[at >= 0]
+            total += np.bincount(at, minlength=len(known))
+            df += np.bincount(np.unique(row * len(known) + at) % len(known), minlength=len(known))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(some)), pa.array(total[some]), pa.array(df[some])], names=["term", "total", "df"])
+
+    return texts.select(_tokens(tokens)).mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def term_totals(texts: DataFrame, tokens: str | None = None) -> DataFrame:
+    """(term, total, df) of all terms.
+
+    Terms of a text are sorted within its row, so that the first of each is known there: total and df are one count,
+    combined before the shuffle.
+    """
+    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get(F.col("terms"), i - 1) != t, F.lit(True)).alias("first")))
+    each = texts.select(F.sort_array(ngrams(F.col(tokens) if tokens else tokenize("text"))).alias("terms")).select(F.explode(marked).alias("x"))
+    return each.groupBy("x.term").agg(F.count(F.lit(1)).alias("total"), F.count_if("x.first").alias("df"))
+
+
+def vocabulary_of(totals: DataFrame, n_texts: int, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, total, df) -> (at, term, total, df, idf) of the most frequent terms, ties by term, ``at`` from 0."""
+    top = totals.orderBy(F.desc("total"), "term").limit(max_features)
+    place = (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("at")  # of max_features rows
+    return top.select(place, "term", "total", "df", (F.ln((1 + F.lit(float(n_texts))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def candidates(texts: DataFrame, max_features: int, tokens: str | None = None, counters: int = COUNTERS, most: int = CANDIDATES) -> list[str] | None:
+    """Terms that hold the ``max_features`` most frequent ones, or None where summaries do not settle which these are."""
+    low = materialize(heavy_terms(texts, tokens, counters), "heavy-terms")
+    error = low.filter("term is null").first()  # one row; none for a table without partitions
+    error = error["low"] if error else 0
+    top = [r["low"] for r in low.filter("term is not null").orderBy(F.desc("low")).limit(max_features).select("low").collect()]  # max_features rows
+    if error and (len(top) < max_features or top[-1] <= error):
+        return None  # a term that no summary has may be among them
+    least = max(1, top[-1] - error) if len(top) == max_features else 1
+    found = [r["term"] for r in low.filter("term is not null").filter(F.col("low") >= least).select("term").limit(most + 1).collect()]  # ``most`` rows
+    return found if len(found) <= most else None
+
+
 def fit_vocabulary(texts: DataFrame, max_features: int = MAX_FEATURES, tokens: str | None = None) -> DataFrame:
     """(at, term, total, df, idf) of the most frequent terms, ties by term, ``at`` from 0. An empty corpus is an error.
 
-    Terms of a text are sorted within its row, so that the first of each is known there: total and df are one count,
-    combined before the shuffle. ``tokens`` names a column that has them already.
+    ``tokens`` names a column that has a text's tokens already.
     """
     n_texts = texts.count()
     if not n_texts:
         raise ValueError("no texts to fit on")
-    terms = F.sort_array(ngrams(F.col(tokens) if tokens else tokenize("text")))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get(F.col("terms"), i - 1) != t, F.lit(True)).alias("first")))
-    each = texts.select(terms.alias("terms")).select(F.explode(marked).alias("x"))
-    counts = each.groupBy("x.term").agg(F.count(F.lit(1)).alias("total"), F.count_if("x.first").alias("df"))
-    top = counts.orderBy(F.desc("total"), "term").limit(max_features)
-    place = (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("at")  # of max_features rows
-    return top.select(place, "term", "total", "df", (F.ln((1 + F.lit(float(n_texts))) / (1 + F.col("df"))) + 1).alias("idf"))
+    found = candidates(texts, max_features, tokens)
+    return vocabulary_of(term_totals(texts, tokens) if found is None else count_terms(texts, found, tokens), n_texts, max_features)
+
+
+def _vocabulary(vocabulary: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """Terms by place, and their idf."""
+    rows = vocabulary.select("at", "term", "idf").toArrow().sort_by("at")  # the vocabulary's bound
+    return rows.column("term").combine_chunks().cast(pa.string()), rows.column("idf").to_numpy()
+
+
+def _lists(row: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
+    """Values of sorted rows as lists, one a row."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+
+def _packed(keys: pa.Array, row: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> pa.RecordBatch:
+    """(row, place, tf), sorted -> a batch of packed rows; rows without a term are left out."""
+    w = tf * idf[at]
+    w = w / np.sqrt(np.bincount(row, w * w, minlength=len(keys)))[row]
+    some = pa.array(np.bincount(row, minlength=len(keys)) > 0)
+    return pa.RecordBatch.from_arrays([c.filter(some) for c in (keys, *_lists(row, len(keys), at.astype(np.int32), tf.astype(np.int32), w))], names=["key", "places", "tf", "weights"])
+
+
+def _schema(texts: DataFrame, key: str, *more: tuple[str, T.DataType]) -> T.StructType:
+    fields = [("key", texts.schema[key].dataType), ("places", T.ArrayType(T.IntegerType())), ("tf", T.ArrayType(T.IntegerType())), *more]
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+WEIGHTS = ("weights", T.ArrayType(T.DoubleType()))
 
 
 def pack(texts: DataFrame, vocabulary: DataFrame, key: str, tokens: str | None = None) -> DataFrame:
-    """(key, places array<int>, weights array<double>), rows of unit length; texts without known terms have no rows."""
-    terms = F.explode(ngrams(F.col(tokens) if tokens else tokenize("text"))).alias("term")
-    known = texts.select(key, terms).join(F.broadcast(vocabulary.select("term", "at", "idf")), "term")  # MAX_FEATURES rows
-    counts = known.repartition(F.col(key)).groupBy(key, "at").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    rows = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("r"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.select(key, F.transform("r", lambda x: x["at"]).alias("places"), F.transform("r", lambda x: x["w"] / F.col("norm")).alias("weights"))
+    """(key, places, tf, weights), rows of unit length; texts without known terms have no rows. One pass, no shuffle."""
+    shared = texts.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value
+        for b in batches:
+            row, term = _terms(b.column(1))
+            at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            cell, tf = np.unique(row[at >= 0] * max(1, len(known)) + at[at >= 0], return_counts=True)
+            yield _packed(b.column(0), cell // max(1, len(known)), cell % max(1, len(known)), tf, idf)
+
+    return texts.select(F.col(key).alias("key"), _tokens(tokens)).mapInArrow(run, _schema(texts, key, WEIGHTS)).withColumnRenamed("key", key)
+
+
+def reweigh(counted: DataFrame, old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Packed rows under another vocabulary: places moved, terms that are gone dropped, weights anew. No text is read."""
+    (was, _), (now, idf) = _vocabulary(old), _vocabulary(new)
+    move = pc.fill_null(pc.index_in(was, value_set=now), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared = counted.sparkSession.sparkContext.broadcast((move, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, idf = shared.value
+        for b in batches:
+            places, tf = b.column("places"), b.column("tf")
+            row = np.repeat(np.arange(b.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+            at, n = move[places.flatten().to_numpy()] if len(row) else row, tf.flatten().to_numpy()
+            row, at, n = row[at >= 0], at[at >= 0], n[at >= 0]
+            order = np.lexsort((at, row))
+            yield _packed(b.column("key"), row[order], at[order], n[order], idf)
+
+    return counted.select(F.col(key).alias("key"), "places", "tf").mapInArrow(run, _schema(counted, key, WEIGHTS)).withColumnRenamed("key", key)
 
 
 def unpack(packed: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
@@ -57,15 +226,66 @@ def unpack(packed: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
 
 def embed(texts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Texts or queries under a fitted vocabulary, in long form; unknown terms count for nothing."""
+    vocabulary = materialize(vocabulary, "vocabulary")
     return unpack(pack(texts, vocabulary, key), vocabulary, key)
 
 
-def build_index(chunks: DataFrame, max_features: int = MAX_FEATURES, key: str = "chunk_id") -> dict[str, DataFrame]:
-    """(key, text, ...) -> chunks, vocabulary, packed rows, and the same as vectors in long form. Texts are cut and tokenised once."""
+def build_index(chunks: DataFrame, max_features: int = MAX_FEATURES, key: str = "chunk_id", growable: bool = False) -> dict[str, DataFrame]:
+    """(key, text, ...) -> chunks, vocabulary, packed rows, and the same as vectors in long form; ``terms`` too if it is to grow.
+
+    Texts are cut and tokenised once.
+    """
     own = materialize(chunks.withColumn("__tokens", tokenize("text")), "index-chunks")
-    vocabulary = materialize(fit_vocabulary(own, max_features, "__tokens"), "index-vocabulary")
-    packed = materialize(pack(own, vocabulary, key, "__tokens"), "index-vectors")
-    return {"chunks": own.drop("__tokens"), "vocabulary": vocabulary, "packed": packed, "vectors": unpack(packed, vocabulary, key)}
+    index = {"chunks": own.drop("__tokens")}
+    if growable:
+        n = own.count()
+        if not n:
+            raise ValueError("no texts to fit on")
+        index["terms"] = materialize(term_totals(own, "__tokens"), "index-terms")
+        found = vocabulary_of(index["terms"], n, max_features)
+    else:
+        found = fit_vocabulary(own, max_features, "__tokens")
+    index["vocabulary"] = materialize(found, "index-vocabulary")
+    index["packed"] = materialize(pack(own, index["vocabulary"], key, "__tokens"), "index-vectors")
+    return index | {"vectors": unpack(index["packed"], index["vocabulary"], key)}
+
+
+def append_texts(index: dict[str, DataFrame], chunks: DataFrame, max_features: int = MAX_FEATURES, key: str = "chunk_id") -> dict[str, DataFrame]:
+    """A growable index and new chunks -> the index of both, as ``build_index`` of both would make it. A key that is there is an error.
+
+    Every weight changes, as idf counts the texts, but from the counts in the rows. Old texts are tokenised again only to
+    look for terms that have come into the vocabulary, and only the rows that have one are put together anew.
+    """
+    if "terms" not in index:
+        raise ValueError("the index keeps no totals of its terms: build it growable")
+    own = materialize(chunks.withColumn("__tokens", tokenize("text")), "index-chunks")
+    clash = own.join(index["chunks"].select(key), key, "left_semi").limit(1).count()
+    if clash:
+        raise ValueError(f"{key} of a new chunk is in the index")
+    both = index["terms"].unionByName(term_totals(own, "__tokens")).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    terms = materialize(both, "index-terms")
+    n = index["chunks"].count() + own.count()
+    vocabulary = materialize(vocabulary_of(terms, n, max_features), "index-vocabulary")
+    entered = vocabulary.join(index["vocabulary"].select("term"), "term", "left_anti").select("at", "term", "idf")
+    old = reweigh(index["packed"], index["vocabulary"], vocabulary, key)
+    if entered.limit(1).count():
+        old = _with(old, pack(index["chunks"], entered.withColumn("at", F.row_number().over(Window.orderBy("at")) - 1), key), entered, vocabulary, key)
+    packed = materialize(old.unionByName(pack(own, vocabulary, key, "__tokens")), "index-vectors")
+    whole = index["chunks"].unionByName(own.drop("__tokens"), allowMissingColumns=True)
+    return {"chunks": whole, "terms": terms, "vocabulary": vocabulary, "packed": packed, "vectors": unpack(packed, vocabulary, key)}
+
+
+def _with(old: DataFrame, more: DataFrame, entered: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """Rows with the counts of entered terms that their texts have (``more``, packed over ``entered`` by place); the others pass."""
+    more = materialize(more, "index-entered")
+    places = [r["at"] for r in entered.orderBy("at").collect()]  # of the vocabulary
+    at = F.array(*map(F.lit, places))
+    added = more.select(key, F.transform("places", lambda p: F.element_at(at, p + 1)).alias("p"), F.col("tf").alias("n"))
+    none = F.array().cast("array<int>")
+    join = F.coalesce(F.col("places"), none), F.coalesce(F.col("tf"), none)
+    changed = added.join(old.select(key, "places", "tf"), key, "left").select(key, F.concat(join[0], "p").alias("places"), F.concat(join[1], "n").alias("tf"))
+    same = old.join(more.select(key), key, "left_anti")
+    return same.unionByName(reweigh(changed, vocabulary, vocabulary, key))
 
 
 def index_stats(index: dict[str, DataFrame]) -> DataFrame:

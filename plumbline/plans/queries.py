@@ -18,7 +18,8 @@ from plumbline.operators import tfidf as tf
 from plumbline.plans import fixtures as fx
 from plumbline.plans.fit import fit_model
 from plumbline.plans.report import envelope, text_report
-from plumbline.sources.files import append_index, read_days, read_index, write_index, write_readings
+from plumbline.sources.files import append_index, read_index, write_index
+from plumbline.sources.readings import TIME, read_days, read_readings, write_readings
 from plumbline.sources.shared import materialize, shared_dir
 from plumbline.streaming.monitor import monitor_stream
 
@@ -55,6 +56,16 @@ _day = f"ts BETWEEN TIMESTAMP '{fx.DAY[0]}' AND TIMESTAMP '{fx.DAY[1].replace('T
 query("time_range_filter", f"SELECT * FROM readings WHERE {_day}", fx.READINGS)(lambda s, d: rd.time_range_filter(fx.readings(s, d), *fx.DAY))
 
 
+@query("read_readings", "SELECT row_number() OVER (ORDER BY ts, reading_id) - 1 AS reading_id, ts, target, feature1, feature2, feature3, feature4, feature5, reading_id::VARCHAR AS event FROM readings", fx.READINGS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All readings as CSV files in order of time, as a logger leaves them, and back."""
+    path, rows = f"{shared_dir(s)}/logged-{uuid.uuid4().hex}", fx.readings(s, d)
+    features = [c for c in rows.columns if c.startswith("feature")]
+    logged = rows.repartitionByRange(4, "ts", "reading_id").sortWithinPartitions("ts", "reading_id").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(TIME), "target", *features, F.col("reading_id").cast("string").alias("event"))
+    logged.write.option("header", True).csv(path)
+    return read_readings(s, path)
+
+
 @query("read_days", f"SELECT * FROM readings WHERE {_day}", fx.READINGS)
 def _days(s, d):
     path = f"{shared_dir(s)}/readings-{uuid.uuid4().hex}"
@@ -172,6 +183,14 @@ def index(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 query("fit_vocabulary", "SELECT term, total::BIGINT AS total, df, round(idf, 6) AS idf FROM vocab", fx.INDEX)(lambda s, d: tf.fit_vocabulary(fx.chunks(s, d)).select("term", "total", "df", *r6("idf")))
 query("tfidf_vectors", "SELECT chunk_id, term, round(weight, 6) AS weight FROM vectors", fx.INDEX)(lambda s, d: index(s, d)["vectors"].select("chunk_id", "term", *r6("weight")))
+@query("append_texts", "SELECT chunk_id, term, round(weight, 6) AS weight FROM vectors", fx.INDEX)
+def _grown(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of odd documents appended to the index of the others."""
+    c = fx.chunks(s, d)
+    grown = tf.append_texts(tf.build_index(c.filter("doc_id % 2 = 0"), growable=True), c.filter("doc_id % 2 <> 0"))
+    return grown["vectors"].select("chunk_id", "term", *r6("weight"))
+
+
 query("embed_queries", "SELECT query_id, term, round(weight, 6) AS weight FROM qvec", fx.EMBEDDED)(lambda s, d: tf.embed(fx.queries(s, d).withColumnRenamed("query", "text"), tf.fit_vocabulary(fx.chunks(s, d)), "query_id").select("query_id", "term", *r6("weight")))
 query("index_stats", "SELECT (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(DISTINCT source_file) FROM chunks) AS n_sources, (SELECT string_agg(source_file, ',' ORDER BY source_file) FROM (SELECT DISTINCT source_file FROM chunks)) AS sources, (SELECT count(*) FROM vocab) AS dimension, (SELECT count(*) FROM vectors) AS index_size", fx.INDEX)(lambda s, d: tf.index_stats(index(s, d)))
 query("sample_chunks", "SELECT chunk_id, text FROM chunks ORDER BY md5('0|' || chunk_id), chunk_id LIMIT 5", fx.CHUNKS)(lambda s, d: tf.sample_chunks(fx.chunks(s, d), 5).select("chunk_id", "text"))
@@ -188,8 +207,7 @@ def _reloaded(s, d):
 
 
 query("attach_metadata", "SELECT query_id, rank, chunk_id, source_file, file_path, text FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3", fx.EMBEDDED + _l2)(lambda s, d: se.attach_metadata(se.search_tfidf_l2(fx.queries(s, d), i := index(s, d), 3), i["chunks"]).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_file", "file_path", "text"))
-query("search_by_source", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id, round(score, 6) AS score FROM hits JOIN chunks USING (chunk_id) WHERE source_file = 'src3' QUALIFY rank <= 5", fx.EMBEDDED + _l2.replace("QUALIFY rank <= 25", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + d2), 9) DESC, chunk_id) <= 25"))(lambda s, d: se.search_by_source(fx.queries(s, d), index(s, d), "src3", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *r6("score")))
-ORACLES["search_by_source"] = f"WITH {fx.EMBEDDED}{_l2} SELECT query_id, n AS rank, chunk_id, round(score, 6) AS score FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY h.rank) AS n FROM hits h JOIN chunks USING (chunk_id) WHERE source_file = 'src3') WHERE n <= 5"
+query("search_by_source", "SELECT query_id, n AS rank, chunk_id, round(score, 6) AS score FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY h.rank) AS n FROM hits h JOIN chunks USING (chunk_id) WHERE source_file = 'src3') WHERE n <= 5", fx.EMBEDDED + _l2)(lambda s, d: se.search_by_source(fx.queries(s, d), index(s, d), "src3", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *r6("score")))
 
 
 def dense(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -209,12 +227,12 @@ def _pairs(s, d):
     return se.pairwise_cosine(a.join(b, F.col("b_id") == F.col("a_id") + 1)).select("a_id", "b_id", *r6("cosine"), "band")
 
 
-@query("similarity_ratio", "SELECT a.vec_id, round(c1 / c2, 5) AS ratio FROM (SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c1, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS c2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2) a WHERE abs(c2) > 0.01")
+@query("similarity_ratio", "SELECT a.vec_id, round(c1 / nullif(c2, 0), 5) AS ratio FROM (SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c1, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS c2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2) a")
 def _ratio(s, d):
     v = fx.table(s, d, "embeddings")
     named = lambda n, i: v.select((F.col("vec_id") - i).alias("vec_id"), F.col("embedding").alias(n))
     c = named("a", 0).join(named("b", 1), "vec_id").join(named("c", 2), "vec_id")
-    c = c.select("vec_id", F.round(se.cosine("a", "b"), 9).alias("c1"), F.round(se.cosine("a", "c"), 9).alias("c2")).filter("abs(c2) > 0.01")
+    c = c.select("vec_id", F.round(se.cosine("a", "b"), 9).alias("c1"), F.round(se.cosine("a", "c"), 9).alias("c2"))
     return c.select("vec_id", F.round(se.similarity_ratio("c1", "c2"), 5).alias("ratio"))
 
 

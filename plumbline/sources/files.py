@@ -1,4 +1,4 @@
-"""Readings, raw documents, knowledge files, model artifacts and the document index as Spark sources and sinks."""
+"""Raw documents, knowledge files, model artifacts and the document index as Spark sources and sinks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from plumbline.functions.text import strip
 from plumbline.operators.chunks import assign_chunk_index, chunk_documents, processing_stats
 from plumbline.operators.model import Model
-from plumbline.operators.readings import time_range_filter
 from plumbline.operators.tfidf import build_index, unpack
 from plumbline.sources.shared import materialize
 
@@ -22,29 +21,6 @@ SOLUTION = "problem string, symptoms array<string>, root_causes array<string>, s
 CONCEPT = "term string, definition string, interpretation string, category string"
 
 
-def readings_schema(features: int) -> T.StructType:
-    return T.StructType([T.StructField("reading_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("target", T.DoubleType()), *(T.StructField(f"feature{i}", T.DoubleType()) for i in range(1, features + 1))])
-
-
-def read_readings(spark: SparkSession, path: str, features: int, fmt: str = "csv") -> DataFrame:
-    """Sensor readings by explicit schema; NaN becomes null, as comparisons would rank it highest."""
-    schema = readings_schema(features)
-    reader = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss") if fmt == "csv" else spark.read.schema(schema)
-    df = reader.format(fmt).load(path)
-    return df.select(*(F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def write_readings(df: DataFrame, path: str) -> None:
-    """Parquet by day, so that a time range reads its days only."""
-    df.withColumn("date", F.to_date("ts")).repartition("date").write.partitionBy("date").parquet(path)
-
-
-def read_days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Readings of start <= ts <= end from what ``write_readings`` wrote; other days are not read."""
-    df = time_range_filter(spark.read.parquet(path), start, end)
-    return df.filter(F.col("date").between(*(F.to_date(F.lit(x)) for x in (start, end)))).drop("date")
-
-
 def list_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".pdf", ".txt")) -> DataFrame:
     """Files directly in a folder by lower-cased extension: path, content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
@@ -117,18 +93,30 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model.from_dict(json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
+#: Written last: a folder without it is no whole index.
+COMPLETE = "_COMPLETE"
+
+
 def write_index(path: str, index: dict[str, DataFrame]) -> None:
-    """Texts with their metadata, vocabulary and packed vectors of an index that ``build_index`` made."""
-    for part in ("chunks", "vocabulary", "packed"):
-        index[part].write.parquet(f"{path}/{part}")
+    """Texts with their metadata, vocabulary and packed vectors of an index that ``build_index`` made, and its terms if it can grow.
+
+    A mark is written when all of it is there; an index that a crash cut short has none.
+    """
+    for part in ("chunks", "vocabulary", "packed", "terms"):
+        if part in index:
+            index[part].write.parquet(f"{path}/{part}")
+    spark = index["chunks"].sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMPLETE}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
 
 
 def read_index(spark: SparkSession, path: str, key: str = "chunk_id") -> dict[str, DataFrame]:
-    """An index as it was built. Missing chunks, vocabulary or vectors are an error; missing metadata columns are null."""
-    for part in ("chunks", "vocabulary", "packed"):
+    """An index as it was written. A missing part or an unfinished index is an error; missing metadata columns are null."""
+    for part in ("chunks", "vocabulary", "packed", COMPLETE):
         if not _exists(spark, f"{path}/{part}"):
             raise FileNotFoundError(f"no {part} in {path}")
-    index = {part: spark.read.parquet(f"{path}/{part}") for part in ("chunks", "vocabulary", "packed")}
+    parts = ["chunks", "vocabulary", "packed", *(["terms"] if _exists(spark, f"{path}/terms") else [])]
+    index = {part: spark.read.parquet(f"{path}/{part}") for part in parts}
     for c in ("source_file", "file_path"):
         if c not in index["chunks"].columns:
             index["chunks"] = index["chunks"].withColumn(c, F.lit(None).cast("string"))

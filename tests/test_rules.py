@@ -195,16 +195,6 @@ def test_parser_chunker_and_embedder_of_ones_own(spark, tmp_path):
     assert [r["vec_id"] for r in hits] == [2, 1]
 
 
-def test_readings_files(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("reading_id,ts,target,feature1\n1,2024-01-01 00:00:00,1.5,NaN\n2,2024-01-02 10:00:00,2.5,3\n3,2024-01-03 00:00:00,,4\n")
-    df = files.read_readings(spark, str(tmp_path / "r.csv"), 1)
-    assert [(r["reading_id"], r["target"], r["feature1"]) for r in df.orderBy("reading_id").collect()] == [(1, 1.5, None), (2, 2.5, 3.0), (3, None, 4.0)]
-    files.write_readings(df, str(tmp_path / "days"))
-    some = files.read_days(spark, str(tmp_path / "days"), "2024-01-02 00:00:00", "2024-01-02T23:00:00")
-    assert [r["reading_id"] for r in some.collect()] == [2] and some.columns == df.columns
-    assert "PartitionFilters: [isnotnull(date" in some._jdf.queryExecution().toString()
-
-
 @pytest.mark.parametrize("block", [4096, 3])
 def test_dense_search_skips_nulls_and_is_brute_force_in_one_block_or_many(spark, monkeypatch, block):
     monkeypatch.setattr(se, "QUERY_BLOCK", block)
