@@ -66,10 +66,10 @@ def count_words(data: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, int(SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeat
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts of their text, and the text itself untouched."""
+def count(docs: DataFrame, text: str = "text", whole: bool = True) -> DataFrame:
+    """``docs`` with the five counts of their text, and the text itself untouched; not ``whole``: without the text."""
     text_batches(docs.sparkSession)
-    keep = [f for f in docs.schema if f.name not in COUNTS]
+    keep = [f for f in docs.schema if f.name not in COUNTS and (whole or f.name != text)]
     schema = T.StructType([*keep, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     names = schema.names
 
@@ -135,12 +135,12 @@ def thresholds(rated: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOC
     return materialize(picked.select("lang", "source", *(fence(k, spread).alias(f"max_{k}") for k in RATES)), "quality-fences")
 
 
-def judge(docs: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with counts, rates, base_failed and kept."""
+def judge(docs: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS, whole: bool = True) -> DataFrame:
+    """``docs`` with counts, rates, base_failed and kept; not ``whole``: without their text."""
     for c, kind in (("lang", "string"), ("source", "string")):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast(kind))
-    rated = rates(materialize(count(docs), "quality-counts")).withColumn("base_failed", base_failed())
+    rated = rates(materialize(count(docs, whole=whole), "quality-counts")).withColumn("base_failed", base_failed())
     limits = thresholds(rated.filter("not base_failed"), spread, min_docs)
     limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(F.col(f"max_{k}").alias(f"__max_{k}") for k in RATES))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
@@ -158,5 +158,5 @@ def keep(docs: DataFrame, **params) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, the counts, base_failed and kept."""
-    out = judge(docs.select("doc_id", "text", "lang", "source"))
+    out = judge(docs.select("doc_id", "text", "lang", "source"), whole=False)
     return out.select("doc_id", *COUNTS, "base_failed", "kept")
