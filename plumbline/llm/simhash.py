@@ -1,7 +1,7 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A document's fingerprint has a bit where more than half of its shingles' hashes have it. Documents of equal fingerprint
-collapse to one representative (least doc_id) before anything is compared. Representatives meet in buckets:
+collapse to one representative (the fingerprint itself) before anything is compared. Representatives meet in buckets:
 
 * ``blocks``: the fingerprint is cut into radius + 2 blocks; two fingerprints within the radius agree in two blocks at
   least, so a bucket for each pair of blocks finds every link (exact). A bucket of more than ``CHUNK`` fingerprints is dealt
@@ -20,8 +20,8 @@ that the pivots leave outside their main class are compared further, in chunks.
 ``graph``.
 
 Texts: null is the empty text; texts without words have fingerprint zero, linked like any other; fewer words than a shingle
-takes make one shingle of all of them. Rows of null doc_id take part but are never a representative; if nothing else
-shares their fingerprint their component is null. Repeated rows fall together as copies do. An empty table gives an empty
+takes make one shingle of all of them. Rows of null doc_id take part and link others like any row, but give a component no
+name; one that has only such rows has null. Repeated rows fall together as copies do. An empty table gives an empty
 result; long texts are read whole; a group's name is its least doc_id, so ties do not occur; other columns are not read, and
 pass ``keep`` unharmed. ``keep`` goes by a number that the written table gives each row instead of doc_id, so null and
 repeated ids are documents like any other there.
@@ -388,7 +388,7 @@ def _buckets(keyed: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame, radius: int) -> DataFrame:
     """(rep, fp) of distinct fingerprints -> links (a, b) that connect what lies within the radius."""
-    rows, out, mask = reps.filter("rep is not null").select(F.lit(0).cast("long").alias("mask"), "rep", "fp"), None, 0
+    rows, out, mask = reps.select(F.lit(0).cast("long").alias("mask"), "rep", "fp"), None, 0
     while True:
         keyed = materialize(rows.mapInArrow(_block_keys(radius), "key long, mask long, rep long, fp binary"), "simhash-keys")
         shared, mask = _buckets(keyed), finer(mask, radius)[0]
@@ -422,13 +422,17 @@ def set_links(rows: DataFrame, reps: DataFrame, shingle: int, similarity: float,
 
 
 def group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """documents -> (doc_id, fp, component_id)."""
+    """documents -> (doc_id, fp, component_id).
+
+    What is linked are fingerprints, each by itself a number; the name of a component is the least doc_id of all its rows.
+    """
     fps = materialize(fingerprints(docs, shingle), "simhash-fps")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("rep", F.conv(F.hex("fp"), 16, -10).cast("long")), "simhash-reps")
     found = materialize(components(links(reps, radius)), "simhash-components")
-    label = reps.select(F.col("fp").alias("__fp"), "rep").join(found, F.col("rep") == F.col("node"), "left")
-    label = materialize(label.select("__fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels")
-    return fps.select("doc_id", "fp").join(label, F.col("fp") == F.col("__fp")).drop("__fp")
+    label = materialize(reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "rep").alias("component")), "simhash-labels")
+    least = label.groupBy(F.col("component").alias("__component")).agg(F.min("first").alias("component_id"))
+    named = materialize(label.join(least, F.col("component") == F.col("__component")).select(F.col("fp").alias("__fp"), "component_id"), "simhash-names")
+    return fps.select("doc_id", "fp").join(named, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
 @functools.cache

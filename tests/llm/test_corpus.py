@@ -215,6 +215,18 @@ def test_near_duplicates_are_those_of_similarity(spark, monkeypatch, chunk, rows
     assert {r["doc_id"] for r in simhash.keep(df).select("doc_id").collect()} == {i for i, r in enumerate(root) if i == r}
 
 
+def test_links_through_rows_of_null_id(spark, monkeypatch):
+    """Fingerprints 1 and 2 are four bits apart; what lies between, two bits from each, has no id, or a greater one."""
+    fps = {"a": 0, "b": 0b1111, "c": 0b0011, "d": 0xFFFF << 48 | 1 << 40, "e": 0xFFFF << 48}
+    made = lambda df, shingle: df.select("doc_id", F.unhex(F.lpad("text", 16, "0")).alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", made)
+    for between in (None, 9):
+        rows = [(1, "a"), (2, "b"), (between, "c"), (None, "d"), (None, "e"), (7, "a"), (None, "a")]
+        df = spark.createDataFrame([(i, f"{fps[x]:016x}") for i, x in rows], "doc_id long, text string")
+        got = {(r["doc_id"], bytes(r["fp"])): r["component_id"] for r in simhash.group(df).collect()}
+        assert len(got) == 7 and {c for (_, fp), c in got.items() if fp[0] == 0} == {1} and {c for (_, fp), c in got.items() if fp[0]} == {None}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10] + [(100, 100), (7, 3), (3, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
