@@ -10,7 +10,7 @@ fit them, and a family needs more than ``1 - false_rate`` of the unknown windows
 family's templates by shared word 3-grams (2-grams for two words; a single word is no notice), and only what agrees is
 confirmed.
 
-The sample is bounded by ``SAMPLE`` (expected number of documents, a parameter; each gives the hashes of one window of
+The sample is bounded by ``SAMPLE`` (documents, a parameter, drawn by a hash of id and text; each gives the hashes of one window of
 several words, the one of least hash with its doc_id among all that it has), the model by families x buckets. The scan is one narrow pass over every whole text.
 Null and empty texts have no paragraphs; families are listed once, by name; equal probabilities go to the family that comes
 first by name; repeated rows are scanned each by itself; an empty corpus trains against the notices alone and gives an empty
@@ -193,7 +193,7 @@ def _sample(docs: DataFrame, sample_size: int) -> list[tuple[np.ndarray, frozens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for draw, doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts = paragraphs(t)
                 w = Windows(parts) if parts else None
                 several = np.flatnonzero(w.last - w.first > 1) if parts else []
@@ -201,14 +201,16 @@ def _sample(docs: DataFrame, sample_size: int) -> list[tuple[np.ndarray, frozens
                     with np.errstate(over="ignore"):
                         i = several[mix(np.array([w.h[a:b].sum() for a, b in zip(w.first[several], w.last[several], strict=True)]) + np.uint64((doc or 0) & 0xFFFFFFFFFFFFFFFF)).argmin()]
                     h = w.h[w.first[i] : w.last[i]]
-                    out.append((doc, grams(h)[0].view(np.int64), np.array(sorted(compared(h)), dtype=np.uint64).view(np.int64)))
-            cols = [pa.array([x[0] for x in out], type=pa.int64()), *(pa.array([x[i] for x in out], type=pa.list_(pa.int64())) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "own"])
-
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = chosen.select(F.col("doc_id").cast("long"), as_bytes().alias("t")).mapInArrow(run, "doc_id long, g array<long>, own array<long>")
+                    out.append((draw, doc, grams(h)[0].view(np.int64), np.array(sorted(compared(h)), dtype=np.uint64).view(np.int64)))
+            cols = [*(pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)), *(pa.array([x[i] for x in out], type=pa.list_(pa.int64())) for i in (2, 3))]
+            yield pa.RecordBatch.from_arrays(cols, names=["draw", "doc_id", "g", "own"])
+
+    # a quarter more than needed is drawn in the scan, and of these the first by the hash are kept: bounded whatever the ids
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1_000_000))
+    chosen = docs.select(draw.alias("draw"), F.col("doc_id").cast("long"), as_bytes().alias("t")).filter(F.col("draw") < int(min(1.0, 1.25 * share) * 1_000_000))
+    rows = chosen.mapInArrow(run, "draw long, doc_id long, g array<long>, own array<long>").orderBy("draw", "doc_id", "g").limit(sample_size)
     view = lambda x: np.array(x, dtype=np.int64).view(np.uint64)
-    return [(view(r["g"]), frozenset(view(r["own"]).tolist())) for r in rows.orderBy("doc_id", "g").collect()]  # some sample_size windows
+    return [(view(r["g"]), frozenset(view(r["own"]).tolist())) for r in rows.collect()]  # sample_size windows
 
 
 def scan(docs: DataFrame, sample_size: int = SAMPLE) -> DataFrame:
