@@ -6,8 +6,9 @@ text's margins are compared with all codewords under the logistic loss, and the
 the weight exp(-loss), and a text whose runner-up is close is flagged ambiguous. Up to seven languages get the exhaustive
 code, more get seeded random codewords.
 
-Training counts n-grams over a bounded, hashed sample of labelled rows (``per_language`` expected each, a parameter); the
-model is languages x buckets and so independent of the corpus. Prediction is one narrow pass over every whole text.
+Training counts n-grams over a bounded sample of labelled rows (``per_language`` each at most, a parameter), drawn by a hash of
+id and text, so that null and repeated ids are drawn like any other; the model is languages x buckets and so independent
+of the corpus. Prediction is one narrow pass over every whole text.
 
 Null texts and texts without a letter are ``und`` with score 0; with no language to learn from, all are. Texts of any
 length are read whole, in pieces; repeated rows train and are predicted each by itself; equal losses go to the language that
@@ -24,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import as_bytes, text_batches
 
@@ -71,13 +73,22 @@ def codebook(languages: int, seed: int = 3) -> np.ndarray:
             return code
 
 
-def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, or all it has, chosen by a hash of doc_id."""
+def sample(rows: DataFrame, label: str, per_label: int, *by: str) -> DataFrame:
+    """``per_label`` rows of each label, or all it has: those of the least hash of the columns ``by``, and never more.
+
+    A share of the rows, a quarter more than needed, is drawn by the hash in the scan and only those are ranked; where many
+    rows are alike (one id, one text) they draw together, and the rank still bounds what is kept.
+    """
     have = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row a label
+    if all(n <= per_label for n in have.values()):
+        return rows
     limit = F.lit(0)
     for k, n in have.items():
-        limit = F.when(F.col(label) == F.lit(k), F.lit(int(min(1.0, per_label / n) * 1_000_000))).otherwise(limit)
-    return rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < limit)
+        limit = F.when(F.col(label) == F.lit(k), F.lit(int(min(1.0, 1.25 * (per_label + 64) / n) * 1_000_000))).otherwise(limit)
+    draw = F.xxhash64(*by, F.lit(11))
+    drawn = rows.withColumn("__draw", draw).filter(F.pmod("__draw", F.lit(1_000_000)) < limit)
+    first = Window.partitionBy(label).orderBy(F.pmod("__draw", F.lit(1_000_000)), "__draw", *by)
+    return drawn.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= per_label).drop("__draw", "__rank")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +110,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labelled (doc_id, text, lang) -> languages, codebook, weights (buckets x bits)."""
     text_batches(docs.sparkSession)
-    chosen = sample(docs.filter("text is not null and lang is not null"), "lang", per_language).select("lang", as_bytes().alias("t"))
+    chosen = sample(docs.filter("text is not null and lang is not null"), "lang", per_language, "doc_id", "text").select("lang", as_bytes().alias("t"))
     counts = chosen.repartition(TASKS).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets
     languages = sorted(rows["lang"].unique())

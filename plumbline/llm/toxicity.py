@@ -5,16 +5,17 @@ words between them, each counted once: words in one half of ``2^18`` buckets wit
 ``PAIR``. FTRL-proximal (McMahan et al. 2013) gives each coordinate its own rate, and its L1 term leaves most weights exactly
 zero, so that what is broadcast is compact.
 
-Training reads a bounded, hashed sample of labelled rows (``per_class`` expected each, a parameter), dealt to ``SHARDS``
-shards; the bound on the sample bounds each (some ``per_class / 2`` rows, of ``2^18`` buckets at most). Shards run FTRL each
-from the common state, and the states, two numbers a bucket and shard, are averaged after each round; more shards were worse,
-as each then sees too few toxic rows to lift a word over the L1 term. A fifth of the sample is held back once: with what the rest teaches, the threshold
+Training reads a bounded sample of labelled rows, ``per_class`` each at most (a parameter), drawn by a hash of id and text and
+dealt to ``SHARDS`` shards by another. A shard takes rows in hashed order until it has ``SHARD_VALUES`` features (a parameter
+too: its bound in memory) and is packed into one row of a table, so no split of files or scans can part it, and the
+same rows give the same weights. Shards run FTRL each from the common state, and the states, two numbers a bucket and
+shard, are averaged after each round; more shards were worse, as each then sees too few toxic rows to lift a word over the L1 term. A fifth of the sample is held back once: with what the rest teaches, the threshold
 is put where F1 on that fifth is best, its rows weighted back to the classes' numbers; then the whole sample trains, and the
 threshold becomes part of the bias, so that score 0.5 is the cut. Rates, L1 and weights below were chosen in the same way, on
 a split inside the training rows. Scoring is one narrow pass over every whole text.
 
-Null and empty texts have no features and get the bias alone; without labelled rows of both classes every score is 0; equal
-places in the training order go by id; repeated rows count each time; an empty table gives an empty result; long texts are
+Null and empty texts have no features and get the bias alone; without labelled rows of both classes every score is 0; an id
+that the labels contradict teaches nothing; equal places in the training order go by id, then by the features; repeated rows count each time; an empty table gives an empty result; long texts are
 read whole, a text being at most ``2^18`` features; other columns are not read.
 """
 
@@ -23,10 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import BASE, as_bytes, materialize, mix, text_batches, word_hashes
 from plumbline.llm.langid import crc, sample
@@ -34,6 +35,8 @@ from plumbline.llm.langid import crc, sample
 BITS = 18
 HALF = 1 << (BITS - 1)
 PER_CLASS, SHARDS, ROUNDS, EPOCHS = 12_000, 4, 3, 4
+#: Features of a shard: 64 MB of buckets, some twice what 6000 rows of the usual length have.
+SHARD_VALUES = 1 << 24
 ALPHA, BETA, L1, L2, PAIR = 4.0, 1.0, 6.0, 0.1, 0.2
 #: Weight of a row of the rarer class 1 in the loss.
 POSITIVE = 5.0
@@ -58,12 +61,14 @@ def values(x: np.ndarray) -> np.ndarray:
     return np.where(x < HALF, 1.0, PAIR)
 
 
-def _featured(docs: DataFrame, extra: str, schema: str) -> DataFrame:
+def _featured(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text, mark) -> (doc_id, y, mark, x)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([features(t) for t in b.columns[-1].to_pylist()], type=pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "x"])
 
-    return docs.select("doc_id", extra, as_bytes().alias("t")).mapInArrow(run, schema)
+    return rows.select("doc_id", "y", "mark", as_bytes().alias("t")).mapInArrow(run, "doc_id long, y double, mark long, x array<int>")
 
 
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,35 +92,51 @@ def ftrl(rows: list[tuple[float, np.ndarray]], z: np.ndarray, n: np.ndarray, epo
             n[x] = more
 
 
-def fit(rows: DataFrame) -> np.ndarray:
-    """(shard, y, x) of a written sample, a shard's rows together and in training order -> weights by bucket."""
-    spark = rows.sparkSession
+def pack(rows: DataFrame, values: int = SHARD_VALUES) -> DataFrame:
+    """(shard, turn, doc_id, y, back, x) -> (shard, y, back, sizes, x) a shard: its rows in training order, up to ``values`` features; written.
+
+    A shard's group holds a class's bound of rows at most, cut to ``values`` features before they meet.
+    """
+    before = F.sum(F.size("x")).over(Window.partitionBy("shard").orderBy("turn", "doc_id", "x").rowsBetween(Window.unboundedPreceding, 0))
+    some = rows.withColumn("upto", before).filter(F.col("upto") <= values).drop("upto")
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        order = sorted(range(t.num_rows), key=lambda i, k=t.column("turn").to_pylist(), d=t.column("doc_id").to_pylist(): (k[i], d[i]))
+        t = t.take(pa.array(order, type=pa.int64()))
+        x = t.column("x").combine_chunks()
+        parts = [t.column("y").to_numpy().astype(np.float64), t.column("back").to_numpy().astype(np.int8), x.value_lengths().to_numpy().astype(np.int32), x.flatten().to_numpy().astype(np.int32)]
+        return pa.table({"shard": t.column("shard").slice(0, 1).cast(pa.int32()), **{n: pa.array([p.tobytes()], type=pa.binary()) for n, p in zip(("y", "back", "sizes", "x"), parts, strict=True)}})
+
+    return materialize(some.groupBy("shard").applyInArrow(one, "shard int, y binary, back binary, sizes binary, x binary"), "toxic-shards")
+
+
+def _rows(b: pa.RecordBatch, i: int, back: int | None) -> list[tuple[float, np.ndarray]]:
+    """The (label, buckets) rows of a shard: all, or those held back, or not."""
+    y, held, sizes, x = (np.frombuffer(b.column(n)[i].as_py(), dtype=k) for n, k in (("y", np.float64), ("back", np.int8), ("sizes", np.int32), ("x", np.int32)))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return [(float(y[j]), x[ends[j] - sizes[j] : ends[j]]) for j in range(len(y)) if back is None or held[j] == back]
+
+
+def fit(shards: DataFrame, back: int | None = None) -> np.ndarray:
+    """Packed shards -> weights by bucket; from all their rows, or from those held back (1), or not (0)."""
+    spark = shards.sparkSession
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def trained(shard: int, held: list[tuple[float, np.ndarray]]) -> pa.RecordBatch:
-                z, n = (a.copy() for a in state.value)
-                ftrl(held, z, n, EPOCHS)
-                cols = [pa.array([shard], type=pa.int32()), *(pa.array([a.astype(np.float32).tobytes()], type=pa.binary()) for a in (z, n))]
-                return pa.RecordBatch.from_arrays(cols, names=["shard", "z", "n"])
-
-            now, held = None, []
             for b in batches:
-                x = b.column("x")
-                ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
-                for i, (shard, y) in enumerate(zip(b.column("shard").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                    if shard != now and held:
-                        yield trained(now, held)
-                        held = []
-                    now = shard
-                    held.append((y, flat[ends[i] : ends[i + 1]].copy()))
-            if held:
-                yield trained(now, held)
-
-        got = rows.select("shard", "y", "x").mapInArrow(run, "shard int, z binary, n binary").orderBy("shard").collect()  # a row a shard, of 2^18 pairs
-        z, n = (np.mean([np.frombuffer(r[c], dtype=np.float32) for r in got], axis=0, dtype=np.float64) for c in ("z", "n"))
+                for i in range(b.num_rows):
+                    if held := _rows(b, i, back):
+                        z, n = (a.copy() for a in state.value)
+                        ftrl(held, z, n, EPOCHS)
+                        cols = [b.column("shard").slice(i, 1), *(pa.array([a.astype(np.float32).tobytes()], type=pa.binary()) for a in (z, n))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["shard", "z", "n"])
+
+        got = shards.mapInArrow(run, "shard int, z binary, n binary").orderBy("shard").collect()  # a row a shard, of 2^18 pairs
+        if got:
+            z, n = (np.mean([np.frombuffer(r[c], dtype=np.float32) for r in got], axis=0, dtype=np.float64) for c in ("z", "n"))
         state.unpersist()
     return weights_of(z, n)
 
@@ -135,34 +156,38 @@ def cut_at(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:
     """(doc_id, text) and (doc_id, toxic) -> weights by bucket, the threshold in the bias; all zero if a class is missing."""
     text_batches(docs.sparkSession)
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("y"))
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).filter("y = z").select("doc_id", F.col("y").cast("double").alias("y"))
+    known = materialize(known, "toxic-labels")
     have = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two classes
     if len(have) < 2:
         return np.zeros(1 << BITS)
-    chosen = sample(known, "y", per_class)
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y", "doc_id long, y double, x array<int>")  # at most two classes of per_class rows
-    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(SHARDS)).cast("int"), "turn": F.xxhash64("doc_id", F.lit(47))})
-    rows = materialize(rows.repartition(16 * SHARDS, "shard").sortWithinPartitions("shard", "turn", "doc_id"), "toxic-sample")
-    if rows.select("y").distinct().count() < 2:
+    chosen = sample(known, "y", per_class, "doc_id")  # two classes of per_class ids at most
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    if met.select("y").distinct().count() < 2:
         return np.zeros(1 << BITS)
-    back = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(5)) == 0
-    held = scored(rows.filter(back), fit(rows.filter(~back))).toPandas()  # a fifth of the sample, two numbers a row
+    rows = _featured(sample(met, "y", per_class, "doc_id", "text").withColumn("mark", F.xxhash64("text")))
+    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "mark", F.lit(41)), F.lit(SHARDS)).cast("int"), "turn": F.xxhash64("doc_id", "mark", F.lit(47)), "back": (F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(5)) == 0).cast("int")})
+    shards = pack(rows.drop("mark"))
+    held = scored(shards, fit(shards, 0)).toPandas()  # a fifth of the sample, two numbers a row
     y = held["y"].to_numpy()
     weight = np.where(y == 1, have[1.0] / max(1, (y == 1).sum()), have[0.0] / max(1, (y == 0).sum()))
-    weights = fit(rows).copy()
+    weights = fit(shards).copy()
     weights[0] -= cut_at(held["s"].to_numpy(), y, weight)
     return weights
 
 
-def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(y, x) -> (y, s), s being the weighted sum."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def scored(shards: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Packed shards -> (y, s) of the rows held back, s being the weighted sum."""
+    shared = shards.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def total(x: pd.Series) -> pd.Series:
-        return pd.Series([float((shared.value[v] * values(v)).sum()) for v in map(np.asarray, x)], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = _rows(b, i, 1)
+                s = [float((shared.value[x] * values(x)).sum()) for _, x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], type=pa.float64()), pa.array(s, type=pa.float64())], names=["y", "s"])
 
-    return rows.select("y", total("x").alias("s"))
+    return shards.mapInArrow(run, "y double, s double")
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
