@@ -147,8 +147,10 @@ def candidates(texts: DataFrame, max_features: int, tokens: str | None = None, c
 def fit_vocabulary(texts: DataFrame, max_features: int = MAX_FEATURES, tokens: str | None = None) -> DataFrame:
     """(at, term, total, df, idf) of the most frequent terms, ties by term, ``at`` from 0. An empty corpus is an error.
 
-    ``tokens`` names a column that has a text's tokens already.
+    ``tokens`` names a column that has a text's tokens already; else they are written once, for the passes over them.
     """
+    if not tokens:
+        texts, tokens = materialize(texts.select(_tokens(None)), "tokens"), "tokens"
     n_texts = texts.count()
     if not n_texts:
         raise ValueError("no texts to fit on")
