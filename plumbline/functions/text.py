@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f]"
 #: A token: two word characters or more.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-SENTENCE = r"[^。！？.!?]*[。！？.!?]+\s*|[^。！？.!?]+"
+SENTENCE = rf"(?U)[^。！？.!?]*[。！？.!?]+{BLANK}*|[^。！？.!?]+"
+#: What stands between paragraphs: a blank line.
+PARAGRAPHS = rf"(?U)\n{BLANK}*\n"
 
 
 def _col(c: str | Column) -> Column:

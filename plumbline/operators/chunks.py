@@ -1,16 +1,14 @@
-"""Texts into chunks: fixed windows (built-in expressions) and paragraph packing (a fold in a vectorised helper)."""
+"""Texts into chunks: fixed windows and paragraph packing, both of built-in expressions."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import split_sentences, strip
+from plumbline.functions.text import PARAGRAPHS, split_sentences, strip
 from plumbline.sources.shared import materialize
 
 
@@ -34,53 +32,38 @@ def chunk_fixed(text: str | Column, size: int = 500, overlap: int = 50) -> Colum
     return F.filter(F.transform(at, lambda s: strip(F.substring(t, s + 1, F.lit(size)))), lambda c: c != "")
 
 
-_SENTENCES = re.compile(r"[^。！？.!?]*[。！？.!?]+\s*|[^。！？.!?]+")
-
-
-def pack(text: str, most: int, least: int) -> list[str]:
-    """Paragraphs of one text packed up to ``most`` characters; a rest of fewer than ``least`` goes to the chunk before it."""
-    made = [""]
-    for paragraph in re.split(r"\n\s*\n", text):
-        if paragraph := paragraph.strip():
-            made[-1:] = _grown(made[-1], paragraph, most, least)
-    *closed, rest = made
-    if closed and len(rest) < least:
-        closed[-1] = _joined(closed[-1], rest)
-        return closed
-    return [c for c in made if c]
-
-
-def _joined(*parts: str) -> str:
-    return "\n\n".join(p for p in parts if p)
-
-
-def _grown(chunk: str, paragraph: str, most: int, least: int) -> list[str]:
-    """An open chunk and the paragraph after it: the chunks that this closes, and the open one.
-
-    They join if both and a blank line fit, or if the chunk has not ``least`` characters yet; what is too long then is cut.
-    """
-    if len(chunk) + len(paragraph) + 2 <= most:
-        return [_joined(chunk, paragraph)]
-    closed, left = ([chunk], paragraph) if len(chunk) >= least else ([], _joined(chunk, paragraph))
-    return closed + (_sentences(left, most) if len(left) > most else [left])
-
-
-def _sentences(chunk: str, most: int) -> list[str]:
-    """Pieces of whole sentences of up to ``most`` characters, one sentence at least; the last one stays open as it is."""
-    pieces = [""]
-    for sentence in _SENTENCES.findall(chunk):
-        if sentence.strip():
-            pieces[-1:] = [pieces[-1] + sentence] if len(pieces[-1]) + len(sentence) <= most else [pieces[-1], sentence]
-    *closed, rest = pieces
-    return [c.strip() for c in closed if c.strip()] + [rest]
-
-
 def chunk_semantic(text: str | Column, most: int = 800, least: int = 100) -> Column:
-    @F.pandas_udf("array<string>")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack(t, most, least) if t and t.strip() else [])
+    """Paragraphs packed up to ``most`` characters; a rest of fewer than ``least`` goes to the chunk before it.
 
-    return fold(F.col(text) if isinstance(text, str) else text)
+    A fold over the paragraphs with the chunks that are closed and the open one as its state. A paragraph joins the open chunk
+    if both and a blank line fit, or if that has not ``least`` characters yet; what is too long then is cut into whole
+    sentences, one at least to a piece, and the last piece stays open as it is.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    none = F.array().cast("array<string>")
+    state = lambda closed, open_: F.struct(closed.alias("closed"), open_.alias("open"))
+    joined = lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit("\n\n"), b)).otherwise(F.concat(a, b))
+
+    def cut(closed: Column, chunk: Column) -> Column:
+        add = lambda s, x: F.when(F.length(s["open"]) + F.length(x) <= most, state(s["closed"], F.concat(s["open"], x))).otherwise(state(F.concat(s["closed"], F.array(s["open"])), x))
+        end = lambda s: state(F.concat(closed, F.filter(F.transform(s["closed"], strip), lambda c: c != "")), s["open"])
+        return F.aggregate(split_sentences(chunk), state(none, F.lit("")), add, end)
+
+    def grown(s: Column, p: Column) -> Column:
+        full = F.length(s["open"]) >= least
+        # a step at a time: what the paragraph closes, then whether the rest is too long
+        next_ = F.when(full, state(F.concat(s["closed"], F.array(s["open"])), p)).otherwise(state(s["closed"], joined(s["open"], p)))
+        fits = F.length(s["open"]) + F.length(p) + 2 <= most
+        after = lambda n: F.when(F.length(n["open"]) > most, cut(n["closed"], n["open"])).otherwise(n)
+        return F.when(fits, state(s["closed"], joined(s["open"], p))).otherwise(F.element_at(F.transform(F.array(next_), after), 1))
+
+    def ended(s: Column) -> Column:
+        n = F.size(s["closed"])
+        back = F.concat(F.slice(s["closed"], 1, n - 1), F.array(joined(F.element_at(s["closed"], -1), s["open"])))
+        return F.when((n > 0) & (F.length(s["open"]) < least), back).otherwise(F.filter(F.concat(s["closed"], F.array(s["open"])), lambda c: c != ""))
+
+    paragraphs = F.filter(F.transform(F.split(t, PARAGRAPHS), strip), lambda p: p != "")
+    return F.coalesce(F.aggregate(paragraphs, state(none, F.lit("")), grown, ended), none)
 
 
 CHUNKERS: dict[str, Callable[..., Column]] = {"fixed": chunk_fixed, "semantic": chunk_semantic, "sentences": split_sentences}

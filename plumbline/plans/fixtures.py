@@ -96,6 +96,27 @@ SCORED = (
 )
 RANGES_SQL = "ranges AS (SELECT *, start_ts IS NOT NULL AND end_ts IS NOT NULL AS valid FROM (SELECT *, try_cast(replace(start_time, 'T', ' ') AS TIMESTAMP) AS start_ts, try_cast(replace(end_time, 'T', ' ') AS TIMESTAMP) AS end_ts FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, a, b in RANGES) + ") v(range_id, start_time, end_time)))"
 STRIP = "regexp_replace({0}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
+def semantic(text: str, most: int = 800, least: int = 100) -> str:
+    """The semantic chunks of a text: a fold over paragraphs, and in it one over sentences; the state is the closed chunks and the open one."""
+    blank, none, nothing = r"[\s\x1c-\x1f\x{85}\p{Z}]", "[]::VARCHAR[]", "''::VARCHAR"
+    state = "{{'closed': {0}, 'open': {1}}}".format
+    joined = "CASE WHEN {0} <> '' AND {1} <> '' THEN {0} || chr(10) || chr(10) || {1} ELSE {0} || {1} END".format
+    fold = lambda items, step: f"list_reduce(list_transform({items}, lambda item: {state(none, 'item')}), lambda a, p: {step}, {state(none, nothing)})"
+    with_ = lambda value, name, then: f"list_transform([{value}], lambda {name}: {then})[1]"
+    sentences = f"list_filter(regexp_extract_all(n.open, '[^。！？.!?]*[。！？.!?]+{blank}*|[^。！？.!?]+'), lambda s: {STRIP.format('s')} <> '')"
+    add = f"CASE WHEN length(a.open) + length(p.open) <= {most} THEN {state('a.closed', 'a.open || p.open')} ELSE {state('list_append(a.closed, a.open)', 'p.open')} END"
+    pieces = f"list_concat(n.closed, list_filter(list_transform(v.closed, lambda c: {STRIP.format('c')}), lambda c: c <> ''))"
+    cut = with_(fold(sentences, add), "v", state(pieces, "v.open"))
+    next_ = f"CASE WHEN length(a.open) >= {least} THEN {state('list_append(a.closed, a.open)', 'p.open')} ELSE {state('a.closed', joined('a.open', 'p.open'))} END"
+    grown = with_(next_, "n", f"CASE WHEN length(n.open) > {most} THEN {cut} ELSE n END")
+    step = f"CASE WHEN length(a.open) + length(p.open) + 2 <= {most} THEN {state('a.closed', joined('a.open', 'p.open'))} ELSE {grown} END"
+    paragraphs = f"list_filter(list_transform(regexp_split_to_array({text}, '\\n{blank}*\\n'), lambda q: {STRIP.format('q')}), lambda q: q <> '')"
+    back = f"list_append(f.closed[:len(f.closed) - 1], {joined('f.closed[len(f.closed)]', 'f.open')})"
+    return with_(fold(paragraphs, step), "f", f"CASE WHEN len(f.closed) > 0 AND length(f.open) < {least} THEN {back} ELSE list_filter(list_append(f.closed, f.open), lambda c: c <> '') END")
+
+
 DOCS = "docs AS (SELECT doc_id, source AS source_file, source || '/' || doc_id AS file_path, text FROM documents)"
 CHUNKS = (
     DOCS

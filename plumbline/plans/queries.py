@@ -165,7 +165,7 @@ query("text_profile", "SELECT doc_id, length(text) AS chars, len(string_split(te
 query("chunk_fixed", "SELECT doc_id, chunk_pos, text FROM chunks", fx.CHUNKS)(lambda s, d: fx.chunks(s, d).select("doc_id", "chunk_pos", "text"))
 _dense = "cut AS (SELECT doc_id, list_filter(list_transform(list_sort(list_concat(range(0, length(text), 300), CASE WHEN length(text) % 300 > 120 AND length(text) % 300 < 240 THEN [length(text) - length(text) % 300 + 120] ELSE [] END)), lambda s: " + fx.STRIP.format("substr(text, s + 1, 300)") + "), lambda c: c <> '') AS pieces FROM docs)"
 query("chunk_fixed_overlapping", "SELECT doc_id, pos AS chunk_pos, pieces[pos + 1] AS text FROM (SELECT *, unnest(range(0, len(pieces))) AS pos FROM cut)", f"{fx.DOCS}, {_dense}")(lambda s, d: ch.chunk_documents(fx.documents(s, d), "fixed", size=300, overlap=180).select("doc_id", "chunk_pos", "text"))
-query("chunk_semantic")(lambda s, d: ch.chunk_documents(fx.documents(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "semantic").select("doc_id", "chunk_pos", "text"))
+query("chunk_semantic", f"SELECT doc_id, pos AS chunk_pos, pieces[pos + 1] AS text FROM (SELECT doc_id, pieces, unnest(range(0, len(pieces))) AS pos FROM (SELECT doc_id, {fx.semantic('replace(text, chr(10), chr(10) || chr(10))')} AS pieces FROM docs))", fx.DOCS)(lambda s, d: ch.chunk_documents(fx.documents(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "semantic").select("doc_id", "chunk_pos", "text"))
 query("split_sentences", "SELECT doc_id, pos AS at, pieces[pos + 1] AS sentence FROM (SELECT doc_id, pieces, unnest(range(0, len(pieces))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+\\s*|[^。！？.!?]+'), lambda x: " + fx.STRIP.format("x") + " <> '') AS pieces FROM docs))", fx.DOCS)(lambda s, d: fx.documents(s, d).select("doc_id", F.posexplode(tx.split_sentences("text")).alias("at", "sentence")))
 query("assign_chunk_index", "SELECT doc_id, chunk_pos, row_number() OVER (ORDER BY file_path, doc_id, chunk_pos) - 1 AS chunk_index FROM chunks", fx.CHUNKS)(lambda s, d: ch.assign_chunk_index(fx.chunks(s, d)).select("doc_id", "chunk_pos", "chunk_index"))
 _ps = "SELECT d.doc_id, d.file_path, length(d.text) AS chars, count(c.doc_id) AS chunks, count(c.doc_id) = 0 AS failed, array_to_string(list(c.text ORDER BY c.chunk_pos) FILTER (WHERE c.chunk_pos < 3), chr(10)) AS first_chunks FROM docs d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY ALL"

@@ -1,6 +1,8 @@
 """Golden cases and edge rules of the reference's operators."""
 
 import json
+import random
+import re
 import sys
 from dataclasses import replace
 from datetime import datetime
@@ -8,8 +10,6 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.operators import chunks as ch
@@ -100,23 +100,68 @@ def test_chunk_fixed_rejects(spark):
         ch.chunk_documents(spark.createDataFrame([], "doc_id long, source_file string, file_path string, text string"), "odd")
 
 
-def test_pack():
-    assert ch.pack("  \n ", 10, 3) == []
-    assert ch.pack("tiny", 100, 10) == ["tiny"]
-    assert ch.pack("a" * 50 + "\n\n" + "b" * 60 + "\n\nc", 100, 20) == ["a" * 50, "b" * 60 + "\n\nc"]
-    assert ch.pack("a" * 50 + "\n\n" + "b" * 60 + "\n\nc", 62, 20) == ["a" * 50, "b" * 60 + "\n\nc"]
-    assert ch.pack("x" * 30 + ". " + "y" * 30 + ". " + "z" * 30 + ".", 40, 5) == ["x" * 30 + ".", "y" * 30 + ".", "z" * 30 + "."]
-    assert ch.pack("q" * 99, 40, 5) == ["q" * 99]
+SENTENCES = re.compile(r"[^。！？.!?]*[。！？.!?]+\s*|[^。！？.!?]+")
 
 
-@given(st.lists(st.sampled_from(["word", "two words. ", "end! ", "。", "\n\n", "\n \n", "x" * 12, " "]), max_size=40), st.integers(10, 60), st.integers(1, 9))
-def test_pack_loses_nothing_and_keeps_to_its_bounds(parts, most, least):
-    text = "".join(parts)
-    got = ch.pack(text, most, least)
-    assert "".join("".join(got).split()) == "".join(text.split()) and all(c.strip() for c in got)
-    for c in got[:-1]:
-        if len(c) > most and "\n\n" not in c:
-            assert len([x for x in ch._SENTENCES.findall(c) if x.strip()]) <= 2  # no more than a sentence and what trails it
+def plain_pack(text: str, most: int, least: int) -> list[str]:
+    """Paragraphs of one text packed up to ``most`` characters; a rest of fewer than ``least`` goes to the chunk before it."""
+    made = [""]
+    for paragraph in re.split(r"\n\s*\n", text or ""):
+        if paragraph := paragraph.strip():
+            made[-1:] = _grown(made[-1], paragraph, most, least)
+    *closed, rest = made
+    if closed and len(rest) < least:
+        closed[-1] = _joined(closed[-1], rest)
+        return closed
+    return [c for c in made if c]
+
+
+def _joined(*parts: str) -> str:
+    return "\n\n".join(p for p in parts if p)
+
+
+def _grown(chunk: str, paragraph: str, most: int, least: int) -> list[str]:
+    """An open chunk and the paragraph after it: the chunks that this closes, and the open one.
+
+    They join if both and a blank line fit, or if the chunk has not ``least`` characters yet; what is too long then is cut.
+    """
+    if len(chunk) + len(paragraph) + 2 <= most:
+        return [_joined(chunk, paragraph)]
+    closed, left = ([chunk], paragraph) if len(chunk) >= least else ([], _joined(chunk, paragraph))
+    return closed + (_sentences(left, most) if len(left) > most else [left])
+
+
+def _sentences(chunk: str, most: int) -> list[str]:
+    """Pieces of whole sentences of up to ``most`` characters, one sentence at least; the last one stays open as it is."""
+    pieces = [""]
+    for sentence in SENTENCES.findall(chunk):
+        if sentence.strip():
+            pieces[-1:] = [pieces[-1] + sentence] if len(pieces[-1]) + len(sentence) <= most else [pieces[-1], sentence]
+    *closed, rest = pieces
+    return [c.strip() for c in closed if c.strip()] + [rest]
+
+
+def packed(spark, texts, most, least):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", ch.chunk_semantic("t", most, least).alias("c"))
+    return [r["c"] for r in df.orderBy("i").collect()]
+
+
+def test_pack(spark):
+    assert packed(spark, ["  \n ", None, "", "tiny"], 100, 10) == [[], [], [], ["tiny"]]
+    assert packed(spark, ["a" * 50 + "\n\n" + "b" * 60 + "\n\nc"], 100, 20) == [["a" * 50, "b" * 60 + "\n\nc"]]
+    assert packed(spark, ["a" * 50 + "\n\n" + "b" * 60 + "\n\nc"], 62, 20) == [["a" * 50, "b" * 60 + "\n\nc"]]
+    assert packed(spark, ["x" * 30 + ". " + "y" * 30 + ". " + "z" * 30 + ".", "q" * 99], 40, 5) == [["x" * 30 + ".", "y" * 30 + ".", "z" * 30 + "."], ["q" * 99]]
+
+
+@pytest.mark.parametrize(("most", "least"), [(10, 1), (25, 9), (60, 5), (14, 40)])
+def test_pack_is_the_fold_on_random_texts(spark, most, least):
+    rng = random.Random(most)
+    parts = ["word", "two words. ", "end! ", "。", "\n\n", "\n \n", "x" * 12, " ", "\u00a0", "\u3000\n\n", "\x1c", "é", "\n", "？\u2003", "𝄞"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(45))) for _ in range(400)] + ["word. " * 3000, ("one line. two\n\n" * 500)]
+    got = packed(spark, texts, most, least)
+    assert got == [plain_pack(t, most, least) for t in texts]
+    for t, g in zip(texts, got, strict=True):
+        assert "".join("".join(g).split()) == "".join(t.split())
 
 
 def test_tfidf_and_searches(spark):
@@ -177,6 +222,9 @@ def test_folder_to_index_to_search(spark, tmp_path):
         files.read_index(spark, str(tmp_path / "bare"))
     for part in ("vocabulary", "packed"):
         spark.read.parquet(str(tmp_path / "ix" / part)).write.parquet(str(tmp_path / "bare" / part))
+    with pytest.raises(FileNotFoundError, match="COMPLETE"):  # all parts, but never finished
+        files.read_index(spark, str(tmp_path / "bare"))
+    (tmp_path / "bare" / files.COMPLETE).touch()
     assert files.read_index(spark, str(tmp_path / "bare"))["chunks"].filter("source_file is not null").count() == 0
 
 
