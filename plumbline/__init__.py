@@ -10,6 +10,7 @@ PUBLIC = {
     "sources.files": "list_documents parse_text read_documents read_knowledge read_model write_model write_index read_index append_index index_folder",
     "operators.readings": "time_range_filter project_columns format_time recent_range range_stats preview dataset_summary range_join stats_by_range",
     "operators.monitor": "validate_features score flag_anomalies t2_contributions spe_contributions top_features explain first_anomaly analyze_ranges control_chart_series",
+    "operators.moments": "cells_of range_moments stats_by_cells monitor_by_cells",
     "operators.chunks": "chunk_fixed chunk_semantic chunk_documents assign_chunk_index processing_stats processing_totals",
     "operators.tfidf": "fit_vocabulary heavy_terms build_index append_texts embed index_stats sample_chunks",
     "operators.search": "blank_query_guard search_cosine search_tfidf_l2 search_by_source search_l2 search_dense_cosine attach_metadata pairwise_cosine similarity_ratio",

@@ -5,19 +5,24 @@ Knowledge tables may grow like any other: joins with them are plain, and adaptiv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from plumbline.operators.search import blank_query_guard, search_cosine, search_tfidf_l2
 from plumbline.operators.tfidf import build_index
+from plumbline.sources.shared import materialize
 
 # Words and templates of the knowledge documents and queries.
 LABELS = {"related": "相关系统", "causes": "可能异常原因", "impact": "影响", "problem": "问题", "symptoms": "症状", "root_causes": "根本原因", "solutions": "解决方案"}
 UNKNOWN, NOT_RECORDED, ABNORMAL = "未知", "该特征的物理含义暂未录入知识库", "异常"
 DETECTED, T2_QUERY, SPE_QUERY = "异常检测", "T2统计量 异常", "SPE统计量 异常"
 FOUND = "检测到异常，主要涉及特征: "
-KEYWORD_BLOCK = 1000
+#: Words of an automaton; some 100 MB a worker.
+KEYWORD_BLOCK = 100_000
 FIELDS = ("name", "description", "unit", "normal_range", "related_to", "anomaly_causes", "impact")
 
 
@@ -70,20 +75,62 @@ def _haystack() -> Column:
     return F.lower(_text(_or("problem"), " ", F.coalesce(F.array_join("symptoms", " "), F.lit("")), " ", F.coalesce(F.array_join("root_causes", " "), F.lit(""))))
 
 
-def solutions_by_keyword(solutions: DataFrame, keywords: list[str] | DataFrame) -> DataFrame:
-    """Solutions that hold any keyword, in any case; each once. A DataFrame has the column keyword.
+class Keywords:
+    """One automaton for many words: a text is read once, however many there are. It is built where it is first used."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.automaton = words, None
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "automaton": None}
+
+    def first_in(self, text: str) -> bool:
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for w in self.words:
+                self.automaton.add_word(w)
+            self.automaton.make_automaton()
+        return next(self.automaton.iter(text), None) is not None
+
+
+def _with_any(texts: DataFrame, words: list[str]) -> DataFrame:
+    """(solution_id, __hay) -> the ids of texts that hold a word; in one pass."""
+    shared, kind = texts.sparkSession.sparkContext.broadcast(Keywords(words)), texts.schema["solution_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = pa.array([shared.value.first_in(t) for t in b.column("__hay").to_pylist()], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("solution_id").filter(hit)], names=["solution_id"])
+
+    return texts.select("solution_id", "__hay").mapInArrow(run, T.StructType([T.StructField("solution_id", kind)]))
 
-    Keywords of a table meet the solutions in blocks of ``KEYWORD_BLOCK``; null ones are no keywords.
+
+def solutions_by_keyword(solutions: DataFrame, keywords: list[str] | DataFrame, block: int | None = None) -> DataFrame:
+    """Solutions that hold any keyword, in any case; each once. A DataFrame has the column keyword; null ones are no keywords.
+
+    Keywords of a table make an automaton (Aho and Corasick 1975) a block of ``block`` (``KEYWORD_BLOCK``) at most, so a text is read once a block,
+    and what is broadcast is a block. An empty keyword is in every text.
     """
-    if isinstance(keywords, DataFrame):
-        words = keywords.select(F.lower("keyword").alias("k")).filter("k is not null").distinct()
-        blocks = max(1, -(-words.count() // KEYWORD_BLOCK))
-        block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-        dealt = words.groupBy(block.alias("__block")).agg(F.collect_list("k").alias("__ks"))  # KEYWORD_BLOCK on average
-        hay = solutions.select("solution_id", _haystack().alias("__hay"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-        met = hay.join(dealt, "__block").filter(F.exists("__ks", lambda k: F.contains(F.col("__hay"), k))).select("solution_id").distinct()
-        return solutions.join(met, "solution_id", "left_semi")
-    return solutions.filter(F.exists(F.array(*(F.lit(k.lower()) for k in keywords)).cast("array<string>"), lambda k: F.contains(_haystack(), k)))
+    if not isinstance(keywords, DataFrame):
+        return solutions.filter(F.exists(F.array(*(F.lit(k.lower()) for k in keywords)).cast("array<string>"), lambda k: F.contains(_haystack(), k)))
+    words = materialize(keywords.select(F.lower("keyword").alias("k")).filter("k is not null").distinct(), "keywords")
+    if words.filter("k = ''").limit(1).count():
+        return solutions
+    hay, found = solutions.select("solution_id", _haystack().alias("__hay")), None
+    for held in _blocks(words, block or KEYWORD_BLOCK):
+        one = _with_any(hay, held)
+        found = one if found is None else found.union(one)
+    return solutions.limit(0) if found is None else solutions.join(found.distinct(), "solution_id", "left_semi")
+
+
+def _blocks(words: DataFrame, block: int) -> Iterator[list[str]]:
+    """The words in lists of ``block`` at most, by hash; a list that comes out too long is cut."""
+    parts = max(1, -(-words.count() // max(1, block * 3 // 4)))
+    for i in range(parts):
+        held = [r["k"] for r in words.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) == i).toLocalIterator()]
+        yield from (held[at : at + block] for at in range(0, len(held), block))
 
 
 def concept_by_term(queries: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -158,27 +205,51 @@ def anomaly_feature_set(t2_top: str = "t2_top", spe_top: str = "spe_top", most:
     return F.slice(F.array_distinct(F.concat(names(t2_top), names(spe_top))), 1, most)
 
 
-def recommend(anomalies: DataFrame, features: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+CONCEPT_FIELDS = ("term", "definition", "interpretation", "category")
+SOLUTION_FIELDS = ("problem", "symptoms", "root_causes", "solutions", "priority", "typical_resolution_time")
+
+
+def recommend(anomalies: DataFrame, features: DataFrame, index: dict[str, DataFrame], kb: dict[str, DataFrame] | None = None) -> DataFrame:
     """(anomaly_id, t2_anomaly, spe_anomaly, t2_top, spe_top) -> explained features, solutions, concepts and a summary.
 
-    Anomalies share few distinct feature sets: each set is searched once, and joined back.
+    Anomalies share few distinct feature sets: each set is searched once, and joined back. Given the tables of ``kb`` the
+    result has them in full, too: ``explanations`` (a feature's name and seven fields, known features only), ``found_solutions``
+    (three at most, six fields and relevance_score, best first) and ``found_concepts`` (two at most, for T2 and for SPE).
     """
     a = anomalies.withColumn("feature_names", anomaly_feature_set())
     sets = a.select("feature_names").distinct().filter(F.size("feature_names") > 0).withColumn("query_id", F.xxhash64("feature_names"))
     listed = F.array_join("feature_names", ", ")
     hits = find_solutions(sets.withColumn("problem", _text(f"{DETECTED} ", listed, f" {ABNORMAL}")), features, index, 3)
-    sols = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kb_id"))), lambda x: x["kb_id"]).alias("solutions"))
+    ordered = lambda df, at, **parts: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(at, *(v.alias(n) for n, v in parts.items())))).alias("__all")).select("query_id", *(F.col("__all")[n].alias(n) for n in parts))
     each = sets.select("query_id", F.posexplode("feature_names").alias("at", "feature_name")).join(features, "feature_name")
-    line = F.struct("at", "feature_name", _text(F.col("feature_name"), "(", _or("name"), "): ", _or("impact")).alias("line"))
-    info = each.groupBy("query_id").agg(F.array_sort(F.collect_list(line)).alias("known"))
-    made = sets.join(sols, "query_id", "left").join(info, "query_id", "left").drop("feature_names")
+    line = _text(F.col("feature_name"), "(", _or("name"), "): ", _or("impact"))
     spark = anomalies.sparkSession
     fixed = search_concepts(spark.createDataFrame([(1, T2_QUERY), (2, SPE_QUERY)], "query_id long, query string"), index, 1)
-    concept = fixed.agg(F.max(F.when(F.col("query_id") == 1, F.col("kb_id"))).alias("c1"), F.max(F.when(F.col("query_id") == 2, F.col("kb_id"))).alias("c2"))
+    which = lambda n, c: F.max(F.when(F.col("query_id") == n, c)).alias(f"c{n}")
+    if kb is None:
+        sols = ordered(hits, "rank", solutions=F.col("kb_id"))
+        info = ordered(each, "at", explained=F.col("feature_name"), lines=line)
+        concept, more = fixed.agg(*(which(n, F.struct("kb_id")) for n in (1, 2))), []
+    else:
+        default = {"name": F.lit(UNKNOWN), "anomaly_causes": F.array().cast("array<string>")}
+        field = lambda c: F.coalesce(F.col(c), default.get(c, F.lit(""))).alias(c)
+        sols = ordered(with_solutions(hits, kb["solutions"]), "rank", solutions=F.col("kb_id"), found_solutions=F.struct(*SOLUTION_FIELDS, "relevance_score"))
+        info = ordered(each, "at", explained=F.col("feature_name"), lines=line, explanations=F.struct("feature_name", *map(field, FIELDS)))
+        own = kb["concepts"].withColumn("kb_id", _text("concept:", F.lpad(F.col("concept_id").cast("string"), 12, "0")))
+        told = own.join(fixed.withColumnRenamed("score", "relevance_score"), "kb_id")
+        concept = told.agg(*(which(n, F.struct("kb_id", F.struct(*CONCEPT_FIELDS, "relevance_score").alias("found"))) for n in (1, 2)))
+        empty = lambda c: F.array().cast(out.schema[c].dataType)
+        more = [lambda: F.coalesce("explanations", empty("explanations")).alias("explanations"), lambda: F.coalesce("found_solutions", empty("found_solutions")).alias("found_solutions"), lambda: chosen("found").alias("found_concepts")]
+    made = sets.join(sols, "query_id", "left").join(info, "query_id", "left").drop("feature_names")
     out = a.withColumn("query_id", F.xxhash64("feature_names")).join(made, "query_id", "left").join(F.broadcast(concept))  # one row
-    some = F.size("feature_names") > 0
-    none = F.array().cast("array<string>")
-    concepts = F.when(some, F.filter(F.array(F.when(F.col("t2_anomaly"), F.col("c1")), F.when(F.col("spe_anomaly"), F.col("c2"))), lambda c: c.isNotNull())).otherwise(none)
-    lines = F.array_join(F.slice(F.transform("known", lambda x: x["line"]), 1, 2), " ")
+    some, none = F.size("feature_names") > 0, F.array().cast("array<string>")
+
+    def chosen(part: str) -> Column:
+        """A part of the concepts that the anomaly's statistics ask for."""
+        picked = F.filter(F.array(F.when(some & F.col("t2_anomaly"), F.col("c1")), F.when(some & F.col("spe_anomaly"), F.col("c2"))), lambda c: c.isNotNull())
+        return F.transform(picked, lambda c: c[part])
+
+    lines = F.array_join(F.slice("lines", 1, 2), " ")
     summary = F.when(some, _text(FOUND, listed, "。", F.coalesce(lines, F.lit("")))).otherwise("")
-    return out.select("anomaly_id", "feature_names", F.coalesce(F.transform("known", lambda x: x["feature_name"]), none).alias("explained"), F.coalesce("solutions", none).alias("solutions"), concepts.alias("concepts"), (F.size(F.coalesce("solutions", none)) > 0).alias("has_recommendations"), summary.alias("summary"))
+    base = ["anomaly_id", "feature_names", F.coalesce("explained", none).alias("explained"), F.coalesce("solutions", none).alias("solutions"), chosen("kb_id").alias("concepts"), (F.size(F.coalesce("solutions", none)) > 0).alias("has_recommendations"), summary.alias("summary")]
+    return out.select(*base, *(c() for c in more))

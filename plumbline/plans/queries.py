@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.operators import chunks as ch
 from plumbline.operators import knowledge as kn
+from plumbline.operators import moments as mm
 from plumbline.operators import monitor as mo
 from plumbline.operators import readings as rd
 from plumbline.operators import search as se
@@ -244,6 +245,22 @@ def _append(s, d):
     return chunks.join(vectors, "chunk_id").groupBy(F.col("label").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Ranges from cells: a range for each reading, from its time on, some twenty days long at most; they overlap by the thousand
+
+
+def many_ranges(s: SparkSession, d: str) -> DataFrame:
+    r = fx.readings(s, d)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return r.select(F.col("reading_id").alias("range_id"), text("ts").alias("start_time"), text(F.col("ts") + F.make_interval(secs=F.pmod(F.col("feature1"), F.lit(500)) * 3607)).alias("end_time"))
+
+
+_many = "many AS (SELECT reading_id AS range_id, ts AS a, ts + to_seconds((feature1::BIGINT % 500) * 3607) AS b FROM readings)"
+# values have two digits: a mean may be an exact half of the fifth, which the shift decides for both engines
+query("stats_by_cells", "SELECT range_id, 'ok' AS status, count(*) AS count, round(avg(target) + 3e-7, 4) AS target_mean, max(target) AS target_max, min(target) AS target_min, round(stddev_samp(target), 4) AS target_std FROM many JOIN readings r ON r.ts BETWEEN a AND b GROUP BY range_id", f"{fx.READINGS}, {_many}")(lambda s, d: mm.stats_by_cells(fx.readings(s, d), many_ranges(s, d)).select("range_id", "status", "count", F.round(F.col("target_mean") + 3e-7, 4).alias("target_mean"), "target_max", "target_min", *r6("target_std", digits=4)))
+_cell_stats = ", ".join(f"round({f}({v}), 4) AS {v}_{n}" for v in ("t2", "spe") for f, n in (("avg", "mean"), ("max", "max"), ("min", "min"), ("stddev_pop", "std")))
+query("monitor_by_cells", f"SELECT range_id, count(*) AS total, count(*) FILTER (WHERE anomaly) AS anomalies, count(*) FILTER (WHERE t2_anomaly) AS t2_anomalies, count(*) FILTER (WHERE spe_anomaly) AS spe_anomalies, {_cell_stats} FROM many JOIN scored r ON r.ts BETWEEN a AND b GROUP BY range_id", f"{fx.SCORED}, {_many}")(lambda s, d: mm.monitor_by_cells(scored(s, d), many_ranges(s, d)).select("range_id", "total", "anomalies", "t2_anomalies", "spe_anomalies", *r6(*(f"{v}_{n}" for v in ("t2", "spe") for n in ("mean", "max", "min", "std")), digits=4)))
+
+
 # Knowledge
 
 
@@ -333,6 +350,26 @@ def _recommend(s, d):
     return out.select("anomaly_id", *(F.array_join(c, ",").alias(c) for c in ("feature_names", "explained", "solutions", "concepts")), "has_recommendations")
 
 
+_micro = "round({0} * 1000000)::BIGINT".format
+_FULL = (
+    f"{_REC}, expl AS (SELECT query_id, string_agg(concat_ws('|', feature_name, name, description, unit, normal_range, related_to, array_to_string(anomaly_causes, ';'), impact), chr(10) ORDER BY nth) AS e FROM (SELECT query_id, unnest(range(1, len(fl) + 1)) AS nth, unnest(fl) AS feature_name FROM sets) JOIN features USING (feature_name) GROUP BY query_id)"
+    f", fsol AS (SELECT query_id, string_agg(concat_ws('|', problem, array_to_string(symptoms, ';'), array_to_string(root_causes, ';'), array_to_string(s.solutions, ';'), priority, '1d', {_micro('score')}), chr(10) ORDER BY rank) AS fs FROM hits JOIN solutions s ON kb_id = 'solution:' || lpad(solution_id::VARCHAR, 12, '0') GROUP BY query_id)"
+    f", fcon AS (SELECT query_id AS n, concat_ws('|', term, definition, interpretation, category, {_micro('score')}) AS fc FROM fhits JOIN concepts ON kb_id = 'concept:' || lpad(concept_id::VARCHAR, 12, '0'))"
+)
+
+
+@query("recommend_full", "SELECT f.anomaly_id, coalesce(e, '') AS explanations, coalesce(fs, '') AS solutions, concat_ws(chr(10), CASE WHEN t2_anomaly THEN (SELECT fc FROM fcon WHERE n = 1) END, CASE WHEN spe_anomaly THEN (SELECT fc FROM fcon WHERE n = 2) END) AS concepts FROM fs f JOIN sets USING (fl) LEFT JOIN expl USING (query_id) LEFT JOIN fsol USING (query_id) JOIN scored ON reading_id = f.anomaly_id", _FULL)
+def _recommend_full(s, d):
+    """Explanations, solutions and concepts with all their fields."""
+    k, i = kb(s, d)
+    out = kn.recommend(materialize(anomalies(s, d), "anomalies"), k["features"], i, k)
+    field = lambda x, n, listed: F.array_join(x[n], ";") if n in listed else F.round(x[n] * 1_000_000).cast("long").cast("string") if n == "relevance_score" else x[n]
+    lines = lambda c, names, *listed: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(field(x, n, listed) for n in names))), "\n")
+    explained = lines("explanations", ("feature_name", *kn.FIELDS), "anomaly_causes")
+    solved = lines("found_solutions", (*kn.SOLUTION_FIELDS, "relevance_score"), "symptoms", "root_causes", "solutions")
+    return out.select("anomaly_id", explained.alias("explanations"), solved.alias("solutions"), lines("found_concepts", (*kn.CONCEPT_FIELDS, "relevance_score")).alias("concepts"))
+
+
 @query("recommendation_summary", "SELECT anomaly_id, '检测到异常，主要涉及特征: ' || array_to_string(fl, ', ') || '。' || coalesce(array_to_string(lines[1:2], ' '), '') AS summary FROM made", _REC)
 def _summary(s, d):
     k, i = kb(s, d)
