@@ -19,6 +19,8 @@ PUBLIC = {
     "plans.fit": "fit_model",
     "plans.report": "text_report envelope",
     "streaming.monitor": "monitor_stream",
+    "streaming.folder": "ingest_folder read_growing",
+    "streaming.ranges": "watch_ranges",
 }
 _MODULES = {name: module for module, names in PUBLIC.items() for name in names.split()}
 __all__ = sorted(_MODULES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -47,20 +48,25 @@ def parse_text(content: str | Column, path: str | Column) -> Column:
     return F.when(F.lower(name).endswith(".txt"), F.coalesce(strip(text), F.lit("")))
 
 
-def read_documents(spark: SparkSession, folder: str, parser: Callable[[Column, Column], Column] = parse_text, extensions: tuple[str, ...] = (".pdf", ".txt")) -> DataFrame:
-    """Folder -> doc_id, source_file, file_path, text. A parser makes the text from content and path, null where it cannot."""
-    files = list_documents(spark, folder, extensions)
+def documents_of(files: DataFrame, parser: Callable[[Column, Column], Column] = parse_text) -> DataFrame:
+    """(path, content) -> doc_id, source_file, file_path, text. A parser makes the text, null where it cannot."""
     return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("file_path"), parser(F.col("content"), F.col("path")).alias("text"))
 
 
+def read_documents(spark: SparkSession, folder: str, parser: Callable[[Column, Column], Column] = parse_text, extensions: tuple[str, ...] = (".pdf", ".txt")) -> DataFrame:
+    """The documents of a folder."""
+    return documents_of(list_documents(spark, folder, extensions), parser)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file, or no rows where it is missing."""
+    """A JSON file, or no rows and a warning where it is missing."""
     if not _exists(spark, path):
+        warnings.warn(f"no knowledge file {path}: taken as empty", stacklevel=3)
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
