@@ -14,7 +14,7 @@
    from its offset, so no row is made per block.
 
 A document is taken at most ``cap`` times its size and a source meets its target to within a block (and what the cap cuts
-off in its smallest shards). Null and empty texts have size 0 and are never taken; an empty table gives an empty result;
+off in its smallest shards): one whose target is under half a block takes nothing. Null and empty texts have size 0 and are never taken; an empty table gives an empty result;
 rows of null or repeated doc_id are documents of their own, and rows of equal doc_id, text and source are interchangeable;
 long texts are read whole; equal quotients go to the source or shard that comes first; other columns are not read. Reruns
 agree, as every order is by digest and columns. The shuffles carry ids and sizes, never texts. Ranks and running sums are
