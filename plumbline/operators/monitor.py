@@ -13,8 +13,8 @@ from plumbline.operators.model import Model
 from plumbline.operators.readings import feature_columns, parse_ranges, range_join
 from plumbline.sources.shared import materialize
 
-#: Products of features and components up to which scores are column expressions; beyond, one matrix product a batch, which
-#: adds in another order, so that the last bits may differ.
+#: Products of features and components up to which scores are column expressions; beyond, they are taken a batch at a time, with
+#: the same additions in the same order, so that no bit differs.
 UNROLL = 200
 NORMAL, ABNORMAL, CLEAR = "正常", "异常", "未检测到异常，数据波动在正常范围内"
 
@@ -58,6 +58,14 @@ def spe_statistic(e: Column) -> Column:
     return F.aggregate(F.transform(e, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
 
 
+def in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, added from left to right as the column expressions add."""
+    out = x[:, :1] * w[0]
+    for j in range(1, len(w)):
+        out = out + x[:, j : j + 1] * w[j]
+    return out
+
+
 def _matrix_scores(m: Model):
     mean, scale, pm, ps, r, p, lam = (np.array(x) for x in (m.x_mean, m.x_scale, m.pls_mean, m.pls_std, m.rotations, m.loadings, m.eigenvalues))
 
@@ -65,8 +73,8 @@ def _matrix_scores(m: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
             z = (np.stack([np.asarray(v, dtype=float) for v in x]) - mean) / scale if len(x) else np.zeros((0, len(mean)))
-            t = ((z - pm) / ps) @ r
-            yield pd.DataFrame({"t": list(t), "e": list(z - t @ p.T)})
+            t = in_order((z - pm) / ps, r)
+            yield pd.DataFrame({"t": list(t), "e": list(z - in_order(t, p.T))})
 
     return score
 

@@ -23,6 +23,7 @@ from plumbline.sources.files import append_index, read_index, write_index
 from plumbline.sources.readings import TIME, read_days, read_readings, write_readings
 from plumbline.sources.shared import materialize, shared_dir
 from plumbline.streaming.monitor import monitor_stream
+from plumbline.streaming.ranges import watch_ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,7 +134,36 @@ _calm = "'  ✓ 该时间段内束流运行状况良好，所有数据点均在
 _body = " || chr(10) || ".join([_rule, "'📊 束流波动分析报告'", _rule, "chr(10) || '【分析时间范围】'", "'  起始时间：' || r.start_time", "'  结束时间：' || r.end_time", "'  数据条数：' || n || ' 条'", "chr(10) || '【统计指标】'", _block("T²", "t2", M.ucl_t2), "chr(10) || " + _block("SPE", "spe", M.ucl_spe), "chr(10) || '【异常检测结果】'", "'  状态：' || CASE WHEN hit > 0 THEN '⚠️ 异常' ELSE '✅ 正常' END", "'  总样本数：' || n || ' 个'", "'  异常点数：' || hit || ' 个'", "'  异常率：' || " + _rate, "'  T²异常数：' || t2n || ' 个'", "'  SPE异常数：' || spen || ' 个'", "chr(10) || '【分析结论】'", f"CASE WHEN hit > 0 THEN {_alarm} ELSE {_calm} END", "chr(10) || " + _rule])
 query("text_report", f"SELECT r.range_id, CASE WHEN NOT valid THEN '❌ 分析失败：invalid_time' WHEN n IS NULL THEN '❌ 分析失败：no_data' ELSE {_body} END AS report FROM ranges r LEFT JOIN raw USING (range_id) LEFT JOIN firsts f USING (range_id)", f"{_inr}, {_raw}, {_long}")(lambda s, d: text_report(analysed(s, d)))
 query("envelope", "SELECT range_id, CASE WHEN valid THEN '{\"success\":true,\"data\":{\"range_id\":' || range_id || ',\"status\":\"ok\",\"count\":' || count(reading_id) || '}}' ELSE '{\"success\":false,\"error\":\"invalid_time\"}' END AS json FROM ranges LEFT JOIN readings ON ts BETWEEN start_ts AND end_ts GROUP BY range_id, valid", f"{fx.READINGS}, {fx.RANGES_SQL}")(lambda s, d: envelope(rd.stats_by_range(fx.readings(s, d), fx.ranges(s)).select("range_id", "status", "count"), "range_id", "status"))
-query("score_wide")(lambda s, d: mo.score(fx.readings_wide(s, d), fit_model(fx.readings_wide(s, d), 4)).select("reading_id", *r6("t2", "spe"), "anomaly"))
+
+
+def _pls_sql(components: int = 4) -> str:
+    """CTEs: partial least squares of the wide readings, a component at a time, and their scores."""
+    out = [
+        "long AS (SELECT vec_id AS k, unnest(range(1, 65)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)",
+        "x AS MATERIALIZED (SELECT k, j, (v - m) / s AS z FROM long JOIN (SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM long GROUP BY j) USING (j))",
+        "y AS (SELECT vec_id AS k, (label - avg(label) OVER ()) / stddev_pop(label) OVER () AS z FROM embeddings)",
+        "c0 AS MATERIALIZED (SELECT j, avg(x.z * y.z) AS v FROM x JOIN y USING (k) GROUP BY j)",
+    ]
+    for a in range(1, components + 1):
+        known = "".join(f" - (SELECT sum(q.v * u.v) FROM p{b} q JOIN w{a} u USING (j)) * r{b}.v" for b in range(1, a))
+        joins = "".join(f" JOIN r{b} USING (j)" for b in range(1, a))
+        out += [
+            f"w{a} AS MATERIALIZED (SELECT j, v / sqrt((SELECT sum(v * v) FROM c{a - 1})) AS v FROM c{a - 1})",
+            f"r{a} AS MATERIALIZED (SELECT j, w{a}.v{known} AS v FROM w{a}{joins})",
+            f"t{a} AS MATERIALIZED (SELECT k, sum(x.z * r{a}.v) AS t FROM x JOIN r{a} USING (j) GROUP BY k)",
+            f"p{a} AS MATERIALIZED (SELECT j, avg(x.z * t) / (SELECT avg(t * t) FROM t{a}) AS v FROM x JOIN t{a} USING (k) GROUP BY j)",
+            f"c{a} AS MATERIALIZED (SELECT j, c{a - 1}.v - p{a}.v * (SELECT sum(u.v * q.v) FROM r{a} u JOIN c{a - 1} q USING (j)) AS v FROM c{a - 1} JOIN p{a} USING (j))",
+        ]
+    each = range(1, components + 1)
+    fit = " + ".join(f"t{a}.t * p{a}.v" for a in each)
+    out.append(f"e AS (SELECT k, sum(power(x.z - ({fit}), 2)) AS spe FROM x {' '.join(f'JOIN p{a} USING (j) JOIN t{a} USING (k)' for a in each)} GROUP BY k)")
+    out.append(f"wide AS (SELECT k, {' + '.join(f't{a}.t * t{a}.t / (SELECT avg(t * t) FROM t{a})' for a in each)} AS t2, spe FROM e {' '.join(f'JOIN t{a} USING (k)' for a in each)})")
+    return ", ".join(out)
+
+
+# a limit is the value that 99 in 100 rows do not pass
+_limit = "(SELECT {0} FROM wide ORDER BY {0} LIMIT 1 OFFSET (SELECT ceil(0.99 * count(*))::BIGINT - 1 FROM wide))".format
+query("score_wide", f"SELECT k AS reading_id, round(t2, 6) AS t2, round(spe, 6) AS spe, t2 > {_limit('t2')} OR spe > {_limit('spe')} AS anomaly FROM wide", _pls_sql())(lambda s, d: mo.score(fx.readings_wide(s, d), fit_model(fx.readings_wide(s, d), 4)).select("reading_id", *r6("t2", "spe"), "anomaly"))
 query("monitor_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, {_mon}, {_cnt} FROM scored GROUP BY 1", fx.SCORED)(lambda s, d: monitor_stream(fx.readings(s, d), M).select("window_start", *r6(*_MON), *_CNT))
 
 
@@ -261,6 +291,22 @@ _cell_stats = ", ".join(f"round({f}({v}), 4) AS {v}_{n}" for v in ("t2", "spe")
 query("monitor_by_cells", f"SELECT range_id, count(*) AS total, count(*) FILTER (WHERE anomaly) AS anomalies, count(*) FILTER (WHERE t2_anomaly) AS t2_anomalies, count(*) FILTER (WHERE spe_anomaly) AS spe_anomalies, {_cell_stats} FROM many JOIN scored r ON r.ts BETWEEN a AND b GROUP BY range_id", f"{fx.SCORED}, {_many}")(lambda s, d: mm.monitor_by_cells(scored(s, d), many_ranges(s, d)).select("range_id", "total", "anomalies", "t2_anomalies", "spe_anomalies", *r6(*(f"{v}_{n}" for v in ("t2", "spe") for n in ("mean", "max", "min", "std")), digits=4)))
 
 
+_over = "over AS (SELECT range_id, start_ts, end_ts FROM ranges WHERE start_ts <= end_ts AND end_ts < (SELECT max(ts) FROM readings) - INTERVAL 10 MINUTE)"
+_watched = ", ".join(f"round({f}({v}), 6) AS {v}_{n}" for v in ("t2", "spe") for f, n in (("avg", "mean"), ("max", "max"), ("min", "min"), ("stddev_pop", "std")))
+
+
+@query("watch_ranges", f"SELECT range_id, count(*) AS total_samples, count(*) FILTER (WHERE anomaly) AS anomaly_count, count(*) FILTER (WHERE t2_anomaly) AS t2_count, count(*) FILTER (WHERE spe_anomaly) AS spe_count, {_watched}, min(ts) FILTER (WHERE anomaly) AS first_ts, arg_min(reading_id, (ts, reading_id)) FILTER (WHERE anomaly) AS first_reading_id, CASE WHEN bool_or(anomaly) THEN min(place) FILTER (WHERE anomaly) END AS position FROM (SELECT *, row_number() OVER (PARTITION BY range_id ORDER BY ts, reading_id) - 1 AS place FROM over JOIN scored r ON r.ts BETWEEN start_ts AND end_ts) GROUP BY range_id", f"{fx.SCORED}, {fx.RANGES_SQL}, {_over}")
+def _watch(s: SparkSession, d: str) -> DataFrame:
+    """All readings through a stream; ranges that the last one has left behind by the watermark are over."""
+    base = f"{shared_dir(s)}/watched-{uuid.uuid4().hex}"
+    fx.readings(s, d).write.parquet(f"{base}/in")
+    live = s.readStream.schema(fx.readings(s, d).schema).parquet(f"{base}/in")
+    out = watch_ranges(live, fx.ranges(s), M)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    stats = [f"{v}_{k}" for v in ("t2", "spe") for k in ("mean", "max", "min", "std")]
+    return s.read.schema(out.schema).parquet(f"{base}/out").select("range_id", "total_samples", "anomaly_count", "t2_count", "spe_count", *r6(*stats), "first_ts", "first_reading_id", "position")
+
+
 # Knowledge
 
 

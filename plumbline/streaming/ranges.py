@@ -1,9 +1,9 @@
 """Ranges on a stream: each range gathers its readings in state, and closes when the watermark has passed its end.
 
 The state of a range is small whatever it has seen: running moments of both statistics, counts of flags, the first anomaly so
-far, and, until the watermark has passed that one, the places of the readings that the watermark has not passed. Readings
-come in any order within the watermark, so an earlier anomaly may still turn up until then; the readings behind the
-watermark are only counted, as all that can come stand after them. A timer at the end of the range sends out its row, which
+far, and, until the watermark has passed that one, the places of the readings before it that the watermark has not passed (all
+such readings, while there is no anomaly). Readings come in any order within the watermark, so an earlier anomaly may
+still turn up until then; the readings behind the watermark are only counted, as all that can come stand after them. A timer at the end of the range sends out its row, which
 is that of the batch, and drops the state. Later readings than the watermark allows are dropped, and count for nothing.
 """
 
@@ -68,6 +68,10 @@ class Ranges(StatefulProcessor):
             if position is None:
                 held_ts.append(b["us"].to_numpy(dtype=np.int64))
                 held_id.append(b["reading_id"].to_numpy(dtype=np.int64))
+                if ts is not None:  # what stands after the first so far stands after any that comes before it
+                    t, i = np.concatenate(held_ts), np.concatenate(held_id)
+                    before = (t < ts) | ((t == ts) & (i < id_))
+                    held_ts, held_id = [t[before]], [i[before]]
         if a is not None:
             self.moments.update(a)
             self.first.update(self._settle(ts, id_, position, settled, np.concatenate(held_ts), np.concatenate(held_id), timerValues.getCurrentWatermarkInMs() * 1000))

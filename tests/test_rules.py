@@ -51,12 +51,15 @@ def test_top_features_ties_by_position(spark):
     assert [x["feature"] for x in got["t2_top"]] == ["feature1", "feature2", "feature3"]
 
 
-def test_matrix_helper_agrees(spark, monkeypatch):
-    df = _readings(spark, [(1, 2, 3), (4, 5, 6)])
-    a = mo.score(df, TINY).orderBy("reading_id").collect()
+def test_matrix_helper_agrees_to_the_last_bit(spark, monkeypatch):
+    rng = random.Random(8)
+    few = lambda *shape: tuple(few(*shape[1:]) for _ in range(shape[0])) if len(shape) > 1 else tuple(rng.uniform(0.1, 2) for _ in range(shape[0]))
+    m = Model(few(3), few(3), few(3), few(3), few(3, 2), few(3, 2), few(2), 3.0, 4.0)
+    df = _readings(spark, [few(3) for _ in range(60)])
+    a = mo.score(df, m).orderBy("reading_id").collect()
     monkeypatch.setattr(mo, "UNROLL", 0)
-    b = mo.score(df, TINY).orderBy("reading_id").collect()
-    assert [x for r in a for x in (r["t2"], r["spe"])] == pytest.approx([x for r in b for x in (r["t2"], r["spe"])])
+    b = mo.score(df, m).orderBy("reading_id").collect()
+    assert [(r["t"], r["e"], r["t2"], r["spe"]) for r in a] == [(r["t"], r["e"], r["t2"], r["spe"]) for r in b]
 
 
 def test_features_are_checked(spark):
