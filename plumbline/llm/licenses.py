@@ -4,7 +4,7 @@ A paragraph is a line with a word; one of more than ``2 * STEP`` words is read i
 ``STEP`` words, so that a notice inside a long line is seen as well as one that stands alone. Features are hashed word 1- to
 3-grams (A-Z lower-cased, ASCII punctuation a blank), scaled by the root of their number. A sparse multinomial logistic
 regression over the licence families and ``unknown`` is trained here, with an L1 step that leaves most weights zero: the
-families' notices below, with words dropped and cut short, against a bounded, hashed sample of the corpus' own windows. The
+families' notices below (their own and common sentences with a licence's name or identifier), with words dropped and cut short, against a bounded, hashed sample of the corpus' own windows. The
 unknown class is calibrated on sampled windows and varied notices that did not train: a temperature makes the probabilities
 fit them, and a family needs more than ``1 - false_rate`` of the unknown windows reach. What passes is compared with the
 family's templates by shared word 3-grams (2-grams for two words; a single word is no notice), and only what agrees is
@@ -47,6 +47,25 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright 2021 The Company. All rights reserved.", "This material is confidential and proprietary and may not be reproduced without written permission."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
+# Public names and identifiers of the licences, and the sentences that commonly name one.
+NAMES = {
+    "agpl": ["the GNU Affero General Public License v3.0", "AGPL-3.0-or-later"],
+    "apache": ["the Apache License 2.0", "Apache-2.0"],
+    "bsd": ["the BSD 2-Clause License", "BSD-2-Clause"],
+    "cc-by": ["the Creative Commons Attribution 4.0 International License", "CC-BY-4.0"],
+    "cc-by-nc": ["the Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
+    "cc-by-sa": ["the Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
+    "cc0": ["the CC0 1.0 Universal public domain dedication", "CC0-1.0"],
+    "gpl": ["the GNU General Public License v3.0", "GPL-2.0-only"],
+    "isc": ["the ISC License", "ISC"],
+    "lgpl": ["the GNU Lesser General Public License v3.0", "LGPL-2.1-or-later"],
+    "mit": ["the MIT License", "MIT"],
+    "mpl": ["the Mozilla Public License, version 2.0", "MPL-2.0"],
+    "unlicense": ["the Unlicense", "Unlicense"],
+}
+SENTENCES = ["Licensed under {0}.", "Released under the terms of {0}.", "This project is distributed under {0}.", "SPDX-License-Identifier: {1}", "License: {1}"]
+for _family, _names in NAMES.items():
+    TEMPLATES[_family] += [t for t in (x.format(*_names) for x in SENTENCES) if t not in TEMPLATES[_family]]
 FAMILIES = sorted(TEMPLATES)
 BITS, SAMPLE, COPIES, STEPS, STEP = 16, 4000, 24, 120, 12
 FALSE_RATE, AGREE = 0.0005, 0.5

@@ -72,17 +72,17 @@ def test_notices_are_found_alone_and_inside_a_line(sample):
 
 
 def test_wordings_that_did_not_train(sample, monkeypatch):
-    """Each template in turn is left out of training; the family is known by the others."""
+    """Each notice in turn is left out of training and of the templates; the family is known by its other notices."""
     hits = {"predicted": 0, "of": 0}
-    for i in range(4):
+    for i in range(max(map(len, licenses.TEMPLATES.values()))):
         kept = {k: [t for j, t in enumerate(v) if j != i or len(v) == 1] for k, v in licenses.TEMPLATES.items()}
         out = [(k, v[i]) for k, v in licenses.TEMPLATES.items() if len(v) > max(1, i)]
         with monkeypatch.context() as m:
             m.setattr(licenses, "TEMPLATES", kept)
+            m.setattr(licenses, "_templates", {})
             model = licenses.full(licenses.train(sample))
             for family, text in out:
                 got = licenses.found_in(licenses.paragraphs(text.encode()), model)
                 hits["predicted"] += any(h["family"] == family for h in got)
                 hits["of"] += 1
-    assert hits["of"] >= 25 and hits["predicted"] / hits["of"] >= 0.3, hits
-    print(hits)
+    assert hits["of"] >= 100 and hits["predicted"] / hits["of"] >= 0.75, hits
