@@ -166,6 +166,8 @@ class Cells:
 
     def meet(self, q: np.ndarray, best: Best) -> int:
         """Adds the hits of all queries; returns how many pairs were scored."""
+        if q.shape[1] != self.x.shape[1]:
+            raise ValueError("vectors of unlike length")
         reach, scored = self.reach(q), 0
         first = reach.argmax(axis=1)
         for turn in (True, False):
