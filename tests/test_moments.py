@@ -60,3 +60,24 @@ def test_no_readings(spark):
     asked = spark.createDataFrame(ranges(n=3), "range_id long, start_time string, end_time string")
     assert {r["count"] for r in mm.stats_by_cells(none, asked).collect()} == {0, None}
     assert mm.stats_by_cells(none, asked.limit(0)).count() == 0
+
+
+def test_many_ranges_are_two_rows_each(spark):
+    """Runs of minutes, whatever blocks the ends lie in, against the readings; also before 1970, and two rows a range, not a row a cell."""
+    data, asked = rows(), ranges()
+    old = [(1000 + i, dt.datetime(1969, 12, 31, 22, 0) + dt.timedelta(minutes=i * 7, seconds=i), float(i % 9)) for i in range(60)]
+    asked += [(200, "1969-12-31 22:00:00", "1970-01-01 03:00:01"), (201, "1969-12-31 23:59:59", "1970-01-01 00:00:00"), (202, "1969-12-31 00:00:00", "2024-03-01 00:00:00")]
+    df = spark.createDataFrame(data + old, "reading_id long, ts timestamp_ntz, target double").repartition(3)
+    table = spark.createDataFrame(asked, "range_id long, start_time string, end_time string")
+    got = {r["range_id"]: r for r in mm.stats_by_cells(df, table, few=0).collect()}
+    assert len(got) == len(asked) and got[150]["status"] == "invalid_time" and got[151]["count"] == 0
+    for i, a, b in [x for x in asked if x[0] not in (150, 151)]:
+        a, b = dt.datetime.fromisoformat(a), dt.datetime.fromisoformat(b)
+        inside = [x for _, t, x in data + old if t is not None and a <= t <= b]
+        some, r = [x for x in inside if x is not None], got[i]
+        assert r["count"] == len(inside), (a, b)
+        assert (r["target_max"], r["target_min"]) == ((max(some), min(some)) if some else (None, None))
+        assert r["target_mean"] == (pytest.approx(statistics.fmean(some), rel=1e-9) if some else None)
+        assert r["target_std"] == (pytest.approx(statistics.stdev(some), rel=1e-6, abs=1e-6) if len(some) > 1 else None)
+    parsed = rd.parse_ranges(table).filter("start_ts <= end_ts")
+    assert mm._asks(parsed).groupBy("range_id").count().filter("count <> 2").count() == 0
