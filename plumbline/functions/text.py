@@ -27,6 +27,12 @@ def tokenize(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN), F.lit(0))
 
 
+def capitals(c: str | Column) -> Column:
+    """Every letter in upper case that has one letter for it (sharp s: the capital one); the others stay."""
+    large = lambda x: F.when(x == "ß", "ẞ").when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return F.array_join(F.transform(F.split(_col(c), ""), large), "")
+
+
 def ngrams(tokens: Column) -> Column:
     """Tokens, then neighbouring pairs joined by a blank."""
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))

@@ -334,7 +334,15 @@ query("solutions_by_priority", "SELECT solution_id, problem FROM solutions WHERE
 _hay = "lower(problem || ' ' || array_to_string(symptoms, ' ') || ' ' || array_to_string(root_causes, ' '))"
 query("solutions_by_keyword", f"SELECT solution_id FROM solutions WHERE contains({_hay}, 'tion') OR contains({_hay}, 'the')", fx.KNOWLEDGE)(lambda s, d: kn.solutions_by_keyword(fx.knowledge(s, d)["solutions"], ["TION", "the"]).select("solution_id"))
 query("solutions_by_keyword_table", f"SELECT solution_id FROM solutions s WHERE EXISTS (SELECT 1 FROM concepts c WHERE contains({_hay}, lower(c.term)))", fx.KNOWLEDGE)(lambda s, d: kn.solutions_by_keyword((k := fx.knowledge(s, d))["solutions"], k["concepts"].select(F.col("term").alias("keyword"))).select("solution_id"))
-query("concept_by_term", "SELECT upper(term) AS term_query, concept_id, definition FROM concepts QUALIFY row_number() OVER (PARTITION BY upper(term) ORDER BY concept_id) = 1", fx.KNOWLEDGE)(lambda s, d: kn.concept_by_term((c := fx.knowledge(s, d)["concepts"]).select(F.upper("term").alias("term_query")).distinct(), c).select("term_query", "concept_id", "definition"))
+
+
+@query("concept_by_term", "SELECT upper(term) AS term_query, concept_id, definition FROM concepts QUALIFY row_number() OVER (PARTITION BY upper(term) ORDER BY concept_id) = 1", fx.KNOWLEDGE)
+def _concept(s: SparkSession, d: str) -> DataFrame:
+    """Each term asked for in capitals, letter by letter: F.upper makes two letters of some, which are another word."""
+    c = fx.knowledge(s, d)["concepts"]
+    return kn.concept_by_term(c.select(tx.capitals("term").alias("term_query")).distinct(), c).select("term_query", "concept_id", "definition")
+
+
 _ask = fx.KB_INDEX + ", " + fx.QUERIES + ", asked AS (SELECT * FROM queries WHERE " + fx.STRIP.format("query") + " <> '')"
 
 

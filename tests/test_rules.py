@@ -1,6 +1,7 @@
 """Golden cases and edge rules of the reference's operators."""
 
 import json
+import math
 import random
 import re
 import sys
@@ -320,3 +321,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("live").orderBy("window_start").collect() == batch
+
+
+def test_capitals_are_the_same_word(spark):
+    from plumbline.functions.text import capitals
+
+    terms = spark.createDataFrame([(1, "Erßie"), (2, "Erssie"), (3, "größe"), (4, "")], "concept_id long, term string").withColumn("definition", F.col("term"))
+    asked = terms.select(capitals("term").alias("term_query")).distinct()
+    assert {r["term_query"]: r["concept_id"] for r in kn.concept_by_term(asked, terms).collect()} == {"ERẞIE": 1, "ERSSIE": 2, "GRÖẞE": 3, "": 4}
