@@ -1,13 +1,15 @@
 """Fitting the scoring artifact: one pass for the moments, a small solve, one pass for variances and limits.
 
 The published artifact comes ready-made; how it was trained is not. This is a companion of our own: kernel PLS on the
-cross-products (Dayal and MacGregor 1997), limits as empirical quantiles of the training rows' statistics.
+cross-products (Dayal and MacGregor 1997), limits as empirical quantiles of the training rows' statistics, of exact rank.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import replace
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.model import Model
 from plumbline.operators.monitor import score
 from plumbline.operators.readings import feature_columns
+from plumbline.sources.shared import materialize
 
 
 def _moments(df: DataFrame, cols: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -52,6 +55,16 @@ def kernel_pls(xx: np.ndarray, xy: np.ndarray, components: int) -> tuple[np.ndar
     return np.array(r_all).T, np.array(p_all).T
 
 
+def quantile_of(rows: DataFrame, c: str, n: int, quantile: float, accuracy: int = 10_000) -> float:
+    """The value of rank ceil(quantile * n), exactly: approximate quantiles bound it, and the few rows between them are ranked."""
+    rank, near = math.ceil(Fraction(str(quantile)) * n), 2 / accuracy
+    lo, hi = rows.agg(F.percentile_approx(c, [max(0.0, quantile - near), min(1.0, quantile + near)], accuracy)).first()[0]
+    below, upto = rows.agg(F.count_if(F.col(c) < lo), F.count_if(F.col(c) <= hi)).first()
+    if not below < rank <= upto:
+        lo, hi, below = float("-inf"), float("inf"), 0
+    return rows.filter(F.col(c).between(lo, hi)).orderBy(c).offset(rank - below - 1).limit(1).first()[c]
+
+
 def fit_model(readings: DataFrame, components: int = 2, quantile: float = 0.99) -> Model:
     cols = feature_columns(readings)
     n, s, c = _moments(readings, [*cols, "target"])
@@ -67,5 +80,6 @@ def fit_model(readings: DataFrame, components: int = 2, quantile: float = 0.99)
     j = len(cols)
     rows = lambda m: tuple(map(tuple, m.tolist()))
     model = Model(tuple(mean[:-1].tolist()), tuple(scale[:-1].tolist()), (0.0,) * j, (1.0,) * j, rows(r), rows(p), tuple(lam.tolist()), 0.0, 0.0, tuple(cols))
-    limits = score(readings, model).agg(F.percentile_approx("t2", quantile, 10_000).alias("t2"), F.percentile_approx("spe", quantile, 10_000).alias("spe")).first()
-    return replace(model, ucl_t2=limits["t2"], ucl_spe=limits["spe"])
+    scores = materialize(score(readings, model).select("t2", "spe"), "scores")
+    scored = scores.count()
+    return replace(model, ucl_t2=quantile_of(scores, "t2", scored, quantile), ucl_spe=quantile_of(scores, "spe", scored, quantile))

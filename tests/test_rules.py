@@ -329,3 +329,13 @@ def test_capitals_are_the_same_word(spark):
     terms = spark.createDataFrame([(1, "Erßie"), (2, "Erssie"), (3, "größe"), (4, "")], "concept_id long, term string").withColumn("definition", F.col("term"))
     asked = terms.select(capitals("term").alias("term_query")).distinct()
     assert {r["term_query"]: r["concept_id"] for r in kn.concept_by_term(asked, terms).collect()} == {"ERẞIE": 1, "ERSSIE": 2, "GRÖẞE": 3, "": 4}
+
+
+def test_limits_have_their_exact_rank(spark):
+    from plumbline.plans.fit import quantile_of
+
+    values = [((i * 7919) % 30_011) / 7 for i in range(30_011)] + [1e6] * 200
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.99, 0.5, 0.995, 0.0001):
+        assert quantile_of(df, "v", len(values), q) == sorted(values)[math.ceil(q * len(values)) - 1]
+    assert quantile_of(df, "v", len(values), 0.9, accuracy=10) == sorted(values)[math.ceil(0.9 * len(values)) - 1]
