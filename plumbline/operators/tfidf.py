@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import ngrams, tokenize
+from plumbline.functions.text import tokenize
 from plumbline.sources.shared import materialize
 
 #: A vocabulary has this many terms at most, which bounds what is broadcast.
@@ -36,11 +36,34 @@ MAX_FEATURES = 1000
 COUNTERS = 50_000
 #: Terms that the second pass counts at most.
 CANDIDATES = 100_000
+#: Tokens that a worker takes apart at once (or one text), and terms whose sums it holds before it hands them on.
+PIECE, HELD = 100_000, 200_000
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
-    """(key, text) -> (key, term, tf)."""
-    return texts.select(key, F.explode(ngrams(tokenize("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, text) -> (key, term, tf).
+
+    All terms of a text stand in its row and are counted there; only texts that share a key are shuffled.
+    """
+    own = texts.select(F.col(key).alias("key"), _tokens(None))
+    twice = texts.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches, 1):
+            row, term = _terms(b.column(1))
+            coded = term.dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            cell, tf = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cell // n)), coded.dictionary.take(pa.array(cell % n)), pa.array(tf)], names=["key", "term", "tf"])
+
+    kind = T.StructType([T.StructField("key", texts.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    count = lambda df: df.mapInArrow(run, kind)
+    if not twice.limit(1).count():
+        return count(own).withColumnRenamed("key", key)
+    twice = materialize(twice.select(F.col("key").alias("other")), "shared-keys")
+    same = F.expr("key <=> other")
+    shared = count(own.join(twice, same, "left_semi")).groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+    return count(own.join(twice, same, "left_anti")).unionByName(shared).withColumnRenamed("key", key)
 
 
 def _tokens(tokens: str | None):
@@ -55,6 +78,17 @@ def _terms(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([row, row[1:][row[1:] == row[:-1]]]), pa.chunked_array([flat, pairs.cast(flat.type)]).combine_chunks()
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into rows with some ``PIECE`` tokens in a column of lists, one row at least: what a worker holds does not grow."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(b.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 class Summary:
     """Misra-Gries counters of terms: counts that are never too high, and ``error``, the most that they can be too low."""
 
@@ -85,7 +119,7 @@ def heavy_terms(texts: DataFrame, tokens: str | None = None, counters: int = COU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Summary(counters)
-        for b in batches:
+        for b in _small(batches, 0):
             s.add(_terms(b.column(0))[1])
         s.prune()
         yield from s.counts.to_batches()
@@ -101,7 +135,7 @@ def count_terms(texts: DataFrame, terms: list[str], tokens: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         total, df = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
-        for b in batches:
+        for b in _small(batches, 0):
             row, term = _terms(b.column(0))
             at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row, at = row[at >= 0], at[at >= 0]
@@ -114,14 +148,26 @@ def count_terms(texts: DataFrame, terms: list[str], tokens: str | None = None) -
 
 
 def term_totals(texts: DataFrame, tokens: str | None = None) -> DataFrame:
-    """(term, total, df) of all terms.
+    """(term, total, df) of all terms. Workers add up what they meet, ``HELD`` terms at a time, before the shuffle."""
+    empty = pa.table({"term": pa.array([], type=pa.string()), "total": pa.array([], type=pa.int64()), "df": pa.array([], type=pa.int64())})
 
-    Terms of a text are sorted within its row, so that the first of each is known there: total and df are one count,
-    combined before the shuffle.
-    """
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get(F.col("terms"), i - 1) != t, F.lit(True)).alias("first")))
-    each = texts.select(F.sort_array(ngrams(F.col(tokens) if tokens else tokenize("text"))).alias("terms")).select(F.explode(marked).alias("x"))
-    return each.groupBy("x.term").agg(F.count(F.lit(1)).alias("total"), F.count_if("x.first").alias("df"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = empty
+        for b in _small(batches, 0):
+            row, term = _terms(b.column(0))
+            coded = term.dictionary_encode()
+            n, at = max(1, len(coded.dictionary)), coded.indices.to_numpy(zero_copy_only=False)
+            sums = np.bincount(at, minlength=len(coded.dictionary)), np.bincount(np.unique(row * n + at) % n, minlength=len(coded.dictionary))
+            held = pa.concat_tables([held, pa.table({"term": coded.dictionary.cast(pa.string()), "total": pa.array(sums[0]), "df": pa.array(sums[1])})])
+            if held.num_rows > HELD:
+                got = held.group_by("term").aggregate([("total", "sum"), ("df", "sum")])
+                held = pa.table({"term": got.column("term"), "total": got.column("total_sum"), "df": got.column("df_sum")})
+                if held.num_rows > HELD // 2:
+                    yield from held.combine_chunks().to_batches()
+                    held = empty
+        yield from held.combine_chunks().to_batches()
+
+    return texts.select(_tokens(tokens)).mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def vocabulary_of(totals: DataFrame, n_texts: int, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -192,7 +238,7 @@ def pack(texts: DataFrame, vocabulary: DataFrame, key: str, tokens: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
-        for b in batches:
+        for b in _small(batches, 1):
             row, term = _terms(b.column(1))
             at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             cell, tf = np.unique(row[at >= 0] * max(1, len(known)) + at[at >= 0], return_counts=True)

@@ -127,3 +127,25 @@ def test_no_texts(spark):
     blank = tf.build_index(table(spark, [(1, ""), (2, None)]))
     assert blank["vocabulary"].count() == 0 and blank["packed"].count() == 0
     assert tf.embed(table(spark, [(3, "aa")]).select("chunk_id", "text"), blank["vocabulary"], "chunk_id").agg(F.count("term")).first()[0] == 0
+
+
+def test_terms_are_counted_in_their_row(spark, monkeypatch):
+    """Term counts and totals against plain counters, in pieces of few tokens; texts that share a key count together."""
+    from collections import Counter
+
+    monkeypatch.setattr(tf, "PIECE", 7)
+    monkeypatch.setattr(tf, "HELD", 20)
+    texts = [(1, "aa bb aa bb aa"), (2, None), (3, ""), (4, "cc"), (5, " ".join(f"w{i % 13}" for i in range(60))), (5, "aa w1 w2"), (None, "aa aa")]
+    grams = lambda t: (w := (t or "").split()) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    for rows in (texts, texts[:5]):
+        df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+        want = Counter((i, g) for i, t in rows for g in grams(t))
+        got = tf.term_counts(df, "id").collect()
+        assert {(r["id"], r["term"]): r["tf"] for r in got} == want and len(got) == len(want)
+        total, df_ = Counter(g for _, t in rows for g in grams(t)), Counter(g for _, t in rows for g in set(grams(t)))
+        assert {(r["term"], r["total"], r["df"]) for r in tf.term_totals(df).collect()} == {(t, n, df_[t]) for t, n in total.items()}
+
+
+def test_counting_terms_shuffles_no_terms(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (2, "cc dd")], "id long, text string")
+    assert "Exchange hashpartitioning(key" not in tf.term_counts(df, "id")._jdf.queryExecution().executedPlan().toString()
