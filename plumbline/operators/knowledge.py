@@ -240,7 +240,8 @@ def recommend(anomalies: DataFrame, features: DataFrame, index: dict[str, DataFr
         concept = told.agg(*(which(n, F.struct("kb_id", F.struct(*CONCEPT_FIELDS, "relevance_score").alias("found"))) for n in (1, 2)))
         empty = lambda c: F.array().cast(out.schema[c].dataType)
         more = [lambda: F.coalesce("explanations", empty("explanations")).alias("explanations"), lambda: F.coalesce("found_solutions", empty("found_solutions")).alias("found_solutions"), lambda: chosen("found").alias("found_concepts")]
-    made = sets.join(sols, "query_id", "left").join(info, "query_id", "left").drop("feature_names")
+    # written: a table of sets is small and broadcast, or a plain side of a join whose hot sets adaptive execution splits
+    made = materialize(sets.join(sols, "query_id", "left").join(info, "query_id", "left").drop("feature_names"), "recommended")
     out = a.withColumn("query_id", F.xxhash64("feature_names")).join(made, "query_id", "left").join(F.broadcast(concept))  # one row
     some, none = F.size("feature_names") > 0, F.array().cast("array<string>")
 
