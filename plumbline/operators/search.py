@@ -8,7 +8,9 @@ cells meet only those queries whose k-th hit so far does not beat what the cell
 results are exact, and in the worst case all cells meet all queries, in pieces of bounded size.
 
 What leaves a task is the k best of each query. Queries are broadcast if they are one block, whose size is bounded; beyond
-that, blocks of queries and slabs of vectors are dealt to a grid of groups of bounded size. Scores are rounded to nine
+that, queries of the same values are searched once, and if these are still more than a block, vectors of the same values are met
+once, too (their k least ids are all that can be hits), and blocks of queries and slabs of vectors are dealt to a grid of
+groups of bounded size, which a worker takes in pieces. Scores are rounded to nine
 digits before they are ranked, ties go by id.
 """
 
@@ -30,8 +32,8 @@ from plumbline.sources.shared import materialize
 
 #: Queries of a block: at most 32 MB of a thousand doubles each, which is also what is broadcast at most.
 QUERY_BLOCK = 4096
-#: Vectors of a slab (in the grid: on average), and of a cell on average.
-SLAB, CELL = 8192, 128
+#: Vectors of a slab in the grid, on average, those that a worker holds at once (and queries of the grid), and of a cell on average.
+SLAB, HELD, CELL = 8192, 1024, 128
 #: What rounding may add to a score.
 SLACK = 2e-9
 
@@ -210,9 +212,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
     def slabs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
-            for at in range(0, b.num_rows, SLAB):
-                held.append(b.slice(at, SLAB))
-                if sum(x.num_rows for x in held) >= SLAB:
+            for at in range(0, b.num_rows, HELD):
+                held.append(b.slice(at, HELD))
+                if sum(x.num_rows for x in held) >= HELD:
                     yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     held = []
         if held:
@@ -240,6 +242,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
         return top_k(v.mapInArrow(past, schema), key, k).drop("rank")
     if report:
         raise ValueError(f"reports are of {QUERY_BLOCK} queries at most")
+    q = materialize(q, "asked")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kind.values]
+    once = q.groupBy(*kind.values).agg(F.min("query_id").alias("__query"))
+    asked = materialize(q.join(once.select("__query", *(F.col(c).alias(f"__{c}") for c in kind.values)), same).select("query_id", "__query"), "asked-alike")
+    q = materialize(once.select(F.col("__query").alias("query_id"), *kind.values), "asked-once")
+    back = lambda df: df.withColumnRenamed("query_id", "__query").join(asked, "__query").select(*names)
+    if q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        return back(nearest(q, v, key, k, kind))
+    alike = v.withColumn("__n", F.row_number().over(Window.partitionBy(*kind.values).orderBy(key))).filter(F.col("__n") <= k)  # k of a group
+    v = materialize(alike.groupBy(*kind.values).agg(F.array_sort(F.collect_list(key)).alias("__ids")).withColumn(key, F.col("__ids")[0]), "vectors-once")
+    ids, v = v.select(key, "__ids"), v.select(key, *kind.values)
     deal = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(n)).cast("int")
     blocks, slabs = math.ceil(q.count() / QUERY_BLOCK), math.ceil(v.count() / SLAB)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -249,14 +262,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_batches([], schema=pa.schema([(names[0], pa.int64()), (key, arrow), ("score", pa.float64())]))
-        one = lambda t: batch(t.select([t.schema.names[0], *kind.values]).combine_chunks().to_batches()[0])
-        (ids, m), (names_, rows) = one(a), one(b)
-        best = Best(len(ids), k)
-        Cells(names_, rows, kind).meet(m, best)
-        return pa.Table.from_batches([best.rows(ids, arrow, names)])
+        cut = lambda t: t.select([t.schema.names[0], *kind.values]).combine_chunks().to_batches(max_chunksize=HELD)
+        asked_ = [(ids_, m, Best(len(ids_), k)) for ids_, m in map(batch, cut(a))]
+        for part in cut(b):
+            cells = Cells(*batch(part), kind)
+            for _, m, best in asked_:
+                cells.meet(m, best)
+        return pa.Table.from_batches([best.rows(ids_, arrow, names) for ids_, _, best in asked_])
 
     pairs = left.groupBy("block", "slab").cogroup(right.groupBy("block", "slab")).applyInArrow(met, schema)
-    return top_k(pairs, key, k).drop("rank")
+    found = top_k(pairs, key, k).drop("rank").join(ids, key).withColumn(key, F.explode("__ids")).drop("__ids")
+    return back(top_k(found, key, k).drop("rank"))
 
 
 #: Of unit vectors: cosine over (norm + 1e-10) twice, and 1 / (1 + d2) with d2 = 2 - 2 dot.

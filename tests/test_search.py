@@ -73,3 +73,18 @@ def test_no_rows(spark):
     assert se.search_l2(none.withColumnRenamed("vec_id", "query_id"), some).count() == 0
     assert se.search_l2(some.withColumnRenamed("vec_id", "query_id"), none).count() == 0
     assert se.pruned(some.withColumnRenamed("vec_id", "query_id"), some, "vec_id", 2, se.Euclid()) == (9, 9)
+
+
+def test_alike_are_searched_once(spark, monkeypatch):
+    """More queries than a block, most of them alike, and vectors of which many are alike: ties by id as without."""
+    rng = np.random.default_rng(3)
+    some = rng.integers(-3, 4, (12, 4)).astype(float)
+    vectors = [(i, some[i * 7 % 12].tolist()) for i in range(90)]
+    queries = [(i, some[i % 12].tolist()) for i in range(60)]
+    want = {(q, r, v) for q, x in queries for r, v in enumerate([j for _, j in sorted((-round(1 / (1 + float(((np.array(x) - np.array(y)) ** 2).sum())), 9), j) for j, y in vectors)[:5]], 1)}
+    q, v = spark.createDataFrame(queries, "query_id long, embedding array<double>"), spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    for block in (20, 5):  # those that differ fit a block, or go by the grid
+        monkeypatch.setattr(se, "QUERY_BLOCK", block)
+        monkeypatch.setattr(se, "SLAB", 6)
+        monkeypatch.setattr(se, "HELD", 4)
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in se.search_l2(q, v, 5).collect()} == want
