@@ -151,6 +151,14 @@ def term_totals(texts: DataFrame, tokens: str | None = None) -> DataFrame:
     """(term, total, df) of all terms. Workers add up what they meet, ``HELD`` terms at a time, before the shuffle."""
     empty = pa.table({"term": pa.array([], type=pa.string()), "total": pa.array([], type=pa.int64()), "df": pa.array([], type=pa.int64())})
 
+    def summed(held: pa.Table) -> pa.Table:
+        coded = held.column("term").combine_chunks().dictionary_encode()
+        at, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+        sums = {c: np.zeros(n, dtype=np.int64) for c in ("total", "df")}
+        for c, s in sums.items():
+            np.add.at(s, at, held.column(c).to_numpy())
+        return pa.table({"term": coded.dictionary} | {c: pa.array(s) for c, s in sums.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = empty
         for b in _small(batches, 0):
@@ -160,12 +168,11 @@ def term_totals(texts: DataFrame, tokens: str | None = None) -> DataFrame:
             sums = np.bincount(at, minlength=len(coded.dictionary)), np.bincount(np.unique(row * n + at) % n, minlength=len(coded.dictionary))
             held = pa.concat_tables([held, pa.table({"term": coded.dictionary.cast(pa.string()), "total": pa.array(sums[0]), "df": pa.array(sums[1])})])
             if held.num_rows > HELD:
-                got = held.group_by("term").aggregate([("total", "sum"), ("df", "sum")])
-                held = pa.table({"term": got.column("term"), "total": got.column("total_sum"), "df": got.column("df_sum")})
+                held = summed(held)
                 if held.num_rows > HELD // 2:
                     yield from held.combine_chunks().to_batches()
                     held = empty
-        yield from held.combine_chunks().to_batches()
+        yield from summed(held).combine_chunks().to_batches()
 
     return texts.select(_tokens(tokens)).mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
