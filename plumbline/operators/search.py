@@ -8,10 +8,10 @@ cells meet only those queries whose k-th hit so far does not beat what the cell
 results are exact, and in the worst case all cells meet all queries, in pieces of bounded size.
 
 What leaves a task is the k best of each query. Queries are broadcast if they are one block, whose size is bounded; beyond
-that, queries of the same values are searched once, and if these are still more than a block, vectors of the same values are met
-once, too (their k least ids are all that can be hits), and blocks of queries and slabs of vectors are dealt to a grid of
-groups of bounded size, which a worker takes in pieces. Scores are rounded to nine
-digits before they are ranked, ties go by id.
+that, queries of the same values are searched once. Where there are more than a few queries, so that a vector costs more to score
+than to shuffle, vectors of the same values are met once, too (their k least ids are all that can be hits). If the queries are
+still more than a block, blocks of queries and slabs of vectors are dealt to a grid of groups of bounded size, which a worker
+takes in pieces. Scores are rounded to nine digits before they are ranked, ties go by id.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.text import strip
 from plumbline.operators.tfidf import MAX_FEATURES, pack
-from plumbline.sources.shared import materialize
+from plumbline.sources.shared import materialize, spread
 
 #: Queries of a block: at most 32 MB of a thousand doubles each, which is also what is broadcast at most.
 QUERY_BLOCK = 4096
+#: Up to so many queries meet the vectors as they come; for more, vectors that are alike are brought together first.
+FEW = 512
 #: Vectors of a slab in the grid, on average, those that a worker holds at once (and queries of the grid), and of a cell on average.
 SLAB, HELD, CELL = 8192, 1024, 128
 #: What rounding may add to a score.
@@ -220,8 +222,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    held = q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
-    if held.num_rows <= QUERY_BLOCK:
+    def by_block(v: DataFrame, held: pa.Table) -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast(held)
 
         def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,24 +241,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
         if report:
             return v.mapInArrow(past, "pairs long, scored long")
         return top_k(v.mapInArrow(past, schema), key, k).drop("rank")
-    if report:
-        raise ValueError(f"reports are of {QUERY_BLOCK} queries at most")
-    q = materialize(q, "asked")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kind.values]
-    once = q.groupBy(*kind.values).agg(F.min("query_id").alias("__query"))
-    asked = materialize(q.join(once.select("__query", *(F.col(c).alias(f"__{c}") for c in kind.values)), same).select("query_id", "__query"), "asked-alike")
-    q = materialize(once.select(F.col("__query").alias("query_id"), *kind.values), "asked-once")
-    back = lambda df: df.withColumnRenamed("query_id", "__query").join(asked, "__query").select(*names)
-    if q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        return back(nearest(q, v, key, k, kind))
-    alike = v.withColumn("__n", F.row_number().over(Window.partitionBy(*kind.values).orderBy(key))).filter(F.col("__n") <= k)  # k of a group
-    v = materialize(alike.groupBy(*kind.values).agg(F.array_sort(F.collect_list(key)).alias("__ids")).withColumn(key, F.col("__ids")[0]), "vectors-once")
-    ids, v = v.select(key, "__ids"), v.select(key, *kind.values)
-    deal = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(n)).cast("int")
-    blocks, slabs = math.ceil(q.count() / QUERY_BLOCK), math.ceil(v.count() / SLAB)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("block", deal("query_id", blocks)).withColumn("slab", each(max(1, slabs)))
-    right = v.withColumn("slab", deal(key, max(1, slabs))).withColumn("block", each(blocks))
 
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -270,8 +253,33 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, kind: Eucl
                 cells.meet(m, best)
         return pa.Table.from_batches([best.rows(ids_, arrow, names) for ids_, _, best in asked_])
 
-    pairs = left.groupBy("block", "slab").cogroup(right.groupBy("block", "slab")).applyInArrow(met, schema)
-    found = top_k(pairs, key, k).drop("rank").join(ids, key).withColumn(key, F.explode("__ids")).drop("__ids")
+    def by_grid(q: DataFrame, v: DataFrame) -> DataFrame:
+        deal = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(n)).cast("int")
+        blocks, slabs = math.ceil(q.count() / QUERY_BLOCK), math.ceil(v.count() / SLAB)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.withColumn("block", deal("query_id", blocks)).withColumn("slab", each(max(1, slabs)))
+        right = v.withColumn("slab", deal(key, max(1, slabs))).withColumn("block", each(blocks))
+        return top_k(left.groupBy("block", "slab").cogroup(right.groupBy("block", "slab")).applyInArrow(met, schema), key, k).drop("rank")
+
+    first = lambda q: q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    held, back = first(q), lambda df: df
+    if report and held.num_rows > QUERY_BLOCK:
+        raise ValueError(f"reports are of {QUERY_BLOCK} queries at most")
+    if report or held.num_rows <= min(FEW, QUERY_BLOCK):
+        return by_block(v, held)
+    if held.num_rows > QUERY_BLOCK:
+        q = materialize(q, "asked")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kind.values]
+        once = q.groupBy(*kind.values).agg(F.min("query_id").alias("__query"))
+        asked = materialize(q.join(once.select("__query", *(F.col(c).alias(f"__{c}") for c in kind.values)), same).select("query_id", "__query"), "asked-alike")
+        q = materialize(once.select(F.col("__query").alias("query_id"), *kind.values), "asked-once")
+        back = lambda df: df.withColumnRenamed("query_id", "__query").join(asked, "__query").select(*names)
+        held = first(q)
+    alike = v.withColumn("__n", F.row_number().over(Window.partitionBy(*kind.values).orderBy(key))).filter(F.col("__n") <= k)  # k of a group
+    v = materialize(alike.groupBy(*kind.values).agg(F.array_sort(F.collect_list(key)).alias("__ids")).withColumn(key, F.col("__ids")[0]), "vectors-once")
+    ids, v = v.select(key, "__ids"), v.select(key, *kind.values)
+    pairs = by_block(spread(v), held) if held.num_rows <= QUERY_BLOCK else by_grid(q, v)
+    found = pairs.join(ids, key).withColumn(key, F.explode("__ids")).drop("__ids")
     return back(top_k(found, key, k).drop("rank"))
 
 

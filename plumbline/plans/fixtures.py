@@ -63,7 +63,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     feats = p.select(F.concat(F.lit("feature"), (F.col("p_partkey") + 1).cast("string")).alias("feature_name"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.concat(F.lit("u"), F.col("p_size").cast("string")).alias("unit"), F.lit("0-1").alias("normal_range"), F.col("p_brand").alias("related_to"), F.split("p_name", " ").alias("anomaly_causes"), F.col("p_type").alias("impact"))
     c = table(spark, sf_dir, "conversations")
     said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])

@@ -88,3 +88,20 @@ def test_alike_are_searched_once(spark, monkeypatch):
         monkeypatch.setattr(se, "SLAB", 6)
         monkeypatch.setattr(se, "HELD", 4)
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in se.search_l2(q, v, 5).collect()} == want
+
+
+def test_vectors_that_are_alike_are_met_once_in_a_block(spark, monkeypatch):
+    """Queries that fit a block but are more than a few: what is scored is a vector of each value, and the hits are all of them."""
+    rng = np.random.default_rng(5)
+    some = rng.integers(-3, 4, (12, 4)).astype(float)
+    vectors, queries = [(i, some[i * 7 % 12].tolist()) for i in range(90)], [(i, some[i % 12].tolist()) for i in range(60)]
+    want = {(q, r, v) for q, x in queries for r, v in enumerate([j for _, j in sorted((-round(1 / (1 + float(((np.array(x) - np.array(y)) ** 2).sum())), 9), j) for j, y in vectors)[:9]], 1)}
+    q, v = spark.createDataFrame(queries, "query_id long, embedding array<double>"), spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    met, write = {}, se.materialize
+    monkeypatch.setattr(se, "materialize", lambda df, name: met.setdefault(name, write(df, name)))
+    monkeypatch.setattr(se, "FEW", 59, raising=False)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in se.search_l2(q, v, 9).collect()} == want
+    assert met["vectors-once"].count() == len({tuple(x) for x in some.tolist()})
+    met.clear()
+    monkeypatch.setattr(se, "FEW", 60, raising=False)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in se.search_l2(q, v, 9).collect()} == want and not met
