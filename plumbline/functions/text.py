@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as a general-purpose language's string strip takes it: Unicode white space and the separators 1C-1F.
 BLANK = r"[\s\x1c-\x1f]"
+#: The same, character by character.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A token: two word characters or more.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 SENTENCE = rf"(?U)[^。！？.!?]*[。！？.!?]+{BLANK}*|[^。！？.!?]+"
@@ -19,7 +21,7 @@ def _col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def tokenize(c: str | Column) -> Column:

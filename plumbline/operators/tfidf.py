@@ -6,8 +6,9 @@ vocabulary at once.
 
 The vocabulary is found in two passes that shuffle no table of all terms. In the first each task keeps a Misra-Gries summary
 of the terms it meets (mergeable, after Agarwal et al. 2012): ``COUNTERS`` counters that never count too much, and how much
-they may count too little. Added up over the tasks they tell which terms can be among the most frequent; the second pass counts
-these, exactly. Where the possible error reaches the last place of the vocabulary the summaries do not settle it, and all
+they may count too little. Tokens are numbered a piece at a time, so that pairs are counted as numbers and become words only if they
+are kept: of a piece with many terms, those that it has once are not. Added up over the tasks the counters tell which terms can be
+among the most frequent; the second pass counts these, exactly. Where the possible error reaches the last place of the vocabulary the summaries do not settle it, and all
 terms are counted, combined before the shuffle. Either way the vocabulary is the exact one.
 
 An index that is to grow (``growable``) keeps the totals of all its terms as a table of its own. ``append_texts`` adds those
@@ -78,6 +79,50 @@ def _terms(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([row, row[1:][row[1:] == row[:-1]]]), pa.chunked_array([flat, pairs.cast(flat.type)]).combine_chunks()
 
 
+class Places:
+    """Terms by place, to be found in token lists: as words, and as pairs of numbers of words, so that no pair is put together."""
+
+    def __init__(self, terms: pa.Array) -> None:
+        cut = [t.split(" ") for t in terms.to_pylist()]  # a token has no blank
+        self.words = pa.array(sorted({w for t in cut for w in t}), type=pa.string())
+        number = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.single = np.full(len(number) + 1, -1)  # the last is that of unknown words
+        self.single[[number[t[0]] for t in cut if len(t) == 1]] = [at for at, t in enumerate(cut) if len(t) == 1]
+        pairs = sorted((number[t[0]] * len(number) + number[t[1]], at) for at, t in enumerate(cut) if len(t) == 2)
+        self.pairs, self.pair = (np.array([p[i] for p in pairs], dtype=np.int64) for i in (0, 1))
+
+    def find(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of every unigram and bigram of a batch of token lists that is one of the terms."""
+        row = _rows(tokens)
+        word = pc.fill_null(pc.index_in(tokens.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, some = self.single[word], (row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0)
+        both = word[:-1][some] * len(self.words) + word[1:][some]
+        near = np.minimum(np.searchsorted(self.pairs, both), max(0, len(self.pairs) - 1))
+        hit = self.pairs[near] == both if len(self.pairs) else np.zeros(len(both), dtype=bool)
+        return np.concatenate([row[at >= 0], row[1:][some][hit]]), np.concatenate([at[at >= 0], self.pair[near[hit]]])
+
+
+def _rows(tokens: pa.Array) -> np.ndarray:
+    """The row of each token of a batch of token lists."""
+    return np.repeat(np.arange(len(tokens)), pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False))
+
+
+def _counted(tokens: pa.Array, many: int) -> tuple[pa.Table, int]:
+    """(term, n) of a batch of token lists. Of more than ``many`` terms those that are there once are left out; and if any is."""
+    row, coded = _rows(tokens), tokens.flatten().dictionary_encode()
+    word, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    singles, inside = np.bincount(word, minlength=len(words)), row[1:] == row[:-1]
+    got = pc.value_counts(pa.array(word[:-1][inside] * len(words) + word[1:][inside]))
+    pairs, n = (got.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    least = 2 if len(singles) + len(pairs) > many else 1
+    take = lambda at: words.take(pa.array(at))
+    kept, often = np.flatnonzero(singles >= least), pairs[n >= least]
+    joined = pc.binary_join_element_wise(take(often // max(1, len(words))), take(often % max(1, len(words))), " ")
+    terms = pa.chunked_array([take(kept).cast(pa.string()), joined.cast(pa.string())])
+    left = len(kept) + len(often) < len(singles) + len(pairs)
+    return pa.table({"term": terms, "n": pa.array(np.concatenate([singles[kept], n[n >= least]]).astype(np.int64))}), int(left)
+
+
 def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Batches cut into rows with some ``PIECE`` tokens in a column of lists, one row at least: what a worker holds does not grow."""
     for b in batches:
@@ -93,14 +138,20 @@ class Summary:
     """Misra-Gries counters of terms: counts that are never too high, and ``error``, the most that they can be too low."""
 
     def __init__(self, counters: int) -> None:
-        self.counters, self.error = counters, 0
+        self.counters, self.error, self.held = counters, 0, []
         self.counts = pa.table({"term": pa.array([], type=pa.string()), "n": pa.array([], type=pa.int64())})
 
-    def add(self, terms: pa.Array) -> None:
-        got = pc.value_counts(terms)
-        more = pa.table({"term": got.field("values").cast(pa.string()), "n": got.field("counts").cast(pa.int64())})
-        merged = pa.concat_tables([self.counts, more]).group_by("term").aggregate([("n", "sum")])
-        self.counts = pa.table({"term": merged.column("term"), "n": merged.column("n_sum")})
+    def add(self, tokens: pa.Array) -> None:
+        """The terms of a batch of token lists. They are added up when there are as many as counters."""
+        more, missed = _counted(tokens, self.counters // 2)
+        self.error += missed
+        self.held.append(more)
+        if sum(x.num_rows for x in self.held) > self.counters:
+            self.merge()
+
+    def merge(self) -> None:
+        merged = pa.concat_tables([self.counts, *self.held]).group_by("term").aggregate([("n", "sum")])
+        self.counts, self.held = pa.table({"term": merged.column("term"), "n": merged.column("n_sum")}), []
         if self.counts.num_rows > 2 * self.counters:
             self.prune()
 
@@ -120,7 +171,8 @@ def heavy_terms(texts: DataFrame, tokens: str | None = None, counters: int = COU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Summary(counters)
         for b in _small(batches, 0):
-            s.add(_terms(b.column(0))[1])
+            s.add(b.column(0))
+        s.merge()
         s.prune()
         yield from s.counts.to_batches()
         yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.string()), pa.array([s.error], type=pa.int64())], names=["term", "n"])
@@ -130,15 +182,14 @@ def heavy_terms(texts: DataFrame, tokens: str | None = None, counters: int = COU
 
 def count_terms(texts: DataFrame, terms: list[str], tokens: str | None = None) -> DataFrame:
     """(term, total, df) of given terms, exactly; the tasks' sums are a row a term."""
-    shared = texts.sparkSession.sparkContext.broadcast(pa.array(terms, type=pa.string()))
+    known = pa.array(terms, type=pa.string())
+    shared = texts.sparkSession.sparkContext.broadcast((known, Places(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, places = shared.value
         total, df = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
         for b in _small(batches, 0):
-            row, term = _terms(b.column(0))
-            at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, at = row[at >= 0], at[at >= 0]
+            row, at = places.find(b.column(0))
             total += np.bincount(at, minlength=len(known))
             df += np.bincount(np.unique(row * len(known) + at) % len(known), minlength=len(known))
         some = np.flatnonzero(total)
@@ -241,15 +292,15 @@ WEIGHTS = ("weights", T.ArrayType(T.DoubleType()))
 
 def pack(texts: DataFrame, vocabulary: DataFrame, key: str, tokens: str | None = None) -> DataFrame:
     """(key, places, tf, weights), rows of unit length; texts without known terms have no rows. One pass, no shuffle."""
-    shared = texts.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+    terms, idf = _vocabulary(vocabulary)
+    shared = texts.sparkSession.sparkContext.broadcast((Places(terms), idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
         for b in _small(batches, 1):
-            row, term = _terms(b.column(1))
-            at = pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            cell, tf = np.unique(row[at >= 0] * max(1, len(known)) + at[at >= 0], return_counts=True)
-            yield _packed(b.column(0), cell // max(1, len(known)), cell % max(1, len(known)), tf, idf)
+            row, at = known.find(b.column(1))
+            cell, tf = np.unique(row * max(1, len(idf)) + at, return_counts=True)
+            yield _packed(b.column(0), cell // max(1, len(idf)), cell % max(1, len(idf)), tf, idf)
 
     return texts.select(F.col(key).alias("key"), _tokens(tokens)).mapInArrow(run, _schema(texts, key, WEIGHTS)).withColumnRenamed("key", key)
 

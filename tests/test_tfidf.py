@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import BLANKS, strip
 from plumbline.operators import tfidf as tf
 
 
@@ -149,3 +151,29 @@ def test_terms_are_counted_in_their_row(spark, monkeypatch):
 def test_counting_terms_shuffles_no_terms(spark):
     df = spark.createDataFrame([(1, "aa bb"), (2, "cc dd")], "id long, text string")
     assert "Exchange hashpartitioning(key" not in tf.term_counts(df, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_and_found_as_numbers():
+    """Pairs of a piece are counted without being put together, and those that it has once are left out if it has many terms."""
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "b", "c", "ab", "é", "漢"]) for _ in range(rng.choice([0, 1, 2, 9]))] for _ in range(40)] + [None, ["once", "only"]]
+    tokens = pa.array(lists, type=pa.list_(pa.string()))
+    each = [[*(x or []), *(f"{a} {b}" for a, b in zip(x or [], (x or [])[1:], strict=False))] for x in lists]
+    true = Counter(t for x in each for t in x)
+    got, missed = tf._counted(tokens, len(true))
+    assert dict(zip(got["term"].to_pylist(), got["n"].to_pylist(), strict=True)) == true and not missed
+    got, missed = tf._counted(tokens, len(true) - 1)
+    assert dict(zip(got["term"].to_pylist(), got["n"].to_pylist(), strict=True)) == {t: n for t, n in true.items() if n > 1} and missed
+    terms = ["b", "a b", "ab", "漢 é", "gone", "only", "a gone", "once only", "a"]
+    row, at = tf.Places(pa.array(terms)).find(tokens)
+    assert Counter(zip(row.tolist(), at.tolist(), strict=True)) == Counter((i, terms.index(t)) for i, x in enumerate(each) for t in x if t in terms)
+    for few in ([], ["a"], ["a b"]):
+        assert len(tf.Places(pa.array(few, type=pa.string())).find(tokens)[0]) == sum(true[t] for t in few)
+
+
+def test_a_text_is_trimmed_of_the_blanks_that_python_strips(spark):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
+    assert sorted(BLANKS) == every
+    texts = ["", "  ", "a", *(f"{b}a{b} é{b}\n" for b in every), *every, "​ a ﻿", "".join(every) + "x y" + "".join(every)]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", strip("text").alias("t")).collect()
+    assert {r["id"]: r["t"] for r in got} == {i: t.strip() for i, t in enumerate(texts)}
