@@ -20,7 +20,7 @@ PUBLIC = {
     "plans.report": "text_report envelope",
     "streaming.monitor": "monitor_stream",
     "streaming.folder": "ingest_folder read_growing",
-    "streaming.ranges": "watch_ranges",
+    "streaming.ranges": "watch_ranges replay",
 }
 _MODULES = {name: module for module, names in PUBLIC.items() for name in names.split()}
 __all__ = sorted(_MODULES)

@@ -23,7 +23,7 @@ from plumbline.sources.files import append_index, read_index, write_index
 from plumbline.sources.readings import TIME, read_days, read_readings, write_readings
 from plumbline.sources.shared import materialize, shared_dir
 from plumbline.streaming.monitor import monitor_stream
-from plumbline.streaming.ranges import watch_ranges
+from plumbline.streaming.ranges import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -298,13 +298,9 @@ _watched = ", ".join(f"round({f}({v}), 6) AS {v}_{n}" for v in ("t2", "spe") for
 @query("watch_ranges", f"SELECT range_id, count(*) AS total_samples, count(*) FILTER (WHERE anomaly) AS anomaly_count, count(*) FILTER (WHERE t2_anomaly) AS t2_count, count(*) FILTER (WHERE spe_anomaly) AS spe_count, {_watched}, min(ts) FILTER (WHERE anomaly) AS first_ts, arg_min(reading_id, (ts, reading_id)) FILTER (WHERE anomaly) AS first_reading_id, CASE WHEN bool_or(anomaly) THEN min(place) FILTER (WHERE anomaly) END AS position FROM (SELECT *, row_number() OVER (PARTITION BY range_id ORDER BY ts, reading_id) - 1 AS place FROM over JOIN scored r ON r.ts BETWEEN start_ts AND end_ts) GROUP BY range_id", f"{fx.SCORED}, {fx.RANGES_SQL}, {_over}")
 def _watch(s: SparkSession, d: str) -> DataFrame:
     """All readings through a stream; ranges that the last one has left behind by the watermark are over."""
-    base = f"{shared_dir(s)}/watched-{uuid.uuid4().hex}"
-    fx.readings(s, d).write.parquet(f"{base}/in")
-    live = s.readStream.schema(fx.readings(s, d).schema).parquet(f"{base}/in")
-    out = watch_ranges(live, fx.ranges(s), M)
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = replay(fx.readings(s, d), fx.ranges(s), M, f"{shared_dir(s)}/watched-{uuid.uuid4().hex}")
     stats = [f"{v}_{k}" for v in ("t2", "spe") for k in ("mean", "max", "min", "std")]
-    return s.read.schema(out.schema).parquet(f"{base}/out").select("range_id", "total_samples", "anomaly_count", "t2_count", "spe_count", *r6(*stats), "first_ts", "first_reading_id", "position")
+    return out.select("range_id", "total_samples", "anomaly_count", "t2_count", "spe_count", *r6(*stats), "first_ts", "first_reading_id", "position")
 
 
 # Knowledge

@@ -5,10 +5,14 @@ far, and, until the watermark has passed that one, the places of the readings be
 such readings, while there is no anomaly). Readings come in any order within the watermark, so an earlier anomaly may
 still turn up until then; the readings behind the watermark are only counted, as all that can come stand after them. A timer at the end of the range sends out its row, which
 is that of the batch, and drops the state. Later readings than the watermark allows are dropped, and count for nothing.
+
+A task sorts what its ranges hold of a micro-batch, which for a range over everything is the whole of it: the size of the
+micro-batches bounds its memory. A source should be read with such a bound, and ``replay`` takes stored readings in such pieces.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,11 +25,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from plumbline.operators.model import Model
 from plumbline.operators.monitor import score
 from plumbline.operators.readings import parse_ranges, range_join
+from plumbline.sources.files import _exists as exists
 
 STATS = ("mean", "max", "min", "std")
 OUT = "range_id long, total_samples long, anomaly_count long, t2_count long, spe_count long, " + ", ".join(f"{v}_{k} double" for v in ("t2", "spe") for k in STATS) + ", first_ts long, first_reading_id long, position long"
 MOMENTS = "n long, anomalies long, t2_flags long, spe_flags long, " + ", ".join(f"{v}_{k} double" for v in ("t2", "spe") for k in ("mean", "m2", "max", "min"))
 FIRST = "ts long, id long, position long, settled long, ahead_ts array<long>, ahead_id array<long>"
+#: Readings of a micro-batch of a replay, some 140 bytes each in the task that sorts them.
+BATCH = 2_000_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -121,3 +128,26 @@ def watch_ranges(readings: DataFrame, ranges: DataFrame, m: Model, late: str = "
     rows = joined.select("range_id", "ts", F.unix_micros("ts").alias("us"), "reading_id", "t2", "spe", "t2_anomaly", "spe_anomaly", "anomaly", F.unix_micros(F.col("end_ts").cast("timestamp")).alias("end"))
     out = rows.groupBy("range_id").transformWithStateInPandas(Ranges(), OUT, "append", "eventTime")
     return out.withColumn("first_ts", F.timestamp_micros("first_ts").cast("timestamp_ntz"))
+
+
+def replay(readings: DataFrame, ranges: DataFrame, m: Model, folder: str, late: str = "10 minutes", rows: int = BATCH) -> DataFrame:
+    """Stored readings through ``watch_ranges`` in order of time, some ``rows`` a micro-batch: the rows of the ranges that are over.
+
+    Micro-batches end between two times, so that no reading comes late. Each is put into the stream's folder when the one before
+    it is done, and is a run on the same checkpoint. Readings of null time are in no range.
+    """
+    spark, schema = readings.sparkSession, readings.schema
+    timed, us = readings.filter("ts is not null"), F.unix_micros(F.col("ts").cast("timestamp"))
+    n = math.ceil(timed.count() / rows)
+    ends = timed.agg(F.percentile_approx(us, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    before = sum((F.when(us > end, 1).otherwise(0) for end in sorted(set(ends))), F.lit(0))
+    timed.withColumn("__batch", before).write.partitionBy("__batch").parquet(f"{folder}/batches")
+    readings.limit(0).write.parquet(f"{folder}/in")
+    out = watch_ranges(spark.readStream.schema(schema).parquet(f"{folder}/in"), ranges, m, late)
+    write = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    for at in range(len(set(ends)) + 1 if n else 0):
+        own = f"{folder}/batches/__batch={at}"
+        if exists(spark, own):  # the last is empty if its end is the last time
+            spark.read.schema(schema).parquet(own).write.mode("append").parquet(f"{folder}/in")
+            write.start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out") if n else spark.createDataFrame([], out.schema)

@@ -52,6 +52,28 @@ def test_ranges_close_as_the_batch_has_them(spark, tmp_path):
     assert any(r["position"] for r in got.values()) and any(r["first_ts"] is None for r in got.values())
 
 
+def test_stored_readings_come_in_bounded_batches_in_order_of_time(spark, tmp_path):
+    """What a task holds is bounded by the batch, and the rows are those of the batch job; ties of time stay together."""
+    rng = random.Random(6)
+    rows = [(i, ZERO + timedelta(seconds=20 * (i // 3)), 1.0, *(float(rng.choice([0, 1, 1, 2 if i > 150 else 1])) for _ in range(2)), 0.0) for i in range(600)]
+    spans = [(0, 1800), (600, 601), (100, 3300), (0, 3300), (50_000, 60_000)]
+    text = lambda s: str(ZERO + timedelta(seconds=s))
+    asked = spark.createDataFrame([(k, text(a), text(b)) for k, (a, b) in enumerate(spans)], "range_id long, start_time string, end_time string")
+    table = spark.createDataFrame(rng.sample(rows, 600) + [(999, None, 1.0, 9.0, 9.0, 9.0)], READ)
+    folder_ = str(tmp_path / "replayed")
+    got = {r["range_id"]: r for r in ranges.replay(table, asked, TINY, folder_, rows=150).collect()}
+    want = {r["range_id"]: r for r in mo.analyze_ranges(table, asked, TINY).collect() if r["status"] == "ok"}
+    assert set(got) == {0, 1, 2, 3} == set(want)
+    for k, r in got.items():
+        first = want[k]["first_anomaly"]
+        assert (r["total_samples"], r["anomaly_count"]) == (want[k]["total_samples"], want[k]["anomaly_count"])
+        assert r["t2_mean"] == pytest.approx(want[k]["t2_mean"]) and r["spe_std"] == pytest.approx(want[k]["spe_std"])
+        assert (r["first_ts"], r["first_reading_id"], r["position"]) == ((first["ts"], first["reading_id"], first["position"]) if first else (None, None, None))
+    sizes = [r["count"] for r in spark.read.parquet(f"{folder_}/batches").groupBy("__batch").count().collect()]
+    assert sum(sizes) == 600 and len(sizes) == 4 and max(sizes) <= 160
+    assert ranges.replay(table.limit(0), asked, TINY, str(tmp_path / "none")).count() == 0
+
+
 def test_late_rows_count_for_nothing(spark, tmp_path):
     at = lambda i, m, bad=0.0: (i, ZERO + timedelta(minutes=m), 0.0, 0.0, 0.0, bad)
     batches = [[at(1, 0), at(2, 5)], [at(3, 40)], [at(4, 1, 9.0), at(5, 35, 9.0)], [at(6, 300)], [at(7, 41, 9.0)]]
